@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from ledgerloom.catalog import validation  # noqa: F401
+from ledgerloom.catalog import reports, validation  # noqa: F401
 from ledgerloom.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

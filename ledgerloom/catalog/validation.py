@@ -84,8 +84,8 @@ def _item_rows(test):
 def _header_rows(test):
     run, expected, actual = HEADER_SQL[test]
     shown = expected if test != "invoice_grand_total" else f"CASE WHEN {run} THEN {expected} ELSE 0 END"
-    return f"""SELECT h.invoice_id, '{test}' AS test_id, CAST(NULL AS BIGINT) AS item_id, {shown} AS expected,
-      CASE WHEN {run} THEN {actual} ELSE 0 END AS actual,
+    return f"""SELECT h.invoice_id, '{test}' AS test_id, CAST(NULL AS BIGINT) AS item_id,
+      CAST({shown} AS DECIMAL(30,6)) AS expected, CAST(CASE WHEN {run} THEN {actual} ELSE 0 END AS DECIMAL(30,6)) AS actual,
       CASE WHEN {run} THEN abs({expected} - {actual}) <= 0.05 ELSE TRUE END AS passed, NOT ({run}) AS is_suggestion
       FROM invoices h JOIN sums s ON h.invoice_id = s.invoice_id"""
 

@@ -231,9 +231,12 @@ def formatted_value(field: str, value: Column) -> Column:
     elif field in RATE_FIELDS:
         shown = F.concat(value.cast("string"), F.lit("%"))
     elif field == "file_size_bytes":
-        size = value.cast("double")
-        shown = (F.when(value > 1024 * 1024, F.format_string("%.1f MB", size / (1024 * 1024)))
-                 .when(value > 1024, F.format_string("%.1f KB", size / 1024))
+        size = value.cast("decimal(18,0)")   # binary fractions are exact decimals; ties go to even
+
+        def scaled(unit: str) -> Column:
+            return F.bround(size * F.lit(unit).cast("decimal(20,20)"), 1).cast("decimal(20,1)").cast("string")
+        shown = (F.when(value > 1024 * 1024, F.concat(scaled("0.00000095367431640625"), F.lit(" MB")))
+                 .when(value > 1024, F.concat(scaled("0.0009765625"), F.lit(" KB")))
                  .otherwise(F.concat(value.cast("string"), F.lit(" bytes"))))
     else:
         shown = value.cast("string")
