@@ -14,7 +14,7 @@ LINES = (
     "Taxi receipt travel expense reimbursement food lunch hotel bill",
     "Payment successful UPI transaction id 991 credited to account of bank",
     "Purchase order number 5 vendor delivery date procurement",
-    "Credit note refund adjustment return memo",
+    "Credit note refund adjustment return memo discount allowance debit memo penalty late fee additional charges interest",
     "Debit note penalty late fee additional charge",
     "Quotation no 8 estimate proforma invoice price quote offer")
 _SPARK_LINES = "array(" + ", ".join(f"'{x}'" for x in LINES) + ")"
@@ -90,8 +90,8 @@ CHAIN = (TEXTS, LOW, PARTS, SCORES, BEST, DECIDED)
 
 def _part(make):
     def run(spark, d):
-        low = _texts(spark, d).select("doc_id", F.lower("body").alias("t"))
-        return low.select("doc_id", *[make(F.col("t"), k).cast("double").alias(k.name) for k in c.DOC_TYPES])
+        seen = c.Spotted(c.lowered(_texts(spark, d), "body", "doc_id"), "_text")
+        return seen.df.select("doc_id", *[make(seen, k).cast("double").alias(k.name) for k in c.DOC_TYPES])
     return run
 
 
@@ -113,15 +113,15 @@ _ALTERNATES = oracle(f"""SELECT doc_id, type, score FROM (SELECT *, row_number()
   ORDER BY score DESC, ord) AS rn FROM ({' UNION ALL '.join(
       f"SELECT doc_id, '{n}' AS type, {n} AS score, {i} AS ord FROM decided WHERE document_type <> '{n}' AND {n} > 0.2"
       for i, n in enumerate(_NAMES))}) u) v WHERE rn <= 3""", *CHAIN)
-add("cls08_alternates", lambda s, d: _classified(s, d).select("doc_id", F.inline("alternates")), _ALTERNATES)
+add("cls08_alternates", lambda s, d: c.alternates(_classified(s, d), "doc_id"), _ALTERNATES)
 
 
 def _three_best(s, d):
     scores = c.score_types(_texts(s, d), "body", "doc_id")
     entries = F.array(*[F.struct(F.col(n).alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("type"))
                         for i, n in enumerate(_NAMES)])
-    return scores.select("doc_id", F.inline(F.slice(F.reverse(F.array_sort(F.filter(entries, lambda e: e["score"] > 0.2))), 1, 3))
-                         ).select("doc_id", "type", "score")
+    best = F.slice(F.reverse(F.array_sort(F.filter(entries, lambda e: e["score"] > 0.2))), 1, 3)
+    return scores.select("doc_id", F.inline_outer(best)).where("type IS NOT NULL").select("doc_id", "type", "score")
 
 
 add("srt06_best_types", _three_best, oracle(f"""SELECT doc_id, type, score FROM (SELECT *, row_number() OVER (
@@ -167,7 +167,7 @@ add("cls11_accuracy", _accuracy, oracle(
 def _rule_hits(s, d):
     """How many documents contain each keyword of each type: the rule table joined to the texts."""
     rules = c.rule_table(s).where("kind = 'keyword'")
-    low = _texts(s, d).select("doc_id", F.lower("body").alias("t"))
+    low = c.lowered(_texts(s, d), "body", "doc_id").select("doc_id", F.col("_text").alias("t"))
     # 119 words against each text: the rules are a fixed list, so they are columns here too.
     hits = low.agg(*[F.count_if(F.contains(F.col("t"), F.lit(w))).alias(f"{k.name}|{w}")
                      for k in c.DOC_TYPES for w in k.keywords])

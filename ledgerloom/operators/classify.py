@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as fn
+from ledgerloom.session import use_all_cores
 
 # Patterns, word lists, weights and thresholds of the document types.
 TAX_ID = r"\d{2}[A-Z]{5}\d{4}[A-Z]{1}\d[Z]{1}[A-Z\d]{1}"
@@ -100,50 +101,83 @@ def weight(word: str) -> float:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?iU){pattern}")   # classes and case as in Unicode
+    """Pattern search with case and character classes as in Unicode, in text of any case."""
+    return text.rlike(f"(?iU){pattern}")
+
+
+class Spotted:
+    """Columns that say which words and patterns a text contains, each tested once.
+
+    They are columns of their own rather than parts of the score expressions, because the
+    optimizer keeps a column that is used several times but repeats an expression that is.
+    Texts are lower-case here, so patterns are searched in lower case without the flag.
+    """
+
+    def __init__(self, df: DataFrame, text: str, kinds=DOC_TYPES):
+        words = dict.fromkeys(w for k in kinds for w in (*k.keywords, *k.negatives))
+        patterns = dict.fromkeys(p for k in kinds for p in (*k.patterns, *k.strong))
+        patterns.update(dict.fromkeys((TAX_ID, COMPANY_FORM, TAX_NAMES)))
+        self._words = {w: f"_w{i}" for i, w in enumerate(words)}
+        self._patterns = {p: f"_p{i}" for i, p in enumerate(patterns)}
+        low = F.col(text)
+        self.df = df.select(
+            "*", *[F.contains(low, F.lit(w)).alias(c) for w, c in self._words.items()],
+            *[low.rlike(("(?U)" if "\\" in p else "") + p.lower()).alias(c) for p, c in self._patterns.items()])
+
+    def word(self, word: str) -> Column:
+        return F.col(self._words[word])
+
+    def pattern(self, pattern: str) -> Column:
+        return F.col(self._patterns[pattern])
 
 
 def _sum(tests: list[Column], points: list[float]) -> Column:
-    """Sum of points in tenths-of-a-cent decimals, so that thresholds are compared exactly."""
-    return sum((F.when(t, F.lit(str(p)).cast("decimal(12,4)")).otherwise(F.lit("0").cast("decimal(12,4)"))
-                for t, p in zip(tests, points)), F.lit("0").cast("decimal(12,4)")).cast("double")
+    """Sum of the points of the tests that hold, added as decimals so that it is exact."""
+    kind = "decimal(12,4)"
+    return sum((F.when(t, F.lit(str(p)).cast(kind)).otherwise(F.lit("0").cast(kind))
+                for t, p in zip(tests, points)), F.lit("0").cast(kind)).cast("double")
 
 
-def keyword_score(text: Column, kind: DocType) -> Column:
-    hits = _sum([F.contains(text, F.lit(w)) for w in kind.keywords], [weight(w) for w in kind.keywords])
+def keyword_score(seen: Spotted, kind: DocType) -> Column:
+    hits = _sum([seen.word(w) for w in kind.keywords], [weight(w) for w in kind.keywords])
     return F.least(hits / F.lit(len(kind.keywords) * 1.5), F.lit(1.0))
 
 
-def pattern_score(text: Column, kind: DocType) -> Column:
-    return _sum([_found(text, p) for p in kind.patterns], [1.0] * len(kind.patterns)) / F.lit(float(len(kind.patterns)))
+def pattern_score(seen: Spotted, kind: DocType) -> Column:
+    return _sum([seen.pattern(p) for p in kind.patterns], [1.0] * len(kind.patterns)) / F.lit(float(len(kind.patterns)))
 
 
-def strong_count(text: Column, kind: DocType) -> Column:
-    return sum((_found(text, p).cast("int") for p in kind.strong), F.lit(0))
+def strong_count(seen: Spotted, kind: DocType) -> Column:
+    return sum((seen.pattern(p).cast("int") for p in kind.strong), F.lit(0))
 
 
-def strong_bonus(text: Column, kind: DocType) -> Column:
-    return F.least(_sum([_found(text, p) for p in kind.strong], [0.15] * len(kind.strong)), F.lit(0.4))
+def strong_bonus(seen: Spotted, kind: DocType) -> Column:
+    return F.least(_sum([seen.pattern(p) for p in kind.strong], [0.15] * len(kind.strong)), F.lit(0.4))
 
 
-def negative_penalty(text: Column, kind: DocType) -> Column:
-    return F.least(_sum([F.contains(text, F.lit(w)) for w in kind.negatives], [0.1] * len(kind.negatives)), F.lit(0.3))
+def negative_penalty(seen: Spotted, kind: DocType) -> Column:
+    return F.least(_sum([seen.word(w) for w in kind.negatives], [0.1] * len(kind.negatives)), F.lit(0.3))
 
 
-def final_score(text: Column, kind: DocType) -> Column:
-    bonus = strong_bonus(text, kind)
-    base = keyword_score(text, kind) * 0.5 + pattern_score(text, kind) * 0.3 + bonus * 0.2
-    score = F.greatest(F.lit(0.0), base + bonus - negative_penalty(text, kind))
+def final_score(seen: Spotted, kind: DocType) -> Column:
+    bonus = strong_bonus(seen, kind)
+    base = keyword_score(seen, kind) * 0.5 + pattern_score(seen, kind) * 0.3 + bonus * 0.2
+    score = F.greatest(F.lit(0.0), base + bonus - negative_penalty(seen, kind))
     if kind.strong:
-        certain = _found(text, TAX_ID) & _found(text, COMPANY_FORM) & _found(text, TAX_NAMES)
+        certain = seen.pattern(TAX_ID) & seen.pattern(COMPANY_FORM) & seen.pattern(TAX_NAMES)
         score = F.when(certain, F.greatest(score, F.lit(0.85))).otherwise(score)
     return score
 
 
+def lowered(df: DataFrame, text: str, key: str) -> DataFrame:
+    source = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+    return use_all_cores(source, key).withColumn("_text", F.lower("_raw"))
+
+
 def score_types(df: DataFrame, text: str, key: str) -> DataFrame:
     """One row per document with the score of every type as a column."""
-    lowered = df.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    return lowered.select(key, *[final_score(F.col("_text"), t).alias(t.name) for t in DOC_TYPES])
+    seen = Spotted(lowered(df, text, key), "_text")
+    return seen.df.select(key, *[final_score(seen, t).alias(t.name) for t in DOC_TYPES])
 
 
 def classify(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -151,12 +185,13 @@ def classify(df: DataFrame, text: str, key: str) -> DataFrame:
 
     Result: key, document_type, confidence_score, forced, keywords, alternates, reasoning, metadata.
     """
-    source = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_raw"),
-                       F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    scored = source.select("*", F.array(*[
-        F.struct(final_score(F.col("_text"), t).alias("score"), F.lit(-i).alias("rank"), F.lit(t.name).alias("type"))
-        for i, t in enumerate(DOC_TYPES)]).alias("_scores"),
-        strong_count(F.col("_text"), DOC_TYPES[0]).alias("_strong"))
+    seen = Spotted(lowered(df, text, key), "_text")
+    points = seen.df.select(
+        key, "_raw", "_text", *[F.col(c) for c in seen.df.columns if c.startswith("_w")],
+        strong_count(seen, DOC_TYPES[0]).alias("_strong"), *[final_score(seen, t).alias(t.name) for t in DOC_TYPES])
+    scored = points.withColumn("_scores", F.array(*[
+        F.struct(F.col(t.name).alias("score"), F.lit(-i).alias("rank"), F.lit(t.name).alias("type"))
+        for i, t in enumerate(DOC_TYPES)]))
     best = scored.withColumn("_best", F.array_max("_scores"))
     kind = F.col("_best.type")
 
@@ -165,8 +200,7 @@ def classify(df: DataFrame, text: str, key: str) -> DataFrame:
     threshold = per_type(lambda t: F.when(F.col("_strong") > 0, min(t.threshold, 0.4)).otherwise(t.threshold)
                          if t.strong else F.lit(t.threshold))
     forced = F.col("_best.score") < threshold
-    words = per_type(lambda t: F.filter(F.array(*[F.lit(w) for w in t.keywords]),
-                                        lambda w: F.contains(F.col("_text"), w)))
+    words = per_type(lambda t: F.array_compact(F.array(*[F.when(seen.word(w), F.lit(w)) for w in t.keywords])))
     others = F.filter("_scores", lambda s: (s["type"] != kind) & (s["score"] > 0.2))
     ranked = F.slice(F.reverse(F.array_sort(others)), 1, 3)
     decided = best.select(
@@ -180,6 +214,12 @@ def classify(df: DataFrame, text: str, key: str) -> DataFrame:
         _reasoning().alias("reasoning"), document_metadata(F.col("_raw"), F.col("document_type")).alias("metadata"))
 
 
+def alternates(classified: DataFrame, key: str) -> DataFrame:
+    """One row per other type a document could be, best first."""
+    # Outer, then filtered: a plain inline would score every text a second time to test for rows.
+    return classified.select(key, F.inline_outer("alternates")).where("type IS NOT NULL")
+
+
 def _reasoning() -> Column:
     key_words = F.filter("keywords", lambda w: w.isin(*KEY_TERMS))
     score = F.col("raw_score")

@@ -157,7 +157,7 @@ def discover_tests(invoices: DataFrame, items: DataFrame) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(rule.test_id).alias("test_id"), _can(rule).alias("applies"),
                  _missing(rule).alias("missing")) for rule in RULES.values()])
-    found = heads.select("invoice_id", F.explode(rows).alias("t")).select("invoice_id", "t.*")
+    found = heads.select("invoice_id", F.explode_outer(rows).alias("t")).select("invoice_id", "t.*")
     return (found.where("applies OR size(missing) > 0")
             .select("invoice_id", "test_id", "applies",
                     F.when(~F.col("applies"), F.concat_ws(", ", "missing")).alias("missing")))
@@ -201,7 +201,7 @@ def run_all_checks(invoices: DataFrame, items: DataFrame, tolerance: str = TOLER
         tests = F.array(*[F.when(F.col(f"can_{r.test_id}"), _test_struct(r, F.col("item_id"), tolerance))
                           for r in item_rules])
         parts.append(items.join(gates, "invoice_id")
-                     .select("invoice_id", F.explode(F.array_compact(tests)).alias("t")))
+                     .select("invoice_id", F.explode_outer(F.array_compact(tests)).alias("t")))
     per_invoice = [F.when(F.col("n_items") > 0, _test_struct(r, F.lit(None).cast("bigint"), tolerance))
                    for r in chosen if r.level == "invoice"]
     for rule in chosen:
@@ -213,8 +213,10 @@ def run_all_checks(invoices: DataFrame, items: DataFrame, tolerance: str = TOLER
             F.lit(rule.tax_related).alias("tax_related"),
             F.concat(F.lit(f"Cannot perform {rule.title}: missing "),
                      F.concat_ws(", ", _missing(rule))).alias("message"))))
-    parts.append(heads.select("invoice_id", F.explode(F.array_compact(F.array(*per_invoice))).alias("t")))
-    rows = reduce(DataFrame.unionByName, parts)
+    parts.append(heads.select("invoice_id", F.explode_outer(F.array_compact(F.array(*per_invoice))).alias("t")))
+    # An outer explode and a filter after it: a plain explode makes the optimizer test the
+    # array for emptiness first, which computes every rule a second time.
+    rows = reduce(DataFrame.unionByName, parts).where("t IS NOT NULL")
     return rows.select("invoice_id", *[F.col(f"t.{f}").alias(f) for f in _TEST_FIELDS])
 
 

@@ -53,3 +53,13 @@ def cut_lineage(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def use_all_cores(df, key: str):
+    """Spread a frame with few input partitions by key before heavy work per row.
+
+    A table of many files already has enough partitions and is left as it is, so nothing
+    is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
