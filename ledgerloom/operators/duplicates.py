@@ -348,7 +348,7 @@ def score_pairs(pairs: DataFrame, invoices: DataFrame, items: DataFrame) -> Data
         members, "invoice_id", "left")
     a = head.withColumnsRenamed({"supplier_company_id": "s1", "number": "n1", "profile": "a"})
     b = head.withColumnsRenamed({"invoice_id": "candidate_id", "supplier_company_id": "s2", "number": "n2", "profile": "b"})
-    keyed = pairs.select("invoice_id", "candidate_id").join(a, "invoice_id").join(b, "candidate_id")
+    keyed = cut_lineage(pairs.select("invoice_id", "candidate_id").join(a, "invoice_id").join(b, "candidate_id"))
     wanted = keyed.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
     scored = keyed.join(profile_scores(wanted, lines), ["a", "b"], "left").fillna(0, list(_SCORES))
     same = F.col("s1").eqNullSafe(F.col("s2"))
