@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.lake import Lake
+from ledgerloom.session import use_all_cores
 
 AS_OF = "2001-08-01"
 
@@ -17,8 +18,13 @@ DOC_TYPES = ("B2B_INVOICE", "EXPENSE_SLIP", "PAYMENT_PROOF", "PURCHASE_ORDER",
              "CREDIT_NOTE", "DEBIT_NOTE", "QUOTATION")
 
 
+# Tables with heavy work per row, and the key they are spread by when they have few files.
+_SPREAD = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
+
+
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return use_all_cores(table, _SPREAD[name]) if name in _SPREAD else table
 
 
 def _tax_id(nation: str, key: str, mark: str):

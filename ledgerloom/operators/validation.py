@@ -110,7 +110,9 @@ def fold_items(items: DataFrame, tolerance: str = TOLERANCE, rules=ITEM_RULES) -
         F.count("*").alias("n_items"),
         F.sum(_amount("taxable_value")).alias("items_taxable"),
         F.sum(line_tax()).alias("items_tax"),
-        F.min_by(F.struct(*[has_value(F.col(c)).alias(c) for c in _ITEM_FIELDS]), "item_id").alias("first_item"),
+        # Which fields of the first line are filled, as bits: a number keeps the aggregation hashed.
+        F.min_by(sum((has_value(F.col(c)).cast("int") * (1 << i) for i, c in enumerate(_ITEM_FIELDS)), F.lit(0)),
+                 "item_id").alias("first_item"),
     ]
     for rule in rules:
         run = rule.evaluable()
@@ -144,7 +146,8 @@ def _missing(rule: Rule) -> Column:
         if name in _HEADER_FIELDS:
             tests.append(F.when(~has_value(F.col(name)), F.lit(name)))
         else:
-            tests.append(F.when((F.col("n_items") > 0) & ~F.col(f"first_item.{name}"), F.lit(name)))
+            bit = F.col("first_item").bitwiseAND(F.lit(1 << _ITEM_FIELDS.index(name)))
+            tests.append(F.when((F.col("n_items") > 0) & (bit == 0), F.lit(name)))
     return F.array_compact(F.array(*tests))
 
 
