@@ -56,15 +56,19 @@ def shared_hsn(items: DataFrame, k: int = 10) -> DataFrame:
     return most_shared_codes(items, k)
 
 
+def listed_pairs(invoices: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """The pairs of scenarios 3 (amount) and 4 (codes), at most k of each per invoice."""
+    return nearest_by_amount(invoices, k).select("invoice_id", "candidate_id", F.lit(3).alias("listed")).unionByName(
+        most_shared_codes(items, k).select("invoice_id", "candidate_id", F.lit(4).alias("listed")))
+
+
 def candidate_pairs(invoices: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """Distinct listed pairs with the first scenario each belongs to.
 
     The supplier and number scenarios are groups and are not spelled out as pairs, but a
     listed pair that also shares supplier or number carries that scenario.
     """
-    listed = (nearest_by_amount(invoices, k).select("invoice_id", "candidate_id", F.lit(3).alias("listed"))
-              .unionByName(most_shared_codes(items, k).select("invoice_id", "candidate_id", F.lit(4).alias("listed")))
-              .groupBy("invoice_id", "candidate_id").agg(F.min("listed").alias("listed")))
+    listed = listed_pairs(invoices, items, k).groupBy("invoice_id", "candidate_id").agg(F.min("listed").alias("listed"))
     a = invoices.select("invoice_id", F.col("supplier_company_id").alias("s1"), F.col("invoice_num").alias("n1"))
     b = invoices.select(F.col("invoice_id").alias("candidate_id"), F.col("supplier_company_id").alias("s2"),
                         F.col("invoice_num").alias("n2"))
@@ -149,38 +153,49 @@ def _code_key() -> Column:
     return F.coalesce(F.trim("hsn_code"), F.lit("\u0000"))
 
 
-def _log_cell(value: Column, step: float) -> Column:
-    """Signed logarithmic cell of a number; zero has its own; missing has none."""
+def _log_cells(value: Column, step: float, reach: int) -> Column:
+    """Whole numbers for the signed logarithmic cells within reach of a number; zero has its own,
+    missing has none (NULL)."""
     value = value.cast("double")
-    cell = F.floor(F.log(F.abs(value)) / F.log(F.lit(step))).cast("int")
-    return F.when(value.isNotNull(), F.struct(F.signum(value).cast("int").alias("sign"),
-                                              F.when(value == 0, 0).otherwise(cell).alias("cell")))
+    sign = F.signum(value).cast("bigint")
+    cell = F.when(value == 0, F.lit(0).cast("bigint")).otherwise(
+        F.floor(F.log(F.abs(value)) / F.log(F.lit(step))).cast("bigint"))
+    spread = F.when(value == 0, 0).otherwise(reach)
+    return F.transform(F.sequence(cell - spread, cell + spread), lambda c: c * 4 + sign + 1)
 
 
-def _cells(prefix: str, value: Column, step: float, reach: int) -> Column:
-    """Text keys of the cells within reach (one cell when reach is 0)."""
-    cell = _log_cell(value, step)
-    around = F.sequence(cell["cell"] - F.when(cell["sign"] == 0, 0).otherwise(reach),
-                        cell["cell"] + F.when(cell["sign"] == 0, 0).otherwise(reach))
-    return F.transform(around, lambda c: F.concat_ws(":", F.lit(prefix), cell["sign"].cast("string"), c.cast("string")))
+def _price_keys(reach: int) -> Column:
+    """Price cells 3 % wide: values within 2 % are at most one cell apart."""
+    return _log_cells(F.col("unit_price"), 1.03, reach)
 
 
 def _rate_keys(reach: int) -> Column:
-    """Price and quantity cells 3 % wide: values within 2 % are at most one cell apart."""
-    prices = _cells("p", F.col("unit_price"), 1.03, reach)
-    amounts = _cells("q", F.col("quantity"), 1.03, reach)
-    return F.flatten(F.transform(prices, lambda p: F.transform(amounts, lambda q: F.concat(p, F.lit("|"), q))))
+    """Price and quantity cells in one number."""
+    amounts = _log_cells(F.col("quantity"), 1.03, reach)
+    return F.flatten(F.transform(_price_keys(reach), lambda p: F.transform(
+        amounts, lambda q: p * F.lit(1 << 32).cast("bigint") + q)))
 
 
 def _loose_keys(reach: int) -> Column:
     """Keys for lines without a code: a match needs taxable values (or else prices, or else
     text lengths) within a factor of 2.5."""
     def kind(name, value):
-        return F.coalesce(F.when(value > 0, _cells(name, value, 2.5, reach)), F.array().cast("array<string>"))
+        cells = F.transform(_log_cells(value, 2.5, reach), lambda c: F.concat(F.lit(name), c.cast("string")))
+        return F.coalesce(F.when(value > 0, cells), F.array().cast("array<string>"))
     length = F.length(F.trim(_text_of("description"))) + 1
     return F.concat(kind("v", F.col("taxable_value")), kind("u", F.col("unit_price")), kind("d", length))
 
 
+def _codes_to_match(lines: Column) -> Column:
+    """How many of the codes of n lines must be looked up: at most 20 % of the lines stay
+    unmatched where a score is above 0.8, at most 15 % where it is 0.85 or more."""
+    return F.greatest(F.floor(lines * 3 / F.lit(20)) + 1, F.ceil(lines / F.lit(5)))
+
+
+def _rates_to_match(lines: Column) -> Column:
+    return F.ceil(lines * 3 / F.lit(20))
+
+
 def _no_code() -> Column:
     return _code_key() == ""
 
@@ -188,7 +203,6 @@ def _no_code() -> Column:
 def _pairs_in_scopes(scoped: DataFrame, lines: DataFrame) -> DataFrame:
     """(scope, a, b): profiles of one scope that can match. ``scoped``: scope, profile, members."""
     own = scoped.join(lines, "profile")
-    b_side = scoped.select("scope", F.col("profile").alias("b"))
 
     def keep(a, b):
         # A profile is paired with itself only where several invoices share it.
@@ -198,18 +212,17 @@ def _pairs_in_scopes(scoped: DataFrame, lines: DataFrame) -> DataFrame:
     codes = own.select("scope", "profile", "members", "lines", _code_key().alias("key")).distinct()
     sizes = codes.groupBy("scope", "key").agg(F.count("*").alias("block"))
     order = W.partitionBy("scope", "profile").orderBy(F.col("key").isin("", "\u0000"), "block", "key")
-    needed = F.greatest(F.floor(F.col("lines") * 3 / F.lit(20)) + 1, F.ceil(F.col("lines") / F.lit(5)))
     asked = (codes.join(sizes, ["scope", "key"]).withColumn("rn", F.row_number().over(order))
-             .where(F.col("rn") <= needed).select("scope", "key", F.col("profile").alias("a"), "members"))
+             .where(F.col("rn") <= _codes_to_match(F.col("lines"))).select("scope", "key", F.col("profile").alias("a"), "members"))
     by_code = keep(asked, codes.select("scope", "key", F.col("profile").alias("b")))
 
-    # Price and quantity cells.
+    # Price and quantity cells. Any choice of ceil(0.15 n) lines would do; rare cells are cheap.
     cells = own.select("scope", "profile", "members", "lines", "item_id", "unit_price", "quantity",
                        F.get(_rate_keys(0), F.lit(0)).alias("key")).where("key IS NOT NULL")
     blocks = cells.groupBy("scope", "key").agg(F.count("*").alias("block"))
     rarest = W.partitionBy("scope", "profile").orderBy("block", "item_id")
     probes = (cells.join(blocks, ["scope", "key"]).withColumn("rn", F.row_number().over(rarest))
-              .where(F.col("rn") <= F.ceil(F.col("lines") * 3 / F.lit(20)))
+              .where(F.col("rn") <= _rates_to_match(F.col("lines")))
               .select("scope", F.col("profile").alias("a"), "members", F.explode(_rate_keys(1)).alias("key")).distinct())
     by_rate = keep(probes, cells.select("scope", "key", F.col("profile").alias("b")).distinct())
 
@@ -217,10 +230,43 @@ def _pairs_in_scopes(scoped: DataFrame, lines: DataFrame) -> DataFrame:
     def loose(rows, reach, name):
         return rows.select("scope", F.col("profile").alias(name), *(["members"] if name == "a" else []),
                            F.explode(_loose_keys(reach)).alias("key")).distinct()
-    coded, bare = own.where(~_no_code()), own.where(_no_code())
+    bare = own.where(_no_code())
+    coded = own.where(~_no_code()).join(bare.select("scope").distinct(), "scope", "left_semi")
     by_text = keep(loose(bare, 1, "a"), loose(own, 0, "b")).unionByName(keep(loose(coded, 1, "a"), loose(bare, 0, "b")))
-    found = by_code.unionByName(by_rate).unionByName(by_text).distinct()
-    return found.join(b_side, ["scope", "b"], "left_semi").select("scope", "a", "b")
+    return by_code.unionByName(by_rate).unionByName(by_text).distinct()
+
+
+def _listed_that_can_match(listed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Distinct (a, b) of listed pairs of different suppliers and numbers that can match at all.
+
+    Of the codes of a only the first few, rarest first, are looked up in b; likewise of its
+    lines for price and quantity. Most listed pairs share one code of several and end here.
+    """
+    codes = lines.select("profile", "lines", _code_key().alias("key")).distinct()
+    sizes = codes.groupBy("key").agg(F.count("*").alias("block"))
+    order = W.partitionBy("profile").orderBy(F.col("key").isin("", "\u0000"), "block", "key")
+    asked = (codes.join(sizes, "key").withColumn("rn", F.row_number().over(order))
+             .where(F.col("rn") <= _codes_to_match(F.col("lines"))).select(F.col("profile").alias("a"), "key"))
+    pairs = listed.select("a", "b").distinct()
+    asked_pairs = pairs.join(asked, "a").join(codes.select(F.col("profile").alias("b"), "key"), ["b", "key"], "left_semi")
+    # Of those, b must have all codes of a but the few that may stay unmatched.
+    written = codes.where(~F.col("key").isin("", "\u0000"))
+    counts = codes.groupBy("profile").agg((F.count_if(~F.col("key").isin("", "\u0000")) - F.ceil(F.max("lines") / F.lit(5)) + 1
+                                           ).alias("least")).withColumnRenamed("profile", "a")
+    hits = (asked_pairs.select("a", "b").distinct().join(written.select(F.col("profile").alias("a"), "key"), "a")
+            .join(written.select(F.col("profile").alias("b"), "key"), ["b", "key"]).groupBy("a", "b").agg(F.count("*").alias("hits")))
+    by_code = hits.join(counts, "a").where("hits >= least").select("a", "b").unionByName(
+        asked_pairs.join(counts.where("least <= 0").select("a"), "a", "left_semi").select("a", "b"))
+    rarest = W.partitionBy("profile").orderBy("item_id")
+    probes = (lines.where("unit_price IS NOT NULL AND quantity IS NOT NULL").withColumn("rn", F.row_number().over(rarest))
+              .where(F.col("rn") <= _rates_to_match(F.col("lines")))
+              .select(F.col("profile").alias("a"), F.col("unit_price").alias("p1"), F.col("quantity").alias("q1"),
+                      F.explode(_price_keys(1)).alias("key")))
+    target = lines.select(F.col("profile").alias("b"), F.col("unit_price").alias("p2"), F.col("quantity").alias("q2"),
+                          F.explode(_price_keys(0)).alias("key"))
+    near = (fn.numeric_similarity(F.col("p1"), F.col("p2")) + fn.numeric_similarity(F.col("q1"), F.col("q2"))) / 2 > 0.8
+    by_rate = pairs.join(probes, "a").join(target, ["b", "key"]).where(near)
+    return by_code.unionByName(by_rate.select("a", "b")).distinct()
 
 
 def profile_scores(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -237,7 +283,7 @@ def profile_scores(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     same_code = pairs.join(a_lines, "a").join(
         b_lines.withColumn("a_code", F.col("b_code")), ["b", "a_code"])
     bare_a = pairs.join(a_lines.where("a_code = ''"), "a").join(b_lines.where("b_code <> ''"), "b")
-    bare_b = pairs.join(a_lines.where("a_code <> ''"), "a").join(b_lines.where("b_code = ''"), "b")
+    bare_b = pairs.join(b_lines.where("b_code = ''"), "b").join(a_lines.where("a_code <> ''"), "a")
     columns = [*pairs.columns, *[c for c in a_lines.columns if c != "a"], *[c for c in b_lines.columns if c != "b"]]
     linked = reduce(DataFrame.unionByName, [f.select(*columns) for f in (same_code, bare_a, bare_b)])
 
@@ -264,9 +310,9 @@ def profile_scores(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     probe = marked.select(F.col("profile").alias("a"), F.col("item_id").alias("a_item_id"), "leads",
                           F.col("unit_price").alias("a_unit_price"), F.col("quantity").alias("a_quantity"),
-                          F.explode(_rate_keys(1)).alias("key"))
+                          F.explode(_price_keys(1)).alias("key"))
     target = marked.select(F.col("profile").alias("b"), F.col("unit_price").alias("b_unit_price"),
-                           F.col("quantity").alias("b_quantity"), F.explode(_rate_keys(0)).alias("key")).distinct()
+                           F.col("quantity").alias("b_quantity"), F.explode(_price_keys(0)).alias("key")).distinct()
     by_rate = pairs.select("a", "b").join(probe, "a").join(target, ["b", "key"]).select(
         "a", "b", "a_item_id", F.col("leads").alias("a_leads"), F.lit(0.0).alias("s_item"), F.lit(0.0).alias("s_line"),
         rate_similarity("a_", "b_").alias("s_rate"), F.lit(False).alias("shared"))
@@ -384,11 +430,16 @@ def duplicate_matches(invoices: DataFrame, items: DataFrame, k: int = 10) -> Dat
     scoped = folded.groupBy("scope", "profile").agg(F.sum("n").alias("members"))
     pairs = cut_lineage(_pairs_in_scopes(scoped, lines))
 
-    listed = candidate_pairs(invoices, items, k).where("scenario IN ('similar_amount', 'shared_hsn')")
-    of_a = members.withColumnRenamed("profile", "a")
-    of_b = members.withColumnsRenamed({"invoice_id": "candidate_id", "profile": "b"})
-    listed = cut_lineage(listed.join(of_a, "invoice_id").join(of_b, "candidate_id"))
-    wanted = pairs.select("a", "b").unionByName(listed.select("a", "b")).distinct()
+    # Listed pairs that no scope holds: different supplier and different number.
+    of_a = heads.select("invoice_id", F.col("supplier_company_id").alias("s1"), F.col("invoice_num").alias("n1"), F.col("profile").alias("a"))
+    of_b = heads.select(F.col("invoice_id").alias("candidate_id"), F.col("supplier_company_id").alias("s2"),
+                        F.col("invoice_num").alias("n2"), F.col("profile").alias("b"))
+    apart = ~F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)) & ~F.coalesce(
+        (F.col("n1") == F.col("n2")) & (F.col("n1") != ""), F.lit(False))
+    listed = cut_lineage(listed_pairs(invoices, items, k).select("invoice_id", "candidate_id").distinct()
+                         .join(of_a, "invoice_id").join(of_b, "candidate_id").where(apart)
+                         .select("invoice_id", "candidate_id", "a", "b"))
+    wanted = pairs.select("a", "b").unionByName(_listed_that_can_match(listed, lines)).distinct()
     scores = cut_lineage(profile_scores(wanted, lines))
 
     matched = cascade(pairs.join(scores, ["a", "b"]), F.startswith(F.col("scope"), F.lit("S:"))).where("confidence > 0.5")

@@ -118,28 +118,32 @@ def most_shared_codes(items: DataFrame, k: int = 10, hot_over: int = 500, widest
     rare = postings.join(rare_codes, "hsn_code", "left_semi")
     hot = postings.join(hot_codes, "hsn_code", "left_semi")
 
-    def self_join(left, right):
-        b = right.withColumnRenamed("invoice_id", "candidate_id")
-        return left.join(b, "hsn_code").where("invoice_id <> candidate_id").select("invoice_id", "candidate_id", "hsn_code")
-
     sets = hot.groupBy("invoice_id").agg(F.array_sort(F.collect_set("hsn_code")).alias("codes"))
     wide = sets.where(F.size("codes") > widest).select("invoice_id")
     wide_hot = hot.join(wide, "invoice_id", "left_semi")
     narrow_hot = hot.join(wide, "invoice_id", "left_anti")
-    wide_pairs = self_join(wide_hot, hot).unionByName(self_join(narrow_hot, wide_hot))
-    # Pairs found directly on rare codes still lack their frequent shared codes.
-    rare_pairs = self_join(rare, rare).groupBy("invoice_id", "candidate_id").agg(F.count("*").alias("on_rare"))
-    theirs = sets.select(F.col("invoice_id").alias("candidate_id"), F.col("codes").alias("their_codes"))
-    on_hot = F.coalesce(F.size(F.array_intersect("codes", "their_codes")), F.lit(0))
-    both = F.when(F.col("codes").isNull() | F.col("their_codes").isNull(), 0).otherwise(on_hot)
-    full = (rare_pairs.join(sets, "invoice_id", "left").join(theirs, "candidate_id", "left")
-            .select("invoice_id", "candidate_id", (F.col("on_rare") + both).alias("shared_codes")))
-    wide_only = wide_pairs.groupBy("invoice_id", "candidate_id").agg(F.count("*").alias("shared_codes"))
+
+    def self_join(left, right):
+        b = right.withColumnsRenamed({c: f"candidate_{c}" for c in right.columns if c != "hsn_code"}).withColumnRenamed(
+            "candidate_invoice_id", "candidate_id")
+        return left.join(b, "hsn_code").where("invoice_id <> candidate_id")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    # Rare codes: a row per shared code. The frequent codes of both sides travel along, so
+    # that these pairs are counted in full without another join.
+    armed = rare.join(sets, "invoice_id", "left")
+    on_hot = F.coalesce(F.size(F.array_intersect("codes", "candidate_codes")), F.lit(0))
+    both = F.when(F.col("codes").isNull() | F.col("candidate_codes").isNull(), 0).otherwise(on_hot)
+    by_rare = self_join(armed, armed).select("invoice_id", "candidate_id", one.alias("r"), both.alias("h"), zero.alias("w"), zero.alias("l"))
+    by_wide = self_join(wide_hot, hot).unionByName(self_join(narrow_hot, wide_hot)).select(
+        "invoice_id", "candidate_id", zero.alias("r"), F.lit(0).alias("h"), one.alias("w"), zero.alias("l"))
     narrow = sets.where(F.size("codes") <= widest).withColumn("subset", F.explode(_subsets(F.col("codes"))))
     keyed = narrow.select("invoice_id", F.array_join("subset", "\u0001").alias("subset"), F.size("subset").alias("size"))
-    looked_up = keyed.join(smallest_ids(keyed, "subset", k + 1), "subset").select(
-        "invoice_id", F.explode("ids").alias("candidate_id"), F.col("size").cast("bigint").alias("shared_codes"))
-    found = (full.unionByName(wide_only).unionByName(looked_up.where("invoice_id <> candidate_id"))
-             .groupBy("invoice_id", "candidate_id").agg(F.max("shared_codes").alias("shared_codes")))
+    by_subset = keyed.join(smallest_ids(keyed, "subset", k + 1), "subset").select(
+        "invoice_id", F.explode("ids").alias("candidate_id"), zero.alias("r"), F.lit(0).alias("h"), zero.alias("w"),
+        F.col("size").cast("bigint").alias("l")).where("invoice_id <> candidate_id")
+    # One shuffle on the invoice serves both the counting and the ranking.
+    rows = by_rare.unionByName(by_wide).unionByName(by_subset).repartition("invoice_id")
+    found = rows.groupBy("invoice_id", "candidate_id").agg(
+        F.greatest(F.sum("r") + F.max("h"), F.sum("w"), F.max("l")).alias("shared_codes"))
     best = W.partitionBy("invoice_id").orderBy(F.desc("shared_codes"), "candidate_id")
     return found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
