@@ -7,7 +7,8 @@ from ledgerloom.bridge import oracle
 from ledgerloom.catalog.registry import add
 from ledgerloom.functions import scalars as fn
 from ledgerloom.functions.text import text_similarity
-from ledgerloom.operators import duplicates, extract, nested, pages, store, validation
+from ledgerloom.catalog.validation import CHECKS, FIRST, GATES, SUMS
+from ledgerloom.operators import duplicates, extract, nested, pages, risk, store, validation
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
 
@@ -405,3 +406,48 @@ def _recall(s, d):
 
 
 add("gen02_fault_recall", _recall)
+
+
+# Document checks and reports ----------------------------------------------------------
+def _sections(s, d):
+    docs = _analysis_docs(s, d).withColumn("summary", F.when(~F.col("file_name").rlike("[05]$"), F.col("summary")))
+    return validation.input_sections(docs).select("file_name", F.array_join("missing_sections", ",").alias("missing"), "complete")
+
+
+add("val17_input_sections", _sections, oracle(
+    """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS file_name, CASE WHEN invoice_id % 5 = 0 THEN 'summary' ELSE '' END AS missing,
+    invoice_id % 5 <> 0 AS complete FROM invoices"""))
+add("nst05_field_map", lambda s, d: _analysis(s, d).select(
+    F.col("file_info.filename").alias("filename"), nested.field_map(F.col("form_analysis.form_fields")).alias("m")).select(
+    "filename", F.size("m").alias("fields"), F.try_element_at("m", F.lit("invoice no.")).alias("number")), oracle(
+    """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS filename, CASE WHEN invoice_id % 5 = 0 THEN 3 ELSE 4 END AS fields,
+    CASE WHEN invoice_id % 5 <> 0 THEN invoice_num END AS number FROM invoices"""))
+
+
+def _logged(s, d):
+    docs = _analysis(s, d)
+    return extract.extraction_log(docs, extract.extract_invoices(docs)).select(
+        "filename", "fields", "tables", "line_items", "success", F.size("confident_keys").alias("confident"))
+
+
+add("ext10_extraction_log", _logged, oracle(
+    """SELECT 'f' || CAST(h.invoice_id AS VARCHAR) AS filename, 4 AS fields, 1 AS tables, n AS line_items,
+    taxable_value > 0 AS success, 4 AS confident FROM invoices h JOIN (SELECT invoice_id, count(*) AS n FROM items GROUP BY 1) i
+    ON h.invoice_id = i.invoice_id"""))
+
+
+def _reports(s, d):
+    k = bridge.lake(s, d)
+    names = k.companies.select(F.col("company_id").alias("supplier_company_id"), F.col("legal_name").alias("supplier_name"))
+    rows = risk.report_rows(k.invoices, validation.run_all_checks(k.invoices, k.items), duplicates.exact_matches(k.invoices), names)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return rows.select("invoice_id", F.col("header.supplier_name").alias("supplier"), size("valid_checks").alias("valid"),
+                       size("tests").alias("tests"), size("matches").alias("matches"))
+
+
+add("rsk07_report_rows", _reports, oracle(
+    """SELECT h.invoice_id, legal_name AS supplier, least(8, coalesce(valid, 0)) AS valid, least(10, coalesce(run, 0)) AS tests,
+    CASE WHEN count(*) OVER (PARTITION BY supplier_company_id, upper(trim(invoice_num))) > 1 THEN 1 ELSE 0 END AS matches
+    FROM invoices h LEFT JOIN companies ON supplier_company_id = company_id LEFT JOIN (SELECT invoice_id,
+      sum(CASE WHEN passed AND NOT is_suggestion THEN 1 ELSE 0 END) AS valid, sum(CASE WHEN is_suggestion THEN 0 ELSE 1 END) AS run
+      FROM checks GROUP BY 1) c ON h.invoice_id = c.invoice_id""", FIRST, GATES, SUMS, CHECKS))

@@ -124,3 +124,10 @@ def test_generator_is_repeatable(spark):
     first = sorted(map(tuple, datagen.clean_invoices(spark, 20, 4)[1].collect()))
     assert first == sorted(map(tuple, datagen.clean_invoices(spark, 20, 4)[1].repartition(3).collect()))
     assert set(datagen.sample_star(spark, 2, 5)) == {"companies", "products", "invoices", "invoice_item", "payment"}
+
+
+def test_table_references(spark):
+    from ledgerloom.plans import search
+
+    rows = {(r["child_table"], r["child_column"], r["parent_table"]) for r in search.table_groups(spark).collect()}
+    assert ("invoice_item", "invoice_id", "invoices") in rows and ("invoices", "supplier_company_id", "companies") in rows
