@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact, sql
+from ledgerloom.llm import exact, near, sql
 from ledgerloom.llm.common import table
 
 
@@ -14,10 +14,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_exact_dedup,)
+    f.__name__: f for f in (op7_minhash_near_dedup, op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
+    "op7_minhash_near_dedup": sql.NEAR_DEDUP,
     "op9_exact_dedup": sql.EXACT_DEDUP,
 }

@@ -4,9 +4,8 @@ Pass 1 makes a digest of every normalised text and sets its cells in a filter th
 two. Pass 2 probes: a digest with a cell below two cannot occur twice, so its row passes
 straight through. Only the others are shuffled, as digests, and grouped exactly.
 
-The filter has 16 cells a document up to 2**28 (32 MB at one bit a cell when it is sent out),
-so what is broadcast has a fixed bound. Beyond that bound more rows are shuffled than need be;
-the result is the same.
+The filter's size has a fixed bound (see bloom.py). Beyond it more rows are shuffled than need
+be; the result is the same.
 
 Defined cases: a null text is empty; empty and white texts are equal to each other. A null id
 loses to any other. A row that is repeated (same id, same text) counts as often as it occurs,
@@ -19,16 +18,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerloom.llm.common import OWN, partitions, raw_text, staged
+from ledgerloom.llm.bloom import bloom_filter, flagged
+from ledgerloom.llm.common import OWN, raw_text, staged
 
 WHITE = b" \t\n\x0b\x0c\r"
-SEGMENT_BITS = 16
-MOST_CELL_BITS = 28
-CELLS_PER_DOCUMENT = 16
 
 
 def digest_of(raw: bytes) -> bytes:
@@ -51,78 +47,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                             f"doc_id {given.schema['doc_id'].dataType.simpleString()}, chars int, digest binary")
 
 
-def _cells(digest: list[bytes], bits: int) -> np.ndarray:
-    words = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 4)
-    return words & np.uint64((1 << bits) - 1)
-
-
-def bloom_filter(found: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """Packed bits of the cells that are set twice or more, and the cells as a power of two."""
-    bits = min(MOST_CELL_BITS, max(SEGMENT_BITS, (rows * CELLS_PER_DOCUMENT).bit_length()))
-
-    def count(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, times = np.unique(_cells(batch.column("digest").to_pylist(), bits), return_counts=True)
-            segment = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int32)
-            offset = (cells & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2")
-            starts = np.flatnonzero(np.diff(segment, prepend=-1))
-            out = [(int(segment[a]), offset[a:b][times[a:b] == 1].tobytes(), offset[a:b][times[a:b] > 1].tobytes())
-                   for a, b in zip(starts, [*starts[1:], len(segment)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))],
-                                             ["segment", "once", "twice"])
-
-    def merge(batches):
-        open_segment, cells, done = None, None, []
-
-        def close():
-            if open_segment is not None:
-                done.append((open_segment, np.packbits(cells >= 2).tobytes()))
-
-        for batch in batches:
-            for segment, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if segment != open_segment:
-                    close()
-                    open_segment, cells = segment, np.zeros(1 << SEGMENT_BITS, np.uint8)
-                hit = np.frombuffer(once, "<u2")
-                cells[hit] = np.minimum(cells[hit] + 1, 2)
-                cells[np.frombuffer(twice, "<u2")] = 2
-        close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([b for _, b in done], pa.binary())],
-                                             ["segment", "bits"])
-
-    merged = (found.select("digest").mapInArrow(count, "segment int, once binary, twice binary")
-              .repartition(partitions(found.sparkSession), "segment").sortWithinPartitions("segment")
-              .mapInArrow(merge, "segment int, bits binary"))
-    packed = np.zeros((1 << bits) // 8, np.uint8)
-    width = (1 << SEGMENT_BITS) // 8
-    for row in merged.collect():
-        packed[row["segment"] * width:(row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return packed, bits
-
-
-def _probe(digest: list[bytes], packed: np.ndarray, bits: int) -> np.ndarray:
-    cells = _cells(digest, bits)
-    return ((packed[cells >> np.uint64(3)] >> (7 - (cells & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _flagged(rows: DataFrame, digest_col: str, flag: str, bloom) -> DataFrame:
-    def probe(batches):
-        packed, bits = bloom.value
-        for batch in batches:
-            hit = _probe(batch.column(digest_col).to_pylist(), packed, bits) if batch.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, flag])
-
-    return rows.mapInArrow(probe, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
-
-
 def _groups(found: DataFrame) -> tuple[DataFrame, DataFrame, object]:
     """Possibly repeated rows counted by (doc_id, digest, chars), their groups, and the broadcast filter."""
     spark = found.sparkSession
-    bloom = spark.sparkContext.broadcast(bloom_filter(found, found.count()))
-    maybe = _flagged(found, "digest", "maybe", bloom).filter("maybe")
+    bloom = spark.sparkContext.broadcast(bloom_filter(found, found.count(), 2))
+    maybe = flagged(found, "digest", "maybe", bloom).filter("maybe")
     counted = staged(maybe.groupBy("doc_id", "digest", "chars").agg(F.count(F.lit(1)).alias("copies")), "repeated")
     first = F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id"))
     groups = counted.groupBy("digest").agg(first.alias("first"), F.sum("copies").alias("group_size"))
@@ -134,7 +63,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
     found = staged(digests(docs, id_col, text_col), "digests")
     counted, groups, bloom = _groups(found)
-    alone = _flagged(found, "digest", "maybe", bloom).filter("NOT maybe").select(
+    alone = flagged(found, "digest", "maybe", bloom).filter("NOT maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     grouped = (counted.join(groups, "digest")
@@ -150,7 +79,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     raw, digest, maybe, chars = (OWN + x for x in ("raw", "digest", "maybe", "chars"))
     rows = docs.withColumns({raw: raw_text(text_col), chars: F.length(F.coalesce(F.col(text_col), F.lit("")))})
     schema = T.StructType([f for f in rows.schema.fields if f.name != raw] + [T.StructField(digest, T.BinaryType())])
-    marked = _flagged(rows.mapInArrow(lambda batches: _with_digests(batches, raw, digest), schema), digest, maybe, bloom)
+    marked = flagged(rows.mapInArrow(lambda batches: _with_digests(batches, raw, digest), schema), digest, maybe, bloom)
     alone = marked.filter(~F.col(maybe))
     first = (F.col(digest) == groups["digest"]) & F.col(id_col).eqNullSafe(groups["keep_id"]) & (F.col(chars) == groups["keep_chars"])
     stays = marked.filter(maybe).join(groups, first, "left_semi").dropDuplicates([digest])
