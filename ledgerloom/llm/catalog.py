@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact, near, sql
+from ledgerloom.llm import exact, near, repeats, sql
 from ledgerloom.llm.common import table
 
 
@@ -14,15 +14,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_minhash_near_dedup, op9_exact_dedup)
+    f.__name__: f for f in (op5_substring_dedup, op7_minhash_near_dedup, op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": sql.REPEATS,
     "op7_minhash_near_dedup": sql.NEAR_DEDUP,
     "op9_exact_dedup": sql.EXACT_DEDUP,
 }

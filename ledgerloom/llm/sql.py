@@ -11,7 +11,7 @@ r AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(plain) AS text_sha256 FROM r
 """
 
-_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 NEAR_DEDUP = rf"""
 WITH RECURSIVE d AS (
@@ -21,10 +21,20 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(w[p:p + least(3, len(w)) - 1], ' ') AS shingle
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS p FROM d)),
 n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.size + y.size - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.size + y.size - p.n)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS size, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+x AS (SELECT doc_id, pos, pos + 19 <= size AND row_number() OVER (PARTITION BY array_to_string(w[pos:pos + 19], ' '), pos + 19 <= size ORDER BY doc_id, pos) > 1 AS later, w[pos] AS word FROM p),
+k AS (SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM x),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
