@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact, near, repeats, sql
+from ledgerloom.llm import exact, near, packing, repeats, sql, tokenfile
 from ledgerloom.llm.common import table
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0, 1024)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.verdicts(table(spark, sf_dir, "documents"))
 
@@ -19,12 +23,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.new_path(spark, "token-ids")
+    tokenfile.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1, path)
+    return tokenfile.checksums(tokenfile.read_ids(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup, op7_minhash_near_dedup, op9_exact_dedup)
+    f.__name__: f for f in (op5_substring_dedup, op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
