@@ -10,8 +10,9 @@ A document is its set of distinct shingles, hashed. Equal sets are one node from
 2. In each list every node is compared with the list's centre, the node with the fewest values
    of its own: as many pairs as members. The overlap in the union's sketch filters them, the
    full sets decide.
-3. Lists that still hold several components are opened up exactly: the nodes in them are
-   indexed by their rarest shingles of the full set, with positions (prefix filter), and pairs
+3. Lists that still hold several components are opened up exactly. How many of a node's shingles
+   others in such lists have shows a better centre, and members are compared with it. Then nodes
+   are indexed by their rarest shingles of the full set, with positions (prefix filter), and pairs
    from different components that can reach the threshold by size, position and number of
    shared shingles are confirmed on the full sets. No list is spelled out into all its pairs.
 
@@ -127,27 +128,54 @@ def _rare_lists(nodes: DataFrame, k: int, percent: int, shared: int) -> DataFram
         F.col("v.value").alias("value"), "nid", "size", "alone")
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs over components in lists that hold several, by positions in the rarest shingles of the full sets."""
-    held = lists.join(comps, F.col("nid") == F.col("node"), "left").select("value", "nid", "size", F.coalesce("root", "nid").alias("root"))
+def _roots(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows with a column root; a node that is linked with nothing is its own."""
+    return rows.join(comps.select(F.col("node").alias("of"), "root"), F.col("nid") == F.col("of"), "left").withColumn("root", F.coalesce("root", "nid")).drop("of")
+
+
+def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of lists that hold several components."""
+    held = _roots(lists, comps)
     spans = held.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("value")
-    nodes = held.join(spans, "value").select("nid", "size", "root").distinct()
-    shingles = staged(nodes.join(sets, "nid").select("nid", "size", "root", F.explode("hashes").alias("hash")), "shingles")
+    return held.join(spans, "value").select("value", "nid", "size", "root")
+
+
+def _over(percent: int) -> str:
+    """The shared shingles that two sets need."""
+    return f"(({percent} * (size + size2) + {100 + percent} - 1) div {100 + percent})"
+
+
+def _index(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hash, nid, size, common (shingles that another of the nodes has), place: each node under its rarest
+    common shingles, as many as its best partner may not leave out; place counts its unshared ones first."""
+    shingles = staged(nodes.join(sets, "nid").select("nid", "size", F.explode("hashes").alias("hash")), "shingles")
     counts = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    ranked = shingles.join(counts, "hash").groupBy("nid").agg(F.first("size").alias("size"), F.first("root").alias("root"),
-                                                             F.sort_array(F.collect_list(F.struct("many", "hash"))).alias("values"))
+    ranked = shingles.join(counts, "hash").groupBy("nid").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("many", "hash"))).alias("values"))
     ranked = ranked.withColumn("common", F.size("values").cast("long")).withColumn(
         "taken", F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 - (size - common) AS int)")).filter("taken > 0")
-    index = staged(ranked.select("nid", "size", "root", "common", F.posexplode(F.expr("slice(values, 1, taken)")).alias("at", "v")).select(
-        F.col("v.hash").alias("hash"), "nid", "size", "root", "common", (F.col("at") + F.col("size") - F.col("common")).alias("place")), "index")
-    parts = index.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("members"))
+    return ranked.select("nid", "size", "common", F.posexplode(F.expr("slice(values, 1, taken)")).alias("at", "v")).select(
+        F.col("v.hash").alias("hash"), "nid", "size", "common", (F.col("at") + F.col("size") - F.col("common")).alias("place"))
+
+
+def _centre_pairs(opened: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """In each open list its members against the one with the fewest shingles of its own."""
+    held = opened.join(index.select("nid", "common").distinct(), "nid")
+    centre = staged(held.groupBy("value").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), "nid", "size", "common", "root")).alias("c")).select(
+        "value", F.col("c.nid").alias("a"), *(F.col(f"c.{x}").alias(f"{x}2") for x in ("size", "common", "root"))), "centres")
+    return held.join(centre, "value").filter(f"root != root2 AND {_near_size('size', 'size2', percent)} AND least(common, common2) >= {_over(percent)}").select(
+        "a", F.col("nid").alias("b")).distinct()
+
+
+def _open_pairs(index: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs over components that can reach the threshold, by size and by places in the lists of the index."""
+    rooted = staged(_roots(index, comps), "rooted")
+    parts = rooted.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("members"))
     major = parts.groupBy("hash").agg(F.max(F.struct("members", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     major = staged(major.select("hash", F.col("top.root").alias("major")), "major")
-    minor = index.join(major, "hash").filter("root != major")
-    other = index.select("hash", *(F.col(c).alias(f"{c}2") for c in ("nid", "size", "root", "common", "place")))
-    over = f"(({percent} * (size + size2) + {100 + percent} - 1) div {100 + percent})"
-    meets = F.expr(f"root != root2 AND {_near_size('size', 'size2', percent)} AND least(common, common2) >= {over} "
-                   f"AND place <= size - {over} AND place2 <= size2 - {over} AND (root2 = major OR nid < nid2)")
+    minor = rooted.join(major, "hash").filter("root != major")
+    other = rooted.select("hash", *(F.col(c).alias(f"{c}2") for c in ("nid", "size", "root", "common", "place")))
+    meets = F.expr(f"root != root2 AND {_near_size('size', 'size2', percent)} AND least(common, common2) >= {_over(percent)} "
+                   f"AND place <= size - {_over(percent)} AND place2 <= size2 - {_over(percent)} AND (root2 = major OR nid < nid2)")
     return minor.join(other, (minor["hash"] == other["hash"]) & meets).select(F.col("nid").alias("a"), F.col("nid2").alias("b")).distinct()
 
 
@@ -173,12 +201,16 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 40, id_
     sets = staged(full_sets(given, staged(wanted, "wanted"), width), "sets")
     links = staged(_confirmed(_sketched(stars, nodes, k, shared), sets, percent), "links")
     comps = staged(components(links), "components")
-    more = _sketched(_open_pairs(lists, comps, sets, percent), nodes, k, shared)
-    late = staged(_confirmed(more, sets, percent), "links")
-    comps = components(links.unionByName(late)) if not late.isEmpty() else comps
-
-    label = nodes.join(comps.withColumnRenamed("node", "of"), F.col("nid") == F.col("of"), "left").select("node", "doc_id", F.coalesce("root", "nid").alias("root"))
-    label = staged(label, "labels")
+    opened = staged(_open_lists(lists, comps), "opened")
+    index = staged(_index(opened.select("nid", "size").distinct(), sets, percent), "index")
+    for pairs in (_centre_pairs(opened, index, percent), None):
+        pairs = pairs if pairs is not None else _open_pairs(index, comps, percent)
+        late = staged(_confirmed(_sketched(pairs, nodes, k, shared), sets, percent), "links")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            comps = staged(components(links), "components")
+
+    label = staged(_roots(nodes.select("nid", "node", "doc_id"), comps).select("node", "doc_id", "root"), "labels")
     named = staged(label.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     member = staged(label.join(named, "root").select("node", "component_id"), "members")
     out = rows.filter("size > 0").join(member, "node").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
