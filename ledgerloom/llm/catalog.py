@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact, near, packing, repeats, sql, tokenfile
-from ledgerloom.llm.common import table
+from ledgerloom.llm import exact, languages, near, packing, quality, repeats, secrets, sql, tokenfile
+from ledgerloom.llm.common import held_out, table
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.scores(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.predictions(docs, languages.learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.learn(docs))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -40,7 +57,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup, op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup)
+    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_secret_scan, op5_substring_dedup, op6_token_files, op7_minhash_near_dedup, op8_packing,
+               op9_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
