@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import exact, languages, near, packing, quality, repeats, secrets, sql, tokenfile
+from ledgerloom.llm import decontaminate, exact, languages, licences, near, packing, quality, repeats, secrets, sql, tokenfile
 from ledgerloom.llm.common import held_out, table
 
 
@@ -35,6 +35,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(docs, secrets.learn(docs))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "equal_words", "item_words")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -56,12 +61,20 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.paragraphs(docs, licences.learn(docs)).select("doc_id", "paragraph", "family", "similarity", "confirmed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_secret_scan, op5_substring_dedup, op6_token_files, op7_minhash_near_dedup, op8_packing,
-               op9_exact_dedup)
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_language_id, op3_secret_scan, op4_decontamination, op5_substring_dedup,
+        op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup, op10_licence_scan)
 }
 
 ORACLE: dict[str, str] = {
+    "op4_decontamination": sql.CONTAINED_ITEMS,
+    "op10_licence_scan": sql.LICENCE_LINES,
     "op5_substring_dedup": sql.REPEATS,
     "op7_minhash_near_dedup": sql.NEAR_DEDUP,
     "op9_exact_dedup": sql.EXACT_DEDUP,

@@ -38,3 +38,23 @@ a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, c
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (doc_id)
 """
+
+#: Items that stand in a text word for word, as all of them do in the tables.
+CONTAINED_ITEMS = r"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark)
+SELECT doc_id, item_id, CAST(len(w) AS INTEGER) AS equal_words, CAST(len(w) AS INTEGER) AS item_words
+FROM d JOIN b ON contains(t, ' ' || array_to_string(w, ' ') || ' ')
+"""
+
+#: The notices that the tables' texts have as lines.
+LICENCE_LINES = """
+WITH n(line, family) AS (VALUES
+  ('Licensed under the Apache License, Version 2.0.', 'apache-2.0'),
+  ('Released under the MIT License.', 'mit'),
+  ('This work is licensed under the GNU General Public License, version 3.', 'gpl-3.0'),
+  ('Licensed under CC BY-NC 4.0.', 'cc-by-nc')),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS paragraph FROM documents)
+SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, family, CAST(1.0 AS DOUBLE) AS similarity, true AS confirmed
+FROM l JOIN n USING (line)
+"""
