@@ -17,6 +17,7 @@ rows either. Columns other than id and text are not looked at.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -127,7 +128,7 @@ def _variants(words: list[str], rng: np.random.Generator, filler: list[list[str]
     return out
 
 
-def fit(paragraphs: list[str], steps: int = 400, rate: float = 2.0, ridge: float = 1e-4, seed: int = 11) -> Model:
+def fit(paragraphs: list[str], steps: int = 200, rate: float = 4.0, ridge: float = 1e-4, seed: int = 11) -> Model:
     """From ordinary paragraphs of the table and the templates."""
     rng = np.random.default_rng(seed)
     templates = [(f, _words(t)) for f, texts in TEMPLATES.items() for t in texts]
@@ -167,7 +168,7 @@ def fit(paragraphs: list[str], steps: int = 400, rate: float = 2.0, ridge: float
     return Model(vocabulary, weights, anchors, temperature)
 
 
-def learn(docs: DataFrame, most: int = 400, each: int = 12, text_col: str = "text", id_col: str = "doc_id") -> Model:
+def learn(docs: DataFrame, most: int = 400, each: int = 4, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """The model with up to `each` paragraphs from about `most` documents chosen by a hash of the id."""
     count = docs.count()
     few = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, count))))
@@ -175,29 +176,45 @@ def learn(docs: DataFrame, most: int = 400, each: int = 12, text_col: str = "tex
     return fit(sorted(r["p"] for r in lines.collect()))
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+def _constant(value, kind: str) -> Column:
+    """One literal for a list or a map, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _reals(values) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+def _prefixed(words: list[str]) -> str:
+    """A pattern for any of the words that shares their common beginnings, so that a reader tries few branches."""
+    ends, rest = "" in words, {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    if not rest:
+        return ""
+    inner = "|".join(re.escape(first) + _prefixed(tails) for first, tails in sorted(rest.items()))
+    return f"(?:{inner})?" if ends else f"(?:{inner})"
+
+
+def _reals(values) -> list[float]:
+    return [float(v) for v in values]
 
 
 def paragraphs(docs: DataFrame, model: Model, least: float = 0.5, alike: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph (number of the line from 0), family, probability, similarity, confirmed of every paragraph
     that the classifier gives to a licence family with at least that probability."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
-    words = lines.select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({_TOKEN})"), 1).alias("words"))
-    marked = words.filter(F.arrays_overlap("words", _literals(model.anchors)))
+    # A text, then a line, without the letters of any anchor has no anchor.
+    hint = f"(?<![a-z0-9]){_prefixed(model.anchors)}(?![a-z0-9])" if model.anchors else "(?!)"
+    lines = docs.filter(F.lower(text_col).rlike(hint)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
+    words = lines.filter(F.lower("line").rlike(hint)).select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({_TOKEN})"), 1).alias("words"))
+    marked = words.filter(F.arrays_overlap("words", _constant(model.anchors, "array<string>")))
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    known = marked.select("doc_id", "paragraph", "words", F.array_intersect(F.concat("words", pairs), _literals(model.vocabulary)).alias("known"))
-    table = F.map_from_arrays(_literals(model.vocabulary), F.array(*(_reals(w / model.temperature) for w in model.weights[:-1])))
-    logits = F.aggregate("known", _reals(model.weights[-1] / model.temperature), lambda total, gram: F.zip_with(total, F.element_at(table, gram), lambda a, b: a + b))
-    scored = known.select("doc_id", "paragraph", "words", logits.alias("logits")).withColumn("top", F.array_max("logits"))
+    known = marked.select("doc_id", "paragraph", "words", F.array_intersect(F.concat("words", pairs), _constant(model.vocabulary, "array<string>")).alias("known"))
+    table = _constant({g: _reals(w / model.temperature) for g, w in zip(model.vocabulary, model.weights)}, "map<string,array<double>>")
+    logits = F.aggregate("known", _constant(_reals(model.weights[-1] / model.temperature), "array<double>"), lambda total, gram: F.zip_with(total, F.element_at(table, gram), lambda a, b: a + b))
+    # As the one row of a generator the sums are worked out once, not again in each expression that uses them.
+    scored = known.select("doc_id", "paragraph", "words", F.explode(F.array(logits)).alias("logits")).withColumn("top", F.array_max("logits"))
     mass = F.aggregate("logits", F.lit(0.0), lambda total, z: total + F.exp(z - F.col("top")))
-    best = scored.select("doc_id", "paragraph", "words", F.element_at(_literals(list(FAMILIES)), F.array_position("logits", F.col("top")).cast("int")).alias("family"), (1 / mass).alias("probability"))
+    best = scored.select("doc_id", "paragraph", "words", F.element_at(_constant(FAMILIES, "array<string>"), F.array_position("logits", F.col("top")).cast("int")).alias("family"), (1 / mass).alias("probability"))
     found = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    shapes = F.array(*(F.struct(F.lit(f).alias("family"), F.array_distinct(_literals(_words(t))).alias("words")) for f, texts in TEMPLATES.items() for t in texts))
+    shapes = _constant([{"family": f, "words": sorted(set(_words(t)))} for f, texts in TEMPLATES.items() for t in texts], "array<struct<family:string,words:array<string>>>")
     own = F.filter(shapes, lambda t: t["family"] == F.col("family"))
     likeness = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("words", t["words"])) / F.size(F.array_union("words", t["words"]))))
     return found.withColumn("similarity", likeness).select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= alike).alias("confirmed"))
