@@ -51,16 +51,16 @@ add("dup06_detail_rows", lambda s, d: du.detail_rows(_lake(s, d).invoices, _lake
 
 
 def _listed_scores(s, d):
-    """The two nearest by amount and by shared codes of every invoice, all scored."""
+    """The ten nearest by amount and by shared codes of every invoice, all scored."""
     k = _lake(s, d)
     pairs = (
-        du.similar_amount(k.invoices, 2).select("invoice_id", "candidate_id")
-        .unionByName(du.shared_hsn(k.items, 2).select("invoice_id", "candidate_id")).distinct())
+        du.similar_amount(k.invoices, 10).select("invoice_id", "candidate_id")
+        .unionByName(du.shared_hsn(k.items, 10).select("invoice_id", "candidate_id")).distinct())
     return du.score_pairs(pairs, k.invoices, k.items)
 
 
-_PAIRS2 = f"""pairs AS (SELECT invoice_id, candidate_id FROM ({NEAREST.replace("rn <= 10", "rn <= 2")}) n
-  UNION SELECT invoice_id, candidate_id FROM ({SHARED.replace("rn <= 10", "rn <= 2")}) h)"""
+_PAIRS = f"""pairs AS (SELECT invoice_id, candidate_id FROM ({NEAREST}) n
+  UNION SELECT invoice_id, candidate_id FROM ({SHARED}) h)"""
 _SIM = """(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0::DOUBLE WHEN {a} = 0 AND {b} = 0 THEN 1::DOUBLE WHEN {a} = 0 OR {b} = 0 THEN 0::DOUBLE
   WHEN abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) / greatest(abs(CAST({a} AS DOUBLE)), abs(CAST({b} AS DOUBLE))) <= 0.05::DOUBLE
   THEN 1 - abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) / greatest(abs(CAST({a} AS DOUBLE)), abs(CAST({b} AS DOUBLE))) / 0.05::DOUBLE
@@ -68,7 +68,7 @@ _SIM = """(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0::DOUBLE WHEN {a} = 0 AND
 add("dup10_hsn_ratio", lambda s, d: _listed_scores(s, d).select("invoice_id", "candidate_id", "hsn_ratio"), oracle(
     """SELECT invoice_id, candidate_id, CAST(len(list_intersect(a.codes, b.codes)) AS DOUBLE) /
     len(list_distinct(list_concat(a.codes, b.codes))) AS hsn_ratio FROM pairs JOIN sets a ON invoice_id = a.id
-    JOIN sets b ON candidate_id = b.id""", _PAIRS2,
+    JOIN sets b ON candidate_id = b.id""", _PAIRS,
     "sets AS (SELECT invoice_id AS id, list(DISTINCT hsn_code) AS codes FROM items GROUP BY 1)"))
 _RATE_BEST = f"""SELECT p.invoice_id, p.candidate_id, a.item_id, max(({_SIM(a='a.unit_price', b='b.unit_price')} +
   {_SIM(a='a.quantity', b='b.quantity')}) / 2) AS best FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id
@@ -78,7 +78,7 @@ add("dup11_rate_score", lambda s, d: _listed_scores(s, d).select(
     f"""SELECT p.invoice_id, p.candidate_id, round(coalesce(sum(CASE WHEN best > 0.8 THEN best END), 0) / greatest(n1, n2), 6)
     AS rate_score FROM ({_RATE_BEST}) p
     JOIN (SELECT invoice_id AS i1, count(*) AS n1 FROM items GROUP BY 1) x ON i1 = p.invoice_id
-    JOIN (SELECT invoice_id AS i2, count(*) AS n2 FROM items GROUP BY 1) y ON i2 = p.candidate_id GROUP BY 1, 2, n1, n2""", _PAIRS2))
+    JOIN (SELECT invoice_id AS i2, count(*) AS n2 FROM items GROUP BY 1) y ON i2 = p.candidate_id GROUP BY 1, 2, n1, n2""", _PAIRS))
 add("dup08_product_score", lambda s, d: _listed_scores(s, d).select(
     "invoice_id", "candidate_id", "matching_products", "product_score"))
 add("dup09_line_score", lambda s, d: _listed_scores(s, d).select("invoice_id", "candidate_id", "line_score"))
@@ -159,7 +159,7 @@ add("win03_best_line_match", lambda s, d: _best_line(s, d), oracle(
     """SELECT invoice_id, candidate_id, item_id, other_item FROM (SELECT p.invoice_id, candidate_id, a.item_id, b.item_id AS other_item,
     row_number() OVER (PARTITION BY p.invoice_id, candidate_id, a.item_id ORDER BY abs(a.taxable_value - b.taxable_value), b.item_id) AS rn
     FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id JOIN items b ON candidate_id = b.invoice_id
-    AND a.hsn_code = b.hsn_code) x WHERE rn = 1""", _PAIRS2))
+    AND a.hsn_code = b.hsn_code) x WHERE rn = 1""", _PAIRS))
 
 
 def _best_line(s, d):
@@ -167,8 +167,8 @@ def _best_line(s, d):
     from pyspark.sql import Window as W
 
     k = bridge.lake(s, d)
-    pairs = (du.similar_amount(k.invoices, 2).select("invoice_id", "candidate_id")
-             .unionByName(du.shared_hsn(k.items, 2).select("invoice_id", "candidate_id")).distinct())
+    pairs = (du.similar_amount(k.invoices, 10).select("invoice_id", "candidate_id")
+             .unionByName(du.shared_hsn(k.items, 10).select("invoice_id", "candidate_id")).distinct())
     a = k.items.select("invoice_id", "item_id", "hsn_code", "taxable_value")
     b = k.items.select(F.col("invoice_id").alias("candidate_id"), F.col("item_id").alias("other_item"), "hsn_code",
                        F.col("taxable_value").alias("other_value"))
@@ -182,8 +182,8 @@ def _best_line(s, d):
 def _line_pairs(s, d):
     """Lines of listed pairs on the same code, with the built-in parts of their similarity."""
     k = bridge.lake(s, d)
-    pairs = (du.similar_amount(k.invoices, 2).select("invoice_id", "candidate_id")
-             .unionByName(du.shared_hsn(k.items, 2).select("invoice_id", "candidate_id")).distinct())
+    pairs = (du.similar_amount(k.invoices, 10).select("invoice_id", "candidate_id")
+             .unionByName(du.shared_hsn(k.items, 10).select("invoice_id", "candidate_id")).distinct())
     cols = ("hsn_code", "unit_price", "quantity")
     a = k.items.select("invoice_id", F.col("item_id").alias("a_item"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = k.items.select(F.col("invoice_id").alias("candidate_id"), F.col("item_id").alias("b_item"),
@@ -196,4 +196,4 @@ add("jn13_line_pairs", _line_pairs, oracle(
     f"""SELECT p.invoice_id, candidate_id, a.item_id AS a_item, b.item_id AS b_item,
     ({_SIM(a='a.unit_price', b='b.unit_price')} + {_SIM(a='a.quantity', b='b.quantity')}) / 2 AS similarity
     FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id JOIN items b ON candidate_id = b.invoice_id
-    AND a.hsn_code = b.hsn_code""", _PAIRS2))
+    AND a.hsn_code = b.hsn_code""", _PAIRS))

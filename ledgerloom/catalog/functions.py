@@ -256,7 +256,7 @@ add("pag02_field_cleanup", lambda s, d: _portal(s, d).select(
     "page_id", pages.clean_state(F.concat(F.lit("24 - Area "), F.col("page_id").cast("string"), F.lit(" (XX)"))).alias("state"),
     pages.clean_activities(F.concat(F.lit("▪ A ▪ B"), F.col("page_id").cast("string"))).alias("work")),
     "SELECT page_id, 'Area ' || CAST(page_id AS VARCHAR) AS state, 'A, B' || CAST(page_id AS VARCHAR) AS work FROM pages")
-add("pag03_return_filings", lambda s, d: pages.parse_returns(_portal(s, d)).where("position < 2").select("gstin", "return_type", "period", "amount"),
+add("pag03_return_filings", lambda s, d: pages.parse_returns(_portal(s, d)).select("gstin", "return_type", "period", "amount"),
     f"""SELECT {_PAGE_ID} AS gstin, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '₹5' AS amount FROM pages
     UNION ALL SELECT {_PAGE_ID}, 'GSTR-1', 'Mar 2019', NULL FROM pages""")
 add("pag04_return_filings_from_text", lambda s, d: pages.parse_returns(_portal(s, d)))
@@ -321,13 +321,13 @@ q("snk02_upsert_registry", _upserted, "SELECT gstin, CASE WHEN gst_id % 3 = 0 TH
 
 def _companies(k):
     batch = k.companies.selectExpr("company_id AS row_id", "legal_name", "CASE WHEN company_id % 4 = 0 THEN concat('99', substr(gstin, 3)) "
-                                   "ELSE gstin END AS gstin", "state", "city").where("row_id >= 0")
+                                   "ELSE gstin END AS gstin", "state", "city")
     linked, _added = store.get_or_insert_companies(batch, k.companies.where("company_id % 3 <> 0"))
     return linked.select("row_id", (F.col("company_id") == F.col("row_id")).alias("known"))
 
 
 q("snk03_get_or_insert_companies", _companies, """SELECT company_id AS row_id, coalesce(gstin IS NOT NULL AND company_id % 4 <> 0 AND
-  company_id % 3 <> 0, FALSE) AS known FROM companies WHERE company_id >= 0""")
+  company_id % 3 <> 0, FALSE) AS known FROM companies""")
 q("snk04_enrich_company", lambda k: store.enrich_companies(k.companies, k.registry).select("company_id", "legal_name", "state", "address"),
   """SELECT company_id, coalesce(g.legal_name, c.legal_name) AS legal_name, coalesce(g.state, c.state) AS state,
   CASE WHEN g.gstin IS NOT NULL THEN g.state || ' - ' || pin_code ELSE address END AS address
@@ -446,7 +446,7 @@ def _reports(s, d):
 
 
 add("rsk07_report_rows", _reports, oracle(
-    """SELECT h.invoice_id, legal_name AS supplier, least(8, coalesce(valid, 0)) AS valid, least(10, coalesce(run, 0)) AS tests,
+    """SELECT h.invoice_id, legal_name AS supplier, coalesce(valid, 0) AS valid, coalesce(run, 0) AS tests,
     CASE WHEN count(*) OVER (PARTITION BY supplier_company_id, upper(trim(invoice_num))) > 1 THEN 1 ELSE 0 END AS matches
     FROM invoices h LEFT JOIN companies ON supplier_company_id = company_id LEFT JOIN (SELECT invoice_id,
       sum(CASE WHEN passed AND NOT is_suggestion THEN 1 ELSE 0 END) AS valid, sum(CASE WHEN is_suggestion THEN 0 ELSE 1 END) AS run

@@ -51,18 +51,18 @@ def _names(s, d):
     k = bridge.lake(s, d)
     right = k.registry.select(F.col("legal_name").alias("name")).unionByName(
         k.registry.select(F.col("trade_name").alias("name")))
-    return rg.similar_names(k.companies.where("company_id >= 0").select(F.col("legal_name").alias("name")), right, 0.6)
+    return rg.similar_names(k.companies.select(F.col("legal_name").alias("name")), right, 0.6)
 
 
 _PAIRS = f"""SELECT left_name, right_name, {similarity_sql('left_name', 'right_name')} AS similarity_score
-  FROM (SELECT DISTINCT lower(legal_name) AS left_name FROM companies WHERE company_id >= 0) a,
+  FROM (SELECT DISTINCT lower(legal_name) AS left_name FROM companies) a,
   (SELECT DISTINCT lower(legal_name) AS right_name FROM gst_companies UNION SELECT lower(trade_name) FROM gst_companies) b"""
 add("jn12_fuzzy_name_join", _names, oracle(f"SELECT * FROM ({_PAIRS}) x WHERE similarity_score >= 0.6"))
 
 
 def _recommended(s, d):
     k = bridge.lake(s, d)
-    return rg.recommendations(k.companies.where("company_id >= 0"), k.registry)
+    return rg.recommendations(k.companies, k.registry)
 
 
 add("reg03_recommendations", _recommended, oracle(
@@ -76,8 +76,8 @@ add("reg03_recommendations", _recommended, oracle(
       similar_gstins FROM companies c LEFT JOIN checked k ON c.company_id = k.company_id
       LEFT JOIN (SELECT company_id, string_agg(gstin, ', ' ORDER BY score DESC, gstin) AS similar_gstins FROM (
         SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, gstin) AS rn FROM (
-          SELECT company_id, g.gstin, {_BEST} AS score FROM companies c, gst_companies g WHERE company_id >= 0) p
-        WHERE score >= 0.6) q WHERE rn <= 2 GROUP BY 1) s ON c.company_id = s.company_id WHERE c.company_id >= 0) r""", CHECKED))
+          SELECT company_id, g.gstin, {_BEST} AS score FROM companies c, gst_companies g) p
+        WHERE score >= 0.6) q WHERE rn <= 2 GROUP BY 1) s ON c.company_id = s.company_id) r""", CHECKED))
 
 
 def _asked(s, d):

@@ -20,16 +20,20 @@ def _as_double(text: Column) -> Column:
     return text.try_cast("double")
 
 
+AMOUNT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+DIGITS = r"^(\d+\.?\d*|\.\d+)$"
+
+
 def clean_currency(text: Column) -> Column:
     """Amount written with a rupee sign, thousands commas or blanks; 0.0 when unreadable."""
     bare = F.regexp_replace(text, r"(?U)[₹,\s]", "")
-    return F.coalesce(F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), _as_double(bare)), F.lit(0.0))
+    return F.coalesce(F.when(bare.rlike(AMOUNT), _as_double(bare)), F.lit(0.0))
 
 
 def extract_number(text: Column) -> Column:
     """First run of digits and dots as a number; 0.0 when there is none or it is unreadable."""
     run = F.regexp_extract(text, r"[\d.]+", 0)
-    return F.coalesce(F.when(run.rlike(r"^(\d+\.?\d*|\.\d+)$"), _as_double(run)), F.lit(0.0))
+    return F.coalesce(F.when(run.rlike(DIGITS), _as_double(run)), F.lit(0.0))
 
 
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -248,16 +252,25 @@ def or_default(value: Column, default) -> Column:
     return F.coalesce(F.when(F.trim(value) != "", value), F.lit(default))
 
 
+def _sql(pattern: str) -> str:
+    """A pattern inside an SQL string."""
+    return pattern.replace("\\", "\\\\")
+
+
+_BARE = "regexp_replace(s, '(?U)[₹,\\\\s]', '')"
+_RUN = "regexp_extract(s, '[\\\\d.]+', 0)"
+
+
 def register_sql_functions(spark) -> None:
     """Make the pure-SQL functions callable from SQL text in this session."""
     for signature, returns, body in (
         ("clean_currency(s STRING)", "DOUBLE",
-         "coalesce(try_cast(regexp_replace(s, '(?U)[₹,\\\\s]', '') AS DOUBLE), 0.0D)"),
+         f"coalesce(CASE WHEN {_BARE} RLIKE '{_sql(AMOUNT)}' THEN try_cast({_BARE} AS DOUBLE) END, 0.0D)"),
         ("extract_number(s STRING)", "DOUBLE",
-         "coalesce(try_cast(regexp_extract(s, '[\\\\d.]+', 0) AS DOUBLE), 0.0D)"),
+         f"coalesce(CASE WHEN {_RUN} RLIKE '{_sql(DIGITS)}' THEN try_cast({_RUN} AS DOUBLE) END, 0.0D)"),
         ("valid_gstin(s STRING)", "BOOLEAN",
          f"coalesce(length(s) = 15 AND upper(s) RLIKE '^{GSTIN}$', false)"),
-        ("pan_of(s STRING)", "STRING", "substring(s, 3, 10)"),
+        ("pan_of(s STRING)", "STRING", f"CASE WHEN substring(s, 3, 10) RLIKE '{_sql(PAN)}' THEN substring(s, 3, 10) END"),
         ("valid_hsn(s STRING)", "BOOLEAN",
          "coalesce(length(regexp_replace(s, '[^0-9]', '')) BETWEEN 4 AND 8, false)"),
         ("valid_tax_rate(r DOUBLE)", "BOOLEAN", f"coalesce(r IN {TAX_RATES}, false)"),

@@ -112,13 +112,13 @@ def _text_filings(text: Column) -> Column:
     return F.concat(*found)
 
 
-def parse_returns(pages: DataFrame, keep: int = 15) -> DataFrame:
+def parse_returns(pages: DataFrame, keep: int | None = None) -> DataFrame:
     """(gstin, position, filing columns): filings from tables and, where those have fewer than three,
-    from sentences that name a type and period not seen yet; at most ``keep`` per page."""
+    from sentences that name a type and period not seen yet; the first ``keep`` of a page if given."""
     nothing = F.lit(None).cast("string")
 
     def from_row(r):
-        extra = F.filter(F.slice(r, 5, 1000), lambda c: (c != "") & (F.contains(c, F.lit("₹")) | c.rlike(r"\d")))
+        extra = F.filter(F.slice(r, 5, F.size(r)), lambda c: (c != "") & (F.contains(c, F.lit("₹")) | c.rlike(r"\d")))
         return _filing(F.get(r, F.lit(0)), F.get(r, F.lit(1)), F.get(r, F.lit(2)), F.coalesce(F.get(r, F.lit(3)), F.lit("Filed")),
                        F.get(extra, F.lit(0)), F.when(F.size(extra) > 1, F.try_element_at(extra, F.lit(-1))).otherwise(nothing))
     read = pages.select(
@@ -131,7 +131,7 @@ def parse_returns(pages: DataFrame, keep: int = 15) -> DataFrame:
     fresh = F.filter("told", lambda f, i: ~F.exists("tabled", same(f)) & ~F.exists(F.slice("told", 1, i), same(f)))
     every = F.when(F.size("tabled") < 3, F.concat("tabled", fresh)).otherwise(F.col("tabled"))
     # Outer, then filtered: a plain explode would read every page twice.
-    return read.select("gstin", F.posexplode_outer(F.slice(every, 1, keep)).alias("position", "f")).where(
+    return read.select("gstin", F.posexplode_outer(every if keep is None else F.slice(every, 1, keep)).alias("position", "f")).where(
         "f IS NOT NULL").select("gstin", "position", "f.*")
 
 

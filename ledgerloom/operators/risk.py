@@ -76,15 +76,14 @@ def assess(results: DataFrame) -> DataFrame:
 
 
 def report_rows(invoices: DataFrame, checks: DataFrame, matches: DataFrame, names: DataFrame,
-                shown_checks: int = 8, shown_tests: int = 10, shown_matches: int = 5) -> DataFrame:
-    """One nested row per invoice for a report: header, first checks, first tests, best matches.
+                shown_checks: int | None = None, shown_tests: int | None = None, shown_matches: int | None = None) -> DataFrame:
+    """One nested row per invoice for a report: header, passed checks, tests, matches from the best on.
 
-    Each list is cut to its shown length by a row limit that applies before the shuffle;
-    nothing collects more than that per invoice.
+    Lists are whole unless a length to show is given.
     """
     def first(rows, order, n, fields, name):
         ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy("invoice_id").orderBy(*order)))
-        kept = ranked.where(F.col("_rn") <= n)
+        kept = ranked if n is None else ranked.where(F.col("_rn") <= n)
         return kept.groupBy("invoice_id").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("_rn", F.struct(*fields).alias("v")))), lambda x: x["v"]).alias(name))
     tests = ("test_id", "item_id", "expected", "actual", "passed")

@@ -69,7 +69,7 @@ def list_files(spark, path: str, pattern: str = "*.json") -> DataFrame:
 
 
 def _rest(name: Column) -> Column:
-    return F.substring(name, len(ANALYSIS_PREFIX) + 1, 1000)
+    return F.substring(name, F.lit(len(ANALYSIS_PREFIX) + 1), F.length(name))
 
 
 def _analysis_files(files: DataFrame) -> DataFrame:
