@@ -79,9 +79,53 @@ add("dup11_rate_score", lambda s, d: _listed_scores(s, d).select(
     AS rate_score FROM ({_RATE_BEST}) p
     JOIN (SELECT invoice_id AS i1, count(*) AS n1 FROM items GROUP BY 1) x ON i1 = p.invoice_id
     JOIN (SELECT invoice_id AS i2, count(*) AS n2 FROM items GROUP BY 1) y ON i2 = p.candidate_id GROUP BY 1, 2, n1, n2""", _PAIRS))
+# Code and description both come from the part: lines with one code have one text, and lines with
+# different codes stay under the limits of product and line similarity. So only the former count.
+_RATIO = """(CASE WHEN a.{c} > 0 AND b.{c} > 0 THEN greatest(0::DOUBLE, 1 - abs(CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE)) /
+  greatest(CAST(a.{c} AS DOUBLE), CAST(b.{c} AS DOUBLE))) END)""".format
+_PRICE, _WORTH = _RATIO(c="unit_price"), _RATIO(c="taxable_value")
+_PAIR_SCORES = ("sizes AS (SELECT invoice_id AS id, count(*) AS n, list(DISTINCT hsn_code) AS codes FROM items GROUP BY 1)", f"""coded AS (
+  SELECT p.invoice_id, candidate_id, a.item_id,
+    max((0.65::DOUBLE + coalesce(0.2::DOUBLE * {_PRICE}, 0) + coalesce(0.3::DOUBLE * {_WORTH}, 0)) /
+      (0.65::DOUBLE + CASE WHEN {_PRICE} IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN {_WORTH} IS NULL THEN 0 ELSE 0.3::DOUBLE END)) AS item,
+    max(0.6::DOUBLE + 0.2::DOUBLE * {_SIM(a='a.quantity', b='b.quantity')} + 0.2::DOUBLE * {_SIM(a='a.unit_price', b='b.unit_price')}) AS line
+  FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id JOIN items b ON candidate_id = b.invoice_id AND a.hsn_code = b.hsn_code
+  GROUP BY 1, 2, 3)""", """coded_pairs AS (
+  SELECT invoice_id, candidate_id, sum(CASE WHEN item > 0.8 THEN item END) AS items, count(*) FILTER (item > 0.8) AS matching,
+    sum(CASE WHEN line > 0.7 THEN line END) AS lines FROM coded GROUP BY 1, 2)""", f"""rated_pairs AS (
+  SELECT invoice_id, candidate_id, sum(CASE WHEN best > 0.8 THEN best END) AS rates FROM ({_RATE_BEST}) r GROUP BY 1, 2)""", """scores AS (
+  SELECT p.invoice_id, p.candidate_id, coalesce(matching, 0) AS matching_products, coalesce(items, 0::DOUBLE) / a.n AS product_score,
+    coalesce(lines, 0::DOUBLE) / greatest(a.n, b.n) AS line_score, coalesce(rates, 0::DOUBLE) / greatest(a.n, b.n) AS rate_score,
+    CAST(len(list_intersect(a.codes, b.codes)) AS DOUBLE) / len(list_distinct(list_concat(a.codes, b.codes))) AS hsn_ratio
+  FROM pairs p JOIN sizes a ON p.invoice_id = a.id JOIN sizes b ON candidate_id = b.id
+  LEFT JOIN coded_pairs c ON p.invoice_id = c.invoice_id AND p.candidate_id = c.candidate_id
+  LEFT JOIN rated_pairs r ON p.invoice_id = r.invoice_id AND p.candidate_id = r.candidate_id)""")
 add("dup08_product_score", lambda s, d: _listed_scores(s, d).select(
-    "invoice_id", "candidate_id", "matching_products", "product_score"))
-add("dup09_line_score", lambda s, d: _listed_scores(s, d).select("invoice_id", "candidate_id", "line_score"))
+    "invoice_id", "candidate_id", "matching_products", F.round("product_score", 6).alias("product_score")), oracle(
+    "SELECT invoice_id, candidate_id, matching_products, round(product_score, 6) AS product_score FROM scores", _PAIRS, *_PAIR_SCORES))
+add("dup09_line_score", lambda s, d: _listed_scores(s, d).select("invoice_id", "candidate_id", F.round("line_score", 6).alias("line_score")), oracle(
+    "SELECT invoice_id, candidate_id, round(line_score, 6) AS line_score FROM scores", _PAIRS, *_PAIR_SCORES))
+
+
+# Everything that is compared: one supplier, one number, and the lists. Then the cascade, step by step.
+_COMPARED = f"""pairs AS (SELECT a.invoice_id, b.invoice_id AS candidate_id FROM invoices a JOIN invoices b
+    ON a.supplier_company_id = b.supplier_company_id AND a.invoice_id <> b.invoice_id
+  UNION SELECT a.invoice_id, b.invoice_id FROM invoices a JOIN invoices b ON a.invoice_num = b.invoice_num AND a.invoice_num <> '' AND a.invoice_id <> b.invoice_id
+  UNION SELECT invoice_id, candidate_id FROM ({NEAREST}) n UNION SELECT invoice_id, candidate_id FROM ({SHARED}) h)"""
+_FOUND = (_COMPARED, *_PAIR_SCORES, """step1 AS (SELECT s.*, a.supplier_company_id = b.supplier_company_id AS same,
+    a.supplier_company_id = b.supplier_company_id AND upper(trim(a.invoice_num)) = upper(trim(b.invoice_num)) AND trim(a.invoice_num) <> '' AS exact,
+    CASE WHEN a.supplier_company_id = b.supplier_company_id AND product_score >= 0.85 THEN product_score * 0.9::DOUBLE ELSE 0::DOUBLE END AS c1
+  FROM scores s JOIN invoices a ON s.invoice_id = a.invoice_id JOIN invoices b ON candidate_id = b.invoice_id)""",
+  """step2 AS (SELECT *, line_score > 0.8 AND c1 < 0.85 AS by_line, CASE WHEN line_score > 0.8 AND c1 < 0.85 THEN 0.8::DOUBLE + line_score * 0.05::DOUBLE
+    ELSE c1 END AS c2 FROM step1)""",
+  """step3 AS (SELECT *, hsn_ratio > 0.8 AND c2 < 0.75 AS by_code, CASE WHEN hsn_ratio > 0.8 AND c2 < 0.75 THEN greatest(c2, 0.7::DOUBLE + hsn_ratio * 0.05::DOUBLE)
+    ELSE c2 END AS c3 FROM step2)""",
+  """found AS (SELECT * FROM (SELECT invoice_id, candidate_id,
+    CASE WHEN exact THEN 'EXACT_INVOICE_NUMBER_SAME_COMPANY' WHEN by_line THEN 'PRODUCT_LINE_DUPLICATION' WHEN c1 > 0 THEN 'SAME_COMPANY_PRODUCT_DUPLICATION'
+      WHEN by_code THEN 'HSN_PATTERN_MATCH' WHEN rate_score > 0.85 AND c3 < 0.7 THEN 'RATE_PATTERN_MATCH' END AS match_type,
+    CASE WHEN exact THEN 0.95::DOUBLE WHEN rate_score > 0.85 AND c3 < 0.7 THEN greatest(c3, 0.65::DOUBLE + rate_score * 0.05::DOUBLE) ELSE c3 END AS confidence
+    FROM step3) x WHERE confidence > 0.5)""",
+  "best AS (SELECT invoice_id, max(confidence) AS confidence, count(*) AS matches FROM found GROUP BY 1)")
 
 
 def _matches(s, d):
@@ -121,7 +165,10 @@ add("dup14_recommendation", lambda s, d: _share(s, d).where("confidence > 0.5").
     "recommendation", du.recommendation(F.col("confidence"))), oracle(
     f"""SELECT invoice_id, confidence, {_RECOMMEND} AS recommendation FROM (SELECT invoice_id,
     CAST(invoice_id % 101 AS DOUBLE) / 100 AS confidence FROM invoices) x WHERE confidence > 0.5"""))
-add("dup15_verdicts", _verdicts)
+add("dup15_verdicts", lambda s, d: _verdicts(s, d).withColumn("confidence", F.round("confidence", 6)), oracle(
+    """SELECT h.invoice_id, invoice_num, coalesce(confidence > 0.7, FALSE) AS is_duplicate, round(coalesce(confidence, 0::DOUBLE), 6) AS confidence,
+    coalesce(matches, 0) AS matches, CASE WHEN confidence > 0.7 THEN 'MARK_AS_DUPLICATE' WHEN confidence IS NOT NULL THEN 'MANUAL_REVIEW_REQUIRED'
+    ELSE 'APPROVE_AS_UNIQUE' END AS recommended_action FROM invoices h LEFT JOIN best b ON h.invoice_id = b.invoice_id""", *_FOUND))
 add("dup15_exact_verdicts", lambda s, d: du.duplicate_verdicts(
     bridge.lake(s, d).invoices, du.exact_matches(bridge.lake(s, d).invoices)), oracle(
     """SELECT invoice_id, invoice_num, n > 1 AS is_duplicate, CASE WHEN n > 1 THEN 0.95::DOUBLE ELSE 0::DOUBLE END AS confidence,
@@ -148,13 +195,17 @@ add("dup18_number_supplier_total", lambda s, d: du.groups_with_members(
     CAST(group_size * (group_size - 1) // 2 AS BIGINT) AS pairs_in_group FROM (SELECT *, count(*) OVER w AS group_size,
     min(invoice_id) OVER w AS first_id FROM (SELECT *, round(total_value / 100000.0, 0) * 100000 AS v FROM invoices) r
     WINDOW w AS (PARTITION BY invoice_num, supplier_company_id, v)) x WHERE group_size > 1"""))
-add("dup19_match_summary", lambda s, d: du.match_summary(_matches(s, d)).withColumn(
-    "match_types", F.array_join("match_types", ",")))
+add("dup19_match_summary", lambda s, d: du.match_summary(_matches(s, d)).withColumns({
+    "match_types": F.array_join("match_types", ","), "best_confidence": F.round("best_confidence", 6)}), oracle(
+    """SELECT invoice_id, count(*) AS matches, string_agg(DISTINCT match_type, ',' ORDER BY match_type) AS match_types,
+    count(*) FILTER (confidence >= 0.85) AS high_confidence, round(max(confidence), 6) AS best_confidence FROM found GROUP BY 1""", *_FOUND))
 add("dup20_scenario_labels", lambda s, d: du.exact_matches(bridge.lake(s, d).invoices).join(
     du.scenario_labels(s), "match_type").select("invoice_id", "match_type", "declared_confidence"), oracle(
     """SELECT invoice_id, 'EXACT_INVOICE_NUMBER_SAME_COMPANY' AS match_type, 0.95::DOUBLE AS declared_confidence FROM (
     SELECT *, count(*) OVER (PARTITION BY supplier_company_id, upper(trim(invoice_num))) AS n FROM invoices) x WHERE n > 1"""))
-add("agg11_confidence_bands", lambda s, d: du.confidence_bands(_verdicts(s, d)))
+add("agg11_confidence_bands", lambda s, d: du.confidence_bands(_verdicts(s, d)), oracle(
+    """SELECT CASE WHEN c > 0.8 THEN 'high' WHEN c > 0.6 THEN 'medium' WHEN c > 0.4 THEN 'low' ELSE 'very low' END AS band, count(*) AS invoices
+    FROM (SELECT coalesce(confidence, 0) AS c FROM invoices h LEFT JOIN best b ON h.invoice_id = b.invoice_id) x GROUP BY 1""", *_FOUND))
 add("win03_best_line_match", lambda s, d: _best_line(s, d), oracle(
     """SELECT invoice_id, candidate_id, item_id, other_item FROM (SELECT p.invoice_id, candidate_id, a.item_id, b.item_id AS other_item,
     row_number() OVER (PARTITION BY p.invoice_id, candidate_id, a.item_id ORDER BY abs(a.taxable_value - b.taxable_value), b.item_id) AS rn
