@@ -33,9 +33,18 @@ def _contains_any(text: Column, words) -> Column:
     return test
 
 
+def document_key(docs: DataFrame) -> Column:
+    """What tells documents apart: a digest of file name and content. Files of one name stay apart, a file read again does not."""
+    return F.md5(raw_json(docs).cast("binary"))
+
+
+def raw_json(docs: DataFrame) -> Column:
+    return F.to_json(F.struct(*docs.columns))
+
+
 def extract_headers(docs: DataFrame) -> DataFrame:
     """Header attributes per document, from form fields first and from OCR text where those are silent."""
-    known = docs.withColumn("_fields", field_map(F.col("form_analysis.form_fields")))
+    known = docs.withColumns({"_key": document_key(docs), "_raw": raw_json(docs)}).withColumn("_fields", field_map(F.col("form_analysis.form_fields")))
     for name, aliases in ALIASES.items():
         known = known.withColumn(name, F.coalesce(*[F.try_element_at("_fields", F.lit(a)) for a in aliases]))
     keys = F.filter(F.map_keys("_fields"), lambda k: F.contains(k, F.lit("gstin")))
@@ -50,7 +59,9 @@ def extract_headers(docs: DataFrame) -> DataFrame:
         F.when(F.col("taxable_text").isNotNull(), taxable).alias("taxable_value"),
         F.when(F.col("tax_text").isNotNull(), tax).alias("total_tax"),
     ).select(
-        F.col("file_info.filename").alias("filename"), F.col("summary.confidence_score").alias("confidence"), "supplier_gstin",
+        F.col("_key").alias("document_key"), F.col("file_info.filename").alias("filename"), F.col("file_info.file_size_bytes").alias("file_size_bytes"),
+        F.col("_raw").alias("raw_data"),
+        F.col("summary.confidence_score").alias("confidence"), "supplier_gstin",
         F.col("number").alias("invoice_num"), fn.parse_invoice_date(F.col("invoice_date_text")).alias("invoice_date"),
         "taxable_value", "total_tax", F.col("terms").alias("payment_terms"),
         derived_total(F.lit(None).cast("double"), F.col("taxable_value"), F.col("total_tax")).alias("total_value"))
@@ -70,12 +81,12 @@ def _column_kind(title: Column) -> Column:
 
 
 def _table_rows(docs: DataFrame, words) -> DataFrame:
-    """(filename, table_index, header, row_index, row) of tables whose header names one of the words."""
-    tables = docs.select(F.col("file_info.filename").alias("filename"),
+    """(document_key, filename, table_index, header, row_index, row) of tables whose header names one of the words."""
+    tables = docs.select(document_key(docs).alias("document_key"), F.col("file_info.filename").alias("filename"),
                          F.posexplode("table_analysis.tables").alias("table_index", "t")).where(F.size("t.rows") >= 2)
     headed = tables.withColumn("header", F.transform(F.get("t.rows", F.lit(0)), lambda c: F.lower(F.coalesce(c, F.lit("none")))))
     useful = headed.where(_contains_any(F.array_join("header", " "), words))
-    return useful.select("filename", "table_index", "header", F.posexplode("t.rows").alias("row_index", "row")).where(
+    return useful.select("document_key", "filename", "table_index", "header", F.posexplode("t.rows").alias("row_index", "row")).where(
         (F.col("row_index") > 0) & (F.size("row") >= 4))
 
 
@@ -108,7 +119,7 @@ def extract_line_items(docs: DataFrame) -> DataFrame:
         "filename", "table_index", "row_index", text("description", 1).alias("description"),
         F.when(F.trim(text("hsn", 3)) != "", text("hsn", 3)).otherwise("").alias("hsn_code"),
         fn.extract_number(text("quantity", 4)).alias("quantity"), fn.clean_currency(text("rate", 5)).alias("unit_price"),
-        taxable.alias("taxable_value"))
+        taxable.alias("taxable_value"), "document_key")
     return items.where((F.trim("description") != "") & (F.col("description") != "Total") &
                        ((F.col("taxable_value") > 0) | (F.col("quantity") > 0))).select(
         "*", F.when(F.col("taxable_value") > 0, DEFAULT_RATE).alias("gst_rate"),
@@ -122,21 +133,21 @@ def extract_line_items_by_position(docs: DataFrame) -> DataFrame:
         "filename", "table_index", "row_index", F.coalesce(_cell(F.lit(0)), F.lit("")).alias("description"),
         F.when(fn.valid_hsn(_cell(F.lit(2))), F.trim(_cell(F.lit(2)))).otherwise("").alias("hsn_code"),
         fn.extract_number(_cell(F.lit(3))).alias("quantity"), fn.clean_currency(_cell(F.lit(4))).alias("unit_price"),
-        fn.clean_currency(_cell(F.lit(6))).alias("taxable_value")).where(
+        fn.clean_currency(_cell(F.lit(6))).alias("taxable_value"), "document_key").where(
         (F.col("description") != "") & (F.col("description") != "Total"))
 
 
 def extract_invoices(docs: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Headers with their line items as an array: the input of ``store.normalize_extracted``.
 
-    ``types``: filename, document_type.
+    ``types``: document_key, document_type.
     """
     line = F.struct("table_index", "row_index", "description", "hsn_code", "quantity", "unit_price", "taxable_value")
-    lines = extract_line_items(docs).groupBy("filename").agg(F.array_sort(F.collect_list(line)).alias("line_items"))
-    heads = extract_headers(docs)
-    heads = heads.withColumn("document_type", F.lit("B2B_INVOICE")) if types is None else heads.join(types, "filename", "left")
+    lines = extract_line_items(docs).distinct().groupBy("document_key").agg(F.array_sort(F.collect_list(line)).alias("line_items"))
+    heads = extract_headers(docs).dropDuplicates(["document_key"])
+    heads = heads.withColumn("document_type", F.lit("B2B_INVOICE")) if types is None else heads.join(types, "document_key", "left")
     nothing = F.array().cast(lines.schema["line_items"].dataType)
-    return heads.join(lines, "filename", "left").withColumns({
+    return heads.join(lines, "document_key", "left").withColumns({
         "line_items": F.coalesce("line_items", nothing), "supplier_name": F.lit(None).cast("string"),
         "supplier_state": F.lit(None).cast("string")})
 
@@ -144,8 +155,8 @@ def extract_invoices(docs: DataFrame, types: DataFrame | None = None) -> DataFra
 def extraction_log(docs: DataFrame, invoices: DataFrame) -> DataFrame:
     """Per document: outcome, confidence, counts and the keys read with more than 90 % confidence."""
     sure = F.transform(F.filter("form_analysis.form_fields", lambda f: f["confidence"] > 90), lambda f: f["key"])
-    seen = docs.select(F.col("file_info.filename").alias("filename"), F.size("form_analysis.form_fields").alias("fields"),
+    seen = docs.select(document_key(docs).alias("document_key"), F.col("file_info.filename").alias("filename"), F.size("form_analysis.form_fields").alias("fields"),
                        F.size("table_analysis.tables").alias("tables"), sure.alias("confident_keys"))
-    done = invoices.select("filename", "document_type", "confidence", F.size("line_items").alias("line_items"),
+    done = invoices.select("document_key", "document_type", "confidence", F.size("line_items").alias("line_items"),
                            (F.col("invoice_num").isNotNull() & (F.col("taxable_value") > 0)).alias("success"))
-    return seen.join(done, "filename", "left")
+    return seen.join(done, "document_key", "left").drop("document_key")

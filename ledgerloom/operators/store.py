@@ -92,11 +92,11 @@ def set_document_types(documents: DataFrame, types: DataFrame) -> DataFrame:
 def normalize_extracted(extracted: DataFrame, companies: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """Rows to append to documents, companies, products, invoices and invoice_item, in that order.
 
-    ``extracted``: filename, document_type, confidence, supplier_name, supplier_gstin, supplier_state,
+    ``extracted``: document_key, filename, file_size_bytes, raw_data, document_type, confidence, supplier_name, supplier_gstin, supplier_state,
     invoice_num, invoice_date, taxable_value, total_tax, total_value, line_items. Ids are hashes of
     business keys, so all five frames agree without a lookup and a retried write repeats itself.
     """
-    doc_id = new_id(F.lit("doc"), F.col("filename"))
+    doc_id = new_id(F.lit("doc"), F.col("document_key"))
     money = "decimal(15,2)"
 
     def amount(name):
@@ -126,7 +126,7 @@ def normalize_extracted(extracted: DataFrame, companies: DataFrame, products: Da
         F.coalesce(F.col("unit_price").try_cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")).alias("unit_price"),
         taxable.alias("taxable_value"), F.lit(18).cast("decimal(5,2)").alias("gst_rate"), gst.alias("gst_amount"),
         (taxable + gst).cast(money).alias("total_amount"))
-    documents = docs.select("doc_id", F.col("document_type").alias("doc_type"), "filename",
+    documents = docs.select("doc_id", F.col("document_type").alias("doc_type"), "filename", "file_size_bytes", "raw_data",
                             F.col("confidence").try_cast("decimal(5,2)").alias("analysis_confidence"))
     return {"documents": documents, "companies": new_companies, "products": new_products, "invoices": invoices,
             "invoice_item": items}

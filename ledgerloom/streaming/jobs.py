@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerloom import model
 from ledgerloom.lake import Lake
-from ledgerloom.operators import duplicates, extract, store, validation
+from ledgerloom.operators import classify, duplicates, extract, store, validation
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +20,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest(documents: DataFrame, root: str, checkpoint: str,
            after: Callable[[DataFrame, DataFrame], None] | None = None) -> DataStreamWriter:
-    """Extract, store and validate each batch of new documents.
+    """Classify, extract, store and validate each batch of new documents.
 
     Ids are hashes of business keys, and rows already stored are left out, so a batch that
     is run again after a failure adds nothing. ``after`` receives the verdicts and the exact
@@ -29,7 +29,11 @@ def ingest(documents: DataFrame, root: str, checkpoint: str,
     def run(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         lake = Lake.at(spark, root)
-        rows = store.normalize_extracted(extract.extract_invoices(batch), lake.companies, lake.products)
+        told = batch.select(extract.document_key(batch).alias("document_key"), classify.analysis_text(batch).alias("told")).dropDuplicates(["document_key"])
+        types = classify.classify(told, "told", "document_key").select("document_key", "document_type")
+        # Read by each of the written tables.
+        extracted = extract.extract_invoices(batch, types).persist()
+        rows = store.normalize_extracted(extracted, lake.companies, lake.products)
         keys = {"documents": "doc_id", "companies": "company_id", "products": "product_id", "invoices": "invoice_id",
                 "invoice_item": "item_id"}
         fresh = {}
@@ -45,8 +49,13 @@ def ingest(documents: DataFrame, root: str, checkpoint: str,
             now = Lake.at(spark, root)
             mine = now.invoices.join(stored_ids, "invoice_id", "left_semi")
             lines = now.items.join(stored_ids, "invoice_id", "left_semi")
-            exact = duplicates.exact_matches(now.invoices).join(stored_ids, "invoice_id", "left_semi")
+            # Only stored invoices with a number of this batch can be repeats of it.
+            number = F.upper(F.trim("invoice_num"))
+            asked = now.invoices.withColumn("_number", number).join(
+                mine.select(number.alias("_number")).distinct(), "_number", "left_semi").drop("_number")
+            exact = duplicates.exact_matches(asked).join(stored_ids, "invoice_id", "left_semi")
             after(validation.verdicts(mine, lines), exact)
+        extracted.unpersist()
     return documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 

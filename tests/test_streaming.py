@@ -82,3 +82,26 @@ def test_repeats(spark, tmp_path):
         return spark.table(name).count()
     assert drain(jobs.first_arrivals(source, "ts"), "firsts") == 2
     assert drain(jobs.repeats_of_stored(source, df.where(F.col("invoice_num") == "A")), "repeats") == 2
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    root, inbox = str(tmp_path / "lake"), tmp_path / "inbox"
+    inbox.mkdir()
+    for name, schema in model.TABLES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{root}/{name}")
+
+    def run():
+        jobs.ingest(jobs.read_documents(spark, str(inbox)), root, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    one, two, three = ({**document(), "ocr_text": f"text {i}", "file_info": {"filename": "scan.pdf", "file_size_bytes": i}} for i in range(3))
+    (inbox / "a.json").write_text(json.dumps(one))
+    (inbox / "b.json").write_text(json.dumps(two))
+    run()
+    (inbox / "c.json").write_text(json.dumps(three))
+    (inbox / "d.json").write_text(json.dumps(one))  # read again
+    run()
+    lake = Lake.at(spark, root)
+    assert (lake.documents.count(), lake.invoices.count(), lake.items.count()) == (3, 3, 6)
+    assert {r["file_size_bytes"] for r in lake.documents.collect()} == {0, 1, 2}
+    assert lake.documents.where("raw_data IS NULL").count() == 0
+    assert lake.items.groupBy("invoice_id").count().where("count <> 2").count() == 0
