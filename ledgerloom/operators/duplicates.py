@@ -419,8 +419,9 @@ def duplicate_matches(invoices: DataFrame, items: DataFrame, k: int = 10) -> Dat
     lonely = F.concat(F.lit("#"), F.col("invoice_id").cast("string"))
     # A scope is one supplier or one number; 'apart' names the invoices that are exact
     # matches of each other inside a scope, which are not scored again.
-    in_supplier = heads.where("supplier_company_id IS NOT NULL").select(
-        F.concat(F.lit("S:"), F.col("supplier_company_id").cast("string")).alias("scope"), "profile", "invoice_id",
+    # Missing suppliers are one supplier here, as in score_pairs and exact_matches.
+    in_supplier = heads.select(
+        F.concat(F.lit("S:"), F.coalesce(F.col("supplier_company_id").cast("string"), F.lit(""))).alias("scope"), "profile", "invoice_id",
         F.coalesce(F.concat(F.lit("="), "number"), lonely).alias("apart"))
     in_number = heads.where("invoice_num <> ''").select(
         F.concat(F.lit("N:"), "invoice_num").alias("scope"), "profile", "invoice_id",
@@ -434,7 +435,7 @@ def duplicate_matches(invoices: DataFrame, items: DataFrame, k: int = 10) -> Dat
     of_a = heads.select("invoice_id", F.col("supplier_company_id").alias("s1"), F.col("invoice_num").alias("n1"), F.col("profile").alias("a"))
     of_b = heads.select(F.col("invoice_id").alias("candidate_id"), F.col("supplier_company_id").alias("s2"),
                         F.col("invoice_num").alias("n2"), F.col("profile").alias("b"))
-    apart = ~F.coalesce(F.col("s1") == F.col("s2"), F.lit(False)) & ~F.coalesce(
+    apart = ~F.col("s1").eqNullSafe(F.col("s2")) & ~F.coalesce(
         (F.col("n1") == F.col("n2")) & (F.col("n1") != ""), F.lit(False))
     listed = cut_lineage(listed_pairs(invoices, items, k).select("invoice_id", "candidate_id").distinct()
                          .join(of_a, "invoice_id").join(of_b, "candidate_id").where(apart)

@@ -108,7 +108,7 @@ def make(seed, n=70):
             total += value or 0
             items.append((i, i * 100 + j, name, code, Decimal(qty), Decimal(price), value))
         number = rnd.choice(["A-1", "a-1", " A-1", "B-2", "C-3", "", None] + [f"N-{i}"] * 8)
-        invoices.append((i, number, None, rnd.choice([1, 1, 1, 2, 3]), total, Decimal(0), total))
+        invoices.append((i, number, None, rnd.choice([1, 1, 1, 2, 3, None, None]), total, Decimal(0), total))
     return invoices, items
 
 
