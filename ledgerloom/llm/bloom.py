@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgerloom.llm.common import OWN, partitions
+from ledgerloom.llm.common import OWN, map_texts, partitions
 
 SEGMENT_BITS = 16
 MOST_CELL_BITS = 28
 CELLS_PER_KEY = 16
+#: Keys that a task gathers before it passes their cells on.
+GATHERED = 50_000
 
 
 def string_digests(column: str) -> Column:
@@ -26,23 +28,31 @@ def _cells(digests: list[bytes], bits: int) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4) & np.uint64((1 << bits) - 1)
 
 
+def _counted(digests: list[bytes], bits: int) -> pa.RecordBatch:
+    """For each segment the cells that these keys set once, and those that they set more often."""
+    cells, times = np.unique(_cells(digests, bits), return_counts=True)
+    segment = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int64)
+    offset = (cells & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2")
+    starts = np.flatnonzero(np.diff(segment, prepend=-1))
+    out = [(int(segment[a]), offset[a:b][times[a:b] == 1].tobytes(), offset[a:b][times[a:b] > 1].tobytes())
+           for a, b in zip(starts, [*starts[1:], len(segment)])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["segment", "once", "twice"])
+
+
 def bloom_filter(found: DataFrame, rows: int, least: int) -> tuple[np.ndarray, int]:
     """Packed bits of the cells that are set `least` (1 or 2) times or more by the keys in the column
     digest (32 bytes each), and the number of cells as a power of two. rows: how many keys there are."""
     bits = min(MOST_CELL_BITS, max(SEGMENT_BITS, (rows * CELLS_PER_KEY).bit_length()))
 
     def count(batches):
+        some = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, times = np.unique(_cells(batch.column("digest").to_pylist(), bits), return_counts=True)
-            segment = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int64)
-            offset = (cells & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2")
-            starts = np.flatnonzero(np.diff(segment, prepend=-1))
-            out = [(int(segment[a]), offset[a:b][times[a:b] == 1].tobytes(), offset[a:b][times[a:b] > 1].tobytes())
-                   for a, b in zip(starts, [*starts[1:], len(segment)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))],
-                                             ["segment", "once", "twice"])
+            some += batch.column("digest").to_pylist()
+            if len(some) >= GATHERED:
+                yield _counted(some, bits)
+                some = []
+        if some:
+            yield _counted(some, bits)
 
     def merge(batches):
         # Rows come sorted by segment, so one segment's cells are held at a time.
@@ -85,7 +95,7 @@ def flagged(rows: DataFrame, digest: str, flag: str, bloom) -> DataFrame:
             hit = probe(batch.column(digest).to_pylist(), packed, bits) if batch.num_rows else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, flag])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
+    return map_texts(rows, run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -32,6 +32,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at a time where they hold texts: with the default of Spark a batch of
+#: long documents takes gigabytes, here a batch takes as many texts.
+BATCH_ROWS = 256
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches. The session keeps the setting, since frames are evaluated later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def raw_text(text: str = "text"):
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

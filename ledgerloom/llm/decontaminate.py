@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import map_texts, staged
 from ledgerloom.llm.words import GOLDEN, mixed
 
 #: Places that count, as masks over consecutive words. Each lets single substitutions fall into its gaps.
@@ -170,7 +170,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share:
                 kinds = [batch.schema.field("doc_id").type, pa.string() if item_kind.simpleString() == "string" else pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        part = given.mapInArrow(run, schema)
+        part = map_texts(given, run, schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 

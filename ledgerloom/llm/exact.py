@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerloom.llm.bloom import bloom_filter, flagged
-from ledgerloom.llm.common import OWN, raw_text, staged
+from ledgerloom.llm.common import OWN, map_texts, raw_text, staged
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -43,8 +43,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, chars (code points of the original), digest (32 bytes of the normalised text)."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"),
                         raw_text(text_col).alias("raw"))
-    return given.mapInArrow(lambda batches: _with_digests(batches, "raw", "digest"),
-                            f"doc_id {given.schema['doc_id'].dataType.simpleString()}, chars int, digest binary")
+    return map_texts(given, lambda batches: _with_digests(batches, "raw", "digest"),
+                     f"doc_id {given.schema['doc_id'].dataType.simpleString()}, chars int, digest binary")
 
 
 def _groups(found: DataFrame) -> tuple[DataFrame, DataFrame, object]:
@@ -79,7 +79,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     raw, digest, maybe, chars = (OWN + x for x in ("raw", "digest", "maybe", "chars"))
     rows = docs.withColumns({raw: raw_text(text_col), chars: F.length(F.coalesce(F.col(text_col), F.lit("")))})
     schema = T.StructType([f for f in rows.schema.fields if f.name != raw] + [T.StructField(digest, T.BinaryType())])
-    marked = flagged(rows.mapInArrow(lambda batches: _with_digests(batches, raw, digest), schema), digest, maybe, bloom)
+    marked = flagged(map_texts(rows, lambda batches: _with_digests(batches, raw, digest), schema), digest, maybe, bloom)
     alone = marked.filter(~F.col(maybe))
     first = (F.col(digest) == groups["digest"]) & F.col(id_col).eqNullSafe(groups["keep_id"]) & (F.col(chars) == groups["keep_chars"])
     stays = marked.filter(maybe).join(groups, first, "left_semi").dropDuplicates([digest])

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import held_out
+from ledgerloom.llm.common import held_out, map_texts
 
 DIMS_BITS = 13
 DIMS = 1 << DIMS_BITS
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, each: int = 300, k: int = 3) -> Centroids:
                                               pa.array([c.astype("<u4").tobytes() for _, _, c in rows], pa.binary())], ["doc_id", "lang", "counts"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    found = sorted((r["lang"], r["doc_id"], bytes(r["counts"])) for r in given.filter(place < bound).select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, counts binary").collect())
+    found = sorted((r["lang"], r["doc_id"], bytes(r["counts"])) for r in map_texts(given.filter(place < bound).select("doc_id", "lang", "text"), run, f"doc_id {kind}, lang string, counts binary").collect())
     return fit([(lang, np.frombuffer(c, "<u4")) for lang, _, c in found], k)
 
 
@@ -137,4 +137,4 @@ def predictions(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_
             found, score, far = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(score), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return map_texts(given, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.bloom import bloom_filter, probe, string_digests, without
-from ledgerloom.llm.common import raw_text, staged
+from ledgerloom.llm.common import map_texts, raw_text, staged
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import hashed_words, windows
 
@@ -69,12 +69,12 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """doc_id, node (the set's digest), size, sketch: its k smallest hashes."""
     def run(batches):
         for batch in batches:
-            found = [s for _, s in shingle_sets(batch.column("raw").to_pylist(), width)]
+            found = [(_node(s), len(s), s[:k].copy()) for _, s in shingle_sets(batch.column("raw").to_pylist(), width)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([_node(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()),
-                 _lists([s[:k] for s in found])], ["doc_id", "node", "size", "sketch"])
+                [batch.column("doc_id"), pa.array([n for n, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()),
+                 _lists([s for _, _, s in found])], ["doc_id", "node", "size", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, size long, sketch array<long>")
+    return map_texts(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, size long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -93,7 +93,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             found = [s for _, s in shingle_sets([raws[i] for i in ask], width)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.binary()), _lists(found)], ["node", "hashes"])
 
-    sets = docs.withColumn("digest", string_digests("doc_id")).mapInArrow(run, "node binary, hashes array<long>")
+    sets = map_texts(docs.withColumn("digest", string_digests("doc_id")), run, "node binary, hashes array<long>")
     return sets.join(wanted.select("node", "nid"), "node").select("nid", "hashes")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import map_texts, staged
 from ledgerloom.llm.tokenfile import id_lists
 from ledgerloom.llm.tokens import encoder
 
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, with_id
                 yield _batch(rows, some if with_ids else None, batch)
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, number long" + ", ids array<int>" * with_ids)
+    return map_texts(given, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, number long" + ", ids array<int>" * with_ids)
 
 
 def _batch(rows: list[tuple], ids: list | None, like: pa.RecordBatch) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import held_out, raw_text
+from ledgerloom.llm.common import held_out, map_texts, raw_text
 from ledgerloom.llm.words import hashed_words
 
 FEATURES = ("log_bytes", "upper", "shouts", "bars", "marks", "digits", "distinct", "repeated", "word_length", "stops", "commas",
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 12_000, label_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     kind, label = (given.schema[c].dataType.simpleString() for c in ("doc_id", "label"))
-    found = sorted((r["doc_id"], r["label"], tuple(r["x"])) for r in given.mapInArrow(run, f"doc_id {kind}, label {label}, x array<double>").collect())
+    found = sorted((r["doc_id"], r["label"], tuple(r["x"])) for r in map_texts(given, run, f"doc_id {kind}, label {label}, x array<double>").collect())
     return fit(np.array([x for _, _, x in found]).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], float))
 
 
@@ -176,7 +176,7 @@ def scores(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(features(batch.column("raw").to_pylist())))], ["doc_id", "score"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_texts(given, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: Additive, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, model: Additive, least: float = 0.3, text_col: st
             texts = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(shared.value.score(features(texts)) >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.llm.common import partitions, shared_folder
+from ledgerloom.llm.common import map_texts, partitions, shared_folder
 from ledgerloom.llm.tokens import encoder
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 1000
@@ -54,7 +54,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_c
                                                  ["part", "doc_id", "part_start", "n_tokens", "ids"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    coded = ordered.mapInArrow(run, f"part int, doc_id {kind}, part_start long, n_tokens long, ids array<int>")
+    coded = map_texts(ordered, run, f"part int, doc_id {kind}, part_start long, n_tokens long, ids array<int>")
     (coded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
      .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")
@@ -97,7 +97,7 @@ def checksums(rows: DataFrame) -> DataFrame:
                                              [n for n in batch.schema.names if n != "ids"] + ["ids_crc32"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
-    return rows.mapInArrow(run, f"{kept}, ids_crc32 long")
+    return map_texts(rows, run, f"{kept}, ids_crc32 long")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
