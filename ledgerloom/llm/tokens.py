@@ -41,7 +41,7 @@ class Encoder:
     two steps of the pre-tokenizer, go to the library's model directly, letters and marks apart.
     """
 
-    def __init__(self, path: str, most: int = 500_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1_000_000, chunk: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
