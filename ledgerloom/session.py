@@ -35,11 +35,14 @@ def build_session(app: str = "ledgerloom", cores: int | str = "*", shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: the one the cluster names.
 
-    Only where the session names none (a local test run) is a local one set.
+    Only a local session that names none (a test run) gets a local one; on a cluster each
+    machine would write to its own disk, so there the folder has to be named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     import tempfile
 
     path = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
