@@ -175,7 +175,8 @@ def _analysis(s, d):
     total = F.array(*[F.lit(t) for t in ("Total", "", "", "", "", "", "1.00")])
     field = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(95.0).alias("confidence"))
     return k.invoices.join(rows, "invoice_id").select(
-        F.struct(F.concat(F.lit("f"), F.col("invoice_id").cast("string")).alias("filename")).alias("file_info"),
+        F.struct(F.concat(F.lit("f"), F.col("invoice_id").cast("string")).alias("filename"),
+                 F.col("invoice_id").cast("bigint").alias("file_size_bytes")).alias("file_info"),
         F.struct(F.array(field("Invoice No.", F.when(F.col("invoice_id") % 5 == 0, "").otherwise(F.col("invoice_num"))),
                          field("Dated", F.date_format("invoice_date", "d-MMM-yyyy")),
                          field("Taxable Value", F.format_number("taxable_value", 2)),

@@ -119,23 +119,32 @@ class Spotted:
         patterns.update(dict.fromkeys((TAX_ID, COMPANY_FORM, TAX_NAMES)))
         self._words = {w: f"_w{i}" for i, w in enumerate(words)}
         self._patterns = {p: f"_p{i}" for i, p in enumerate(patterns)}
-        low = F.col(text)
-        self.df = df.select(
-            "*", *[F.contains(low, F.lit(w)).alias(c) for w, c in self._words.items()],
-            *[low.rlike(("(?U)" if "\\" in p else "") + p.lower()).alias(c) for p, c in self._patterns.items()])
+        # As SQL text, here and in the sums: one call to the engine for each column instead of one for each part.
+        self.df = df.selectExpr(
+            "*", *[f"contains({text}, {_quoted(w)}) AS {c}" for w, c in self._words.items()],
+            *[f"{text} RLIKE {_quoted(('(?U)' if BACKSLASH in p else '') + p.lower())} AS {c}" for p, c in self._patterns.items()])
 
-    def word(self, word: str) -> Column:
-        return F.col(self._words[word])
+    def word(self, word: str) -> str:
+        """Name of the column for a word."""
+        return self._words[word]
 
-    def pattern(self, pattern: str) -> Column:
-        return F.col(self._patterns[pattern])
+    def pattern(self, pattern: str) -> str:
+        return self._patterns[pattern]
 
 
-def _sum(tests: list[Column], points: list[float]) -> Column:
+BACKSLASH = "\\"
+
+
+def _quoted(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace(BACKSLASH, 2 * BACKSLASH).replace("'", BACKSLASH + "'") + "'"
+
+
+def _sum(tests: list[str], points: list[float]) -> Column:
     """Sum of the points of the tests that hold, added as decimals so that it is exact."""
-    kind = "decimal(12,4)"
-    return sum((F.when(t, F.lit(str(p)).cast(kind)).otherwise(F.lit("0").cast(kind))
-                for t, p in zip(tests, points)), F.lit("0").cast(kind)).cast("double")
+    kind = "DECIMAL(12,4)"
+    return F.expr(" + ".join([f"CAST('0' AS {kind})"] + [f"CASE WHEN {t} THEN CAST('{p}' AS {kind}) ELSE CAST('0' AS {kind}) END"
+                                                         for t, p in zip(tests, points)])).cast("double")
 
 
 def keyword_score(seen: Spotted, kind: DocType) -> Column:
@@ -148,7 +157,7 @@ def pattern_score(seen: Spotted, kind: DocType) -> Column:
 
 
 def strong_count(seen: Spotted, kind: DocType) -> Column:
-    return sum((seen.pattern(p).cast("int") for p in kind.strong), F.lit(0))
+    return F.expr(" + ".join(["0"] + [f"CAST({seen.pattern(p)} AS INT)" for p in kind.strong]))
 
 
 def strong_bonus(seen: Spotted, kind: DocType) -> Column:
@@ -164,7 +173,7 @@ def final_score(seen: Spotted, kind: DocType) -> Column:
     base = keyword_score(seen, kind) * 0.5 + pattern_score(seen, kind) * 0.3 + bonus * 0.2
     score = F.greatest(F.lit(0.0), base + bonus - negative_penalty(seen, kind))
     if kind.strong:
-        certain = seen.pattern(TAX_ID) & seen.pattern(COMPANY_FORM) & seen.pattern(TAX_NAMES)
+        certain = F.expr(" AND ".join(map(seen.pattern, (TAX_ID, COMPANY_FORM, TAX_NAMES))))
         score = F.when(certain, F.greatest(score, F.lit(0.85))).otherwise(score)
     return score
 
@@ -200,7 +209,8 @@ def classify(df: DataFrame, text: str, key: str) -> DataFrame:
     threshold = per_type(lambda t: F.when(F.col("_strong") > 0, min(t.threshold, 0.4)).otherwise(t.threshold)
                          if t.strong else F.lit(t.threshold))
     forced = F.col("_best.score") < threshold
-    words = per_type(lambda t: F.array_compact(F.array(*[F.when(seen.word(w), F.lit(w)) for w in t.keywords])))
+    words = per_type(lambda t: F.expr(
+        "array_compact(array(" + ", ".join(f"CASE WHEN {seen.word(w)} THEN {_quoted(w)} END" for w in t.keywords) + "))"))
     others = F.filter("_scores", lambda s: (s["type"] != kind) & (s["score"] > 0.2))
     ranked = F.slice(F.reverse(F.array_sort(others)), 1, 3)
     decided = best.select(
