@@ -26,30 +26,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import map_texts, staged
-from ledgerloom.llm.words import GOLDEN, mixed
+from ledgerloom.llm.common import map_texts, raw_text, staged
+from ledgerloom.llm.words import GOLDEN, hashed_words, mixed
 
 #: Places that count, as masks over consecutive words. Each lets single substitutions fall into its gaps.
 MASKS = ("1111111", "110110111", "11100110101", "1010111011")
-_WORDS = re.compile(r"\w+")
+#: Bytes between words once other marks than ASCII are blanks.
+_GAPS = np.array([b < 128 and not (chr(b).isalnum() or b == 95) for b in range(256)])
+_MARKS = re.compile(r"[^\w\x00-\x7f]")
 BLOCK_WORDS = 1_000_000
 LEAST_ITEM = 5
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode())
-        if len(self) < 300_000:
-            self[word] = value
-        return value
+def plain(raw: bytes) -> bytes:
+    """A text whose words are runs of bytes outside _GAPS, lower-cased but for A-Z."""
+    return raw if raw.isascii() else _MARKS.sub(" ", raw.decode().lower()).encode()
 
 
-def word_hashes(text: str, known: _Hashes) -> np.ndarray:
-    words = _WORDS.findall(text.lower())
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def runs_of(raws: list[bytes]):
+    """hashed_words of texts: number of the first, hashes, offsets."""
+    return hashed_words([plain(r) for r in raws], fold=True, gaps=_GAPS)
 
 
 def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -57,11 +55,12 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    factors = mixed(np.arange(1, len(mask) + 1, dtype=np.uint64) * GOLDEN + np.uint64(int(mask, 2))) | np.uint64(1)
     total = np.full(n, np.uint64(int(mask, 2) * 64 + len(mask)), np.uint64)
     for k, taken in enumerate(mask):
         if taken == "1":
-            total = mixed(total ^ (hashes[k:k + n] * (GOLDEN + np.uint64(2 * k))))
-    return total
+            total += hashes[k:k + n] * factors[k]
+    return mixed(total)
 
 
 def masks_for(words: int) -> tuple[str, ...]:
@@ -103,17 +102,20 @@ class Block:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.hashes >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Distinct (item, document word that the item's first word is laid on)."""
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """Distinct (text, item, word of the text that the item's first word is laid on), in a run of texts."""
         found = set()
         for mask in self.masks:
             runs = masked(words, mask)
             at = np.flatnonzero(self.seen[runs >> np.uint64(64 - self.bits)])
             low, high = np.searchsorted(self.hashes, runs[at], "left"), np.searchsorted(self.hashes, runs[at], "right")
-            for place, a, b in zip(at[low < high], low[low < high], high[low < high]):
+            text = np.searchsorted(offsets, at, "right") - 1
+            good = (low < high) & (at + len(mask) <= offsets[text + 1])
+            for place, k, a, b in zip(at[good], text[good], low[good], high[good]):
                 items = np.searchsorted(self.begins, self.places[a:b], "right") - 1
-                found.update(zip(items.tolist(), (place - (self.places[a:b] - self.begins[items])).tolist()))
-        return iter(sorted(found))
+                laid = place - offsets[k] - (self.places[a:b] - self.begins[items])
+                found.update((int(k), i, o) for i, o in zip(items.tolist(), laid.tolist()))
+        return sorted(found)
 
     def overlap(self, words: np.ndarray, item: int, offset: int) -> tuple[int, int, int]:
         """Equal words of the best stretch, its first document word and its end, with the item laid on at offset."""
@@ -129,11 +131,10 @@ class Block:
 
 def blocks(benchmark: DataFrame, item_id: str, text_col: str, most: int) -> Iterator[Block]:
     """The benchmark by blocks of at most about `most` words, from one pass over a written copy."""
-    known = _Hashes()
     some, size = [], 0
-    rows = staged(benchmark.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "benchmark")
+    rows = staged(benchmark.select(F.col(item_id).alias("item_id"), raw_text(text_col).alias("raw")), "benchmark")
     for row in rows.toLocalIterator():
-        words = word_hashes(row["text"], known)
+        words = np.concatenate([np.empty(0, np.uint64)] + [h for _, h, _ in runs_of([bytes(row["raw"])])])
         if some and size + len(words) > most:
             yield Block.of(some)
             some, size = [], 0
@@ -146,7 +147,7 @@ def blocks(benchmark: DataFrame, item_id: str, text_col: str, most: int) -> Iter
 def matches(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share: float = 0.7, most: int = BLOCK_WORDS, id_col: str = "doc_id",
             text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, equal_words, item_words, start_word, end_word: the best stretch of each contaminated document with each item."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), raw_text(text_col).alias("raw"))
     id_kind, item_kind = given.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
     schema = f"doc_id {id_kind.simpleString()}, item_id {item_kind.simpleString()}, equal_words int, item_words int, start_word int, end_word int"
     names = ["doc_id", "item_id", "equal_words", "item_words", "start_word", "end_word"]
@@ -155,17 +156,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            known, own = _Hashes(), shared.value
+            own = shared.value
             need = [min(least_words, max(1, int(np.ceil(share * n)))) for n in np.diff(own.begins)]
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    words, best = word_hashes(text, known), {}
-                    for item, offset in own.hits(words):
-                        seen = own.overlap(words, item, offset)
-                        if seen[0] >= need[item] and seen > best.get(item, (0, 0, 0)):
-                            best[item] = seen
-                    rows += [(doc_id, own.ids[i], seen[0], int(own.begins[i + 1] - own.begins[i]), *seen[1:]) for i, seen in sorted(best.items())]
+                rows, ids = [], batch.column("doc_id").to_pylist()
+                for first, words, offsets in runs_of(batch.column("raw").to_pylist()):
+                    best = {}
+                    for k, item, offset in own.hits(words, offsets):
+                        seen = own.overlap(words[offsets[k]:offsets[k + 1]], item, offset)
+                        if seen[0] >= need[item] and seen > best.get((k, item), (0, 0, 0)):
+                            best[k, item] = seen
+                    rows += [(ids[first + k], own.ids[i], seen[0], int(own.begins[i + 1] - own.begins[i]), *seen[1:]) for (k, i), seen in sorted(best.items())]
                 columns = zip(*rows) if rows else [()] * 6
                 kinds = [batch.schema.field("doc_id").type, pa.string() if item_kind.simpleString() == "string" else pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)

@@ -33,9 +33,9 @@ def _factors(n: int) -> np.ndarray:
     return _places
 
 
-def _hashed(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, fold: bool, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word."""
-    inside = ~_WHITE[data]
+    inside = ~gaps[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -47,28 +47,29 @@ def _hashed(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(values, first) + length.astype(np.uint64) * GOLDEN), start
 
 
-def _long_text(raw: bytes, fold: bool) -> np.ndarray:
+def _long_text(raw: bytes, fold: bool, gaps: np.ndarray) -> np.ndarray:
     """One text by pieces that end where a word ends."""
     parts, at = [], 0
     data = np.frombuffer(raw, np.uint8)
     while at < len(data):
         to = min(len(data), at + CHUNK)
-        while to < len(data) and not _WHITE[data[to]]:
-            white = np.flatnonzero(_WHITE[data[to:to + CHUNK]])
+        while to < len(data) and not gaps[data[to]]:
+            white = np.flatnonzero(gaps[data[to:to + CHUNK]])
             to += int(white[0]) if len(white) else min(CHUNK, len(data) - to)
-        parts.append(_hashed(data[at:to], fold)[0])
+        parts.append(_hashed(data[at:to], fold, gaps)[0])
         at = to
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
-def hashed_words(texts: list[bytes], fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[bytes], fold: bool = False, gaps: np.ndarray = _WHITE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts: number of the first one, the hashes of their words one text after the other,
-    and the offsets at which each text's words begin and the last one's end. fold: A-Z count as a-z."""
+    and the offsets at which each text's words begin and the last one's end. fold: A-Z count as a-z.
+    gaps: which of the 256 bytes stand between words, the blank among them."""
     i = 0
     while i < len(texts):
         size, j = len(texts[i]), i + 1
         if size > CHUNK:
-            hashes = _long_text(texts[i], fold)
+            hashes = _long_text(texts[i], fold, gaps)
             yield i, hashes, np.array([0, len(hashes)])
             i = j
             continue
@@ -76,7 +77,7 @@ def hashed_words(texts: list[bytes], fold: bool = False) -> Iterator[tuple[int,
             size += len(texts[j]) + 1
             j += 1
         begin = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
-        hashes, start = _hashed(np.frombuffer(b" ".join(texts[i:j]), np.uint8), fold)
+        hashes, start = _hashed(np.frombuffer(b" ".join(texts[i:j]), np.uint8), fold, gaps)
         yield i, hashes, np.searchsorted(start, begin)
         i = j
 
