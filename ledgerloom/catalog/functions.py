@@ -198,7 +198,9 @@ add("ext07_line_items", lambda s, d: extract.extract_line_items(_analysis(s, d))
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS filename, item_description AS description, hsn_code, CAST(quantity AS DOUBLE) AS quantity,
     CAST(unit_price AS DOUBLE) AS unit_price, CAST(taxable_value AS DOUBLE) AS taxable_value FROM items"""))
 add("ext08_line_items_by_position", lambda s, d: extract.extract_line_items_by_position(_analysis(s, d)).select(
-    "filename", "description", "taxable_value"))
+    "filename", "description", "hsn_code", "taxable_value"), oracle(
+    """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS filename, CAST(item_id AS VARCHAR) AS description, '' AS hsn_code,
+    CAST(taxable_value AS DOUBLE) AS taxable_value FROM items"""))
 
 
 def _normalized(s, d):
@@ -212,7 +214,10 @@ add("ext09_load_defaults", lambda s, d: _normalized(s, d).select(
     "invoice_num", F.col("taxable").cast("double").alias("taxable"), "lines"), oracle(
     """SELECT invoice_num, CAST(taxable_value AS DOUBLE) AS taxable, lines FROM invoices JOIN (SELECT invoice_id AS i, count(*) AS lines
     FROM items GROUP BY 1) x ON i = invoice_id"""))
-add("snk01_append_normalized", _normalized)
+add("snk01_append_normalized", lambda s, d: _normalized(s, d).select(
+    "invoice_num", F.col("total_value").cast("double").alias("total_value"), "lines", F.col("taxable").cast("double").alias("taxable")), oracle(
+    """SELECT invoice_num, CASE WHEN total_tax <> 0 AND taxable_value <> 0 THEN CAST(taxable_value + total_tax AS DOUBLE) ELSE 0::DOUBLE END AS total_value, lines,
+    CAST(taxable_value AS DOUBLE) AS taxable FROM invoices JOIN (SELECT invoice_id AS i, count(*) AS lines FROM items GROUP BY 1) x ON i = invoice_id"""))
 add("snk10_normalize_analysis", lambda s, d: nested.normalize_analysis(_analysis_docs(s, d))["table_cells"].groupBy("document").agg(
     F.count("*").alias("cells"), F.max("row_index").alias("last_row")), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS document, (count(*) + 2) * 7 AS cells, count(*) + 1 AS last_row FROM items GROUP BY invoice_id"""))
@@ -260,7 +265,10 @@ add("pag02_field_cleanup", lambda s, d: _portal(s, d).select(
 add("pag03_return_filings", lambda s, d: pages.parse_returns(_portal(s, d)).select("gstin", "return_type", "period", "amount"),
     f"""SELECT {_PAGE_ID} AS gstin, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '₹5' AS amount FROM pages
     UNION ALL SELECT {_PAGE_ID}, 'GSTR-1', 'Mar 2019', NULL FROM pages""")
-add("pag04_return_filings_from_text", lambda s, d: pages.parse_returns(_portal(s, d)))
+add("pag04_return_filings_from_text", lambda s, d: pages.parse_returns(_portal(s, d)),
+    f"""SELECT {_PAGE_ID} AS gstin, 0 AS position, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '12-Feb-2019' AS filed_date, 'Filed' AS status,
+    '₹5' AS amount, NULL AS liability FROM pages
+    UNION ALL SELECT {_PAGE_ID}, 1, 'GSTR-1', 'Mar 2019', '11-Apr-2019', 'Filed', NULL, NULL FROM pages""")
 add("pag05_gstin_and_heading", lambda s, d: _portal(s, d).select(
     "page_id", pages.gstin_of_url(F.col("url")).alias("gstin"), pages.name_of_heading(pages.page_text(F.col("html"))).alias("name")),
     f"SELECT page_id, {_PAGE_ID} AS gstin, 'Alpha ' || CAST(page_id AS VARCHAR) || ' Pvt Ltd' AS name FROM pages")

@@ -195,7 +195,15 @@ add("bat01_batch_summary", _summary, oracle(f"SELECT *, {_TYPE_COUNTS} FROM summ
 add("bat02_top_suppliers", lambda s, d: ba.top_suppliers(_batch(s, d)), oracle(
     """SELECT supplier_name, CAST(sum(total_amount) AS DOUBLE) AS amount, count(*) AS invoice_count FROM batch
     WHERE success AND supplier_name IS NOT NULL GROUP BY 1 ORDER BY amount DESC, 1 LIMIT 10""", BATCH))
-add("bat03_batch_insights", lambda s, d: ba.batch_insights(ba.batch_summary(_batch(s, d))))
+add("bat03_batch_insights", lambda s, d: ba.batch_insights(ba.batch_summary(_batch(s, d))), oracle(
+    """SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, insight FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k, unnest([
+    CASE WHEN successful > 0 THEN printf('Processed %d of %d documents (%.1f%%)', successful, total_documents, successful * 100.0 / total_documents) END,
+    CASE WHEN successful > 0 THEN 'Total invoice value: ₹' || format('{:,.2f}', CAST(total_amount AS DOUBLE)) END,
+    CASE WHEN successful > 0 THEN printf('Average processing time: %.2fs per document', CAST(average_time AS DOUBLE)) END,
+    CASE WHEN successful > 0 AND validation_passed > 0 THEN printf('Validation success rate: %.1f%%', validation_passed * 100.0 / (validation_passed + validation_failed)) END,
+    CASE WHEN successful > 0 AND duplicates > 0 THEN printf('%d potential duplicates detected', duplicates) END,
+    CASE WHEN successful > 0 AND unique_suppliers > 0 THEN printf('Invoices from %d suppliers', unique_suppliers) END]) AS insight FROM summary) x
+    WHERE insight IS NOT NULL""", BATCH, SUMMARY))
 add("bat04_failed_documents", lambda s, d: ba.failed_documents(_batch(s, d)), oracle(
     "SELECT doc_id, coalesce(error, 'Unknown error') AS error FROM batch WHERE NOT success", BATCH))
 _P = "CAST(round(CAST(100.0 * {} / ({}) AS DECIMAL(20,8)), 1) AS DOUBLE)".format
