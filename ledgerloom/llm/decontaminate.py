@@ -128,6 +128,19 @@ class Block:
         start = int(np.flatnonzero(total[:end + 1] == np.minimum.accumulate(total)[end])[-1])
         return int(same[start:end].sum()), low + start, low + end
 
+    def contaminated(self, raws: list[bytes], least_words: int, share: float) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, equal words, first word, end) of the best stretch wherever it has enough equal words."""
+        need = [min(least_words, max(1, int(np.ceil(share * n)))) for n in np.diff(self.begins)]
+        out = []
+        for first, words, offsets in runs_of(raws):
+            best = {}
+            for k, item, offset in self.hits(words, offsets):
+                seen = self.overlap(words[offsets[k]:offsets[k + 1]], item, offset)
+                if seen[0] >= need[item] and seen > best.get((k, item), (0, 0, 0)):
+                    best[k, item] = seen
+            out += [(first + k, item, *seen) for (k, item), seen in sorted(best.items())]
+        return out
+
 
 def blocks(benchmark: DataFrame, item_id: str, text_col: str, most: int) -> Iterator[Block]:
     """The benchmark by blocks of at most about `most` words, from one pass over a written copy."""
@@ -156,17 +169,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            own = shared.value
-            need = [min(least_words, max(1, int(np.ceil(share * n)))) for n in np.diff(own.begins)]
             for batch in batches:
-                rows, ids = [], batch.column("doc_id").to_pylist()
-                for first, words, offsets in runs_of(batch.column("raw").to_pylist()):
-                    best = {}
-                    for k, item, offset in own.hits(words, offsets):
-                        seen = own.overlap(words[offsets[k]:offsets[k + 1]], item, offset)
-                        if seen[0] >= need[item] and seen > best.get((k, item), (0, 0, 0)):
-                            best[k, item] = seen
-                    rows += [(ids[first + k], own.ids[i], seen[0], int(own.begins[i + 1] - own.begins[i]), *seen[1:]) for (k, i), seen in sorted(best.items())]
+                rows, ids, own = [], batch.column("doc_id").to_pylist(), shared.value
+                for i, item, *seen in own.contaminated(batch.column("raw").to_pylist(), least_words, share):
+                    rows.append((ids[i], own.ids[item], seen[0], int(own.begins[item + 1] - own.begins[item]), *seen[1:]))
                 columns = zip(*rows) if rows else [()] * 6
                 kinds = [batch.schema.field("doc_id").type, pa.string() if item_kind.simpleString() == "string" else pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -176,9 +182,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share:
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The whole rows of documents that no benchmark item contaminates."""
-    from ledgerloom.llm.bloom import without
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, share: float = 0.7, most: int = BLOCK_WORDS,
+                      text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The whole rows of documents that no benchmark item contaminates. A filter on each row: nothing is shuffled."""
+    for block in blocks(benchmark, item_id, item_text, most):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                raws = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
+                clean = np.ones(len(raws), bool)
+                clean[[i for i, *_ in shared.value.contaminated(raws, least_words, share)]] = False
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-    gone = matches(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, staged(gone, "gone"), id_col)
+        docs = map_texts(docs, run, docs.schema)
+    return docs

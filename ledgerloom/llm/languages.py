@@ -30,6 +30,13 @@ DIMS = 1 << DIMS_BITS
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
+
+
+def has_letter(text: str) -> bool:
+    # The pattern lets number signs such as a raised two through.
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Bytes that are no part of words count as one separator; A-Z count as a-z.
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint32)
@@ -63,7 +70,7 @@ class Centroids:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether the text is farther than a centroid's members for each text."""
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         found, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         for at in range(0, len(known), 64):
             some = known[at:at + 64]
@@ -118,7 +125,7 @@ def learn(docs: DataFrame, each: int = 300, k: int = 3) -> Centroids:
 
     def run(batches):
         for batch in batches:
-            rows = [(i, l, counts(t)) for i, l, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))) if _LETTER.search(t)]
+            rows = [(i, l, counts(t)) for i, l, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], batch.schema.field("doc_id").type), pa.array([l for _, l, _ in rows], pa.string()),
                                               pa.array([c.astype("<u4").tobytes() for _, _, c in rows], pa.binary())], ["doc_id", "lang", "counts"])
 

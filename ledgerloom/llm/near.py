@@ -219,6 +219,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 40, id_
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The whole rows of one document of each class, and those linked with nothing."""
-    gone = classes(docs, width, percent, k, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    """The whole rows of one document of each class, and those linked with nothing. A row without an id
+    cannot be told from others of that kind and stays."""
+    gone = classes(docs, width, percent, k, id_col, text_col).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
     return without(docs, staged(gone, "gone"), id_col)

@@ -114,6 +114,7 @@ def test_near_dedup_stage(docs, empty):
     assert kept.columns == docs.columns
     assert {60, 80, 3} <= {r.doc_id for r in kept.collect()} and 61 not in {r.doc_id for r in kept.collect()}
     assert near.drop_near_copies(empty).count() == 0
+    assert near.drop_near_copies(docs, 3, 85).filter("doc_id IS NULL").count() == 2
 
 
 def test_sure_overlap():
@@ -274,12 +275,12 @@ def test_languages(spark, empty):
     rng = random.Random(8)
     kinds = {"aa": ["kala", "moko", "tami", "ruko"], "bb": ["schtz", "grpf", "wöhl", "ücht"], "cc": ["eaux", "ière", "çons", "quet"]}
     rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(5, 60))), lang) for i, lang in enumerate(sorted(kinds) * 80)]
-    rows += [(900, None, "aa"), (901, "12 34", "bb"), (902, "", None), (None, "kala moko", None)]
+    rows += [(900, None, "aa"), (901, "12 34", "bb"), (902, "", None), (903, "² ½", None), (None, "kala moko", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(3))
     model = languages.learn(frame)
     found = {r.doc_id: r for r in languages.predictions(frame, model).collect()}
     assert all(found[i].lang_pred == lang and 0 <= found[i].score <= 1 for i, _, lang in rows[:240])
-    assert [found[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and found[None].lang_pred == "aa"
+    assert [found[i].lang_pred for i in (900, 901, 902, 903)] == ["und"] * 4 and found[None].lang_pred == "aa"
     assert model.predict(["жжж ддд ффф ггг"])[2][0]
     assert languages.predictions(frame, languages.learn(empty)).filter("lang_pred != 'und'").count() == 0
 
