@@ -36,8 +36,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left and their places in sequences of 1024 ids."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 0, 1024)
+    """The pieces of what is left and their places in sequences of 1024 ids. Workers that the stages
+    before have filled remember fewer words."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 0, 1024, remembered=50_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -90,12 +90,13 @@ class Places:
         return sequence, offset
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+           remembered: int = 1_000_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, its part and number among the part's pieces of its length; ids on request."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
-        part, seen, encode = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), encoder(tokenizer_path).encode
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), encoder(tokenizer_path, remembered).encode
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows, some = [], []
@@ -125,10 +126,12 @@ def _batch(rows: list[tuple], ids: list | None, like: pa.RecordBatch) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns + ([id_lists(ids)] if ids is not None else []), names + ["ids"] * (ids is not None))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+         remembered: int = 1_000_000) -> DataFrame:
     """One row for each piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens,
-    sequence_id, offset (its place in the sequence); with_ids adds the ids themselves."""
-    cut = staged(pieces(docs, tokenizer_path, end_id, size, with_ids, id_col, text_col), "pieces")
+    sequence_id, offset (its place in the sequence); with_ids adds the ids themselves. remembered: distinct
+    words whose ids a Python worker keeps, some 400 bytes each; fewer take less memory and more time."""
+    cut = staged(pieces(docs, tokenizer_path, end_id, size, with_ids, id_col, text_col, remembered), "pieces")
     counts = staged(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = docs.sparkSession.sparkContext.broadcast(Places(patterns(histogram, size)))

@@ -41,14 +41,16 @@ class Encoder:
     two steps of the pre-tokenizer, go to the library's model directly, letters and marks apart.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1_000_000, chunk: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)
-        self.most, self.chunk, self.known, self.parts = most, chunk, {}, {}
+        # Characters encoded at a time; few enough that their pieces are not many more than are remembered.
+        self.chunk = chunk or max(1 << 16, min(1 << 20, 2 * most))
+        self.most, self.known, self.parts = most, {}, {}
         self.plain, self.fold, self.letters = re.compile(r"(?!)").match, False, _byte_letters()
         self.pieces = self._cutter()
 
@@ -115,6 +117,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a Python worker."""
-    return Encoder(path)
+def encoder(path: str, most: int = 1_000_000) -> Encoder:
+    """One encoder for each file in a Python worker. most: how many pieces it remembers, some 400 bytes each."""
+    return Encoder(path, most)
