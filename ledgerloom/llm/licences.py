@@ -168,11 +168,13 @@ def fit(paragraphs: list[str], steps: int = 200, rate: float = 4.0, ridge: float
     return Model(vocabulary, weights, anchors, temperature)
 
 
-def learn(docs: DataFrame, most: int = 400, each: int = 4, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """The model with up to `each` paragraphs from about `most` documents chosen by a hash of the id."""
+def learn(docs: DataFrame, most: int = 400, each: int = 4, longest: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """The model with about `each` paragraphs of each of about `most` documents, chosen by hashes of the id and of
+    the paragraph. One of more than `longest` characters teaches nothing."""
     count = docs.count()
     few = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, count))))
-    lines = few.select(F.slice(F.split(F.col(text_col), "\n"), 1, each).alias("p")).select(F.explode("p").alias("p")).select(F.substring("p", 1, 2000).alias("p"))
+    lines = few.select(F.split(F.col(text_col), "\n").alias("all")).select(F.size("all").alias("of"), F.explode("all").alias("p"))
+    lines = lines.filter((F.pmod(F.xxhash64("p"), F.col("of")) < each) & (F.length("p") <= longest))
     return fit(sorted(r["p"] for r in lines.collect()))
 
 
