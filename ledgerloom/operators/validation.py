@@ -18,19 +18,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import has_value
-
 TOLERANCE = "0.05"
 
 
+# Rules are put together as SQL text and parsed once each: a call to the engine for every
+# part of every rule would take longer than the query on a small table.
+
+def _amount_sql(name: str) -> str:
+    return f"coalesce({name}, CAST(0 AS DECIMAL(15,2)))"
+
+
+def _filled_sql(name: str) -> str:
+    return f"({name} IS NOT NULL AND {name} <> 0)"
+
+
 def _amount(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0).cast("decimal(15,2)"))
+    return F.expr(_amount_sql(name))
 
 
 def line_tax() -> Column:
     """The tax of a line: whichever of split, interstate and combined tax is largest."""
-    return F.greatest(_amount("sgst_amount") + _amount("cgst_amount"),
-                      _amount("igst_amount"), _amount("gst_amount"))
+    sgst, cgst, igst, gst = (_amount_sql(f"{kind}_amount") for kind in ("sgst", "cgst", "igst", "gst"))
+    return F.expr(f"greatest({sgst} + {cgst}, {igst}, {gst})")
 
 
 @dataclass(frozen=True)
@@ -45,11 +54,11 @@ class Rule:
     evaluable: Callable[[], Column] | None = None   # on this line
 
     def applies(self) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in self.needs])
+        return F.expr(" AND ".join(f"{f} IS NOT NULL" for f in self.needs))
 
 
 def _filled(*names: str) -> Callable[[], Column]:
-    return lambda: reduce(lambda a, b: a & b, [has_value(F.col(n)) for n in names])
+    return lambda: F.expr(" AND ".join(map(_filled_sql, names)))
 
 
 def _rate_rule(kind: str) -> Rule:
@@ -62,7 +71,7 @@ def _rate_rule(kind: str) -> Rule:
 
 def _at_least_two_taxes() -> Column:
     names = ("sgst_amount", "cgst_amount", "igst_amount", "gst_amount")
-    return sum((has_value(F.col(n)).cast("int") for n in names), F.lit(0)) >= 2
+    return F.expr(" + ".join(f"CAST({_filled_sql(n)} AS INT)" for n in names) + " >= 2")
 
 
 ITEM_RULES = (
@@ -111,8 +120,7 @@ def fold_items(items: DataFrame, tolerance: str = TOLERANCE, rules=ITEM_RULES) -
         F.sum(_amount("taxable_value")).alias("items_taxable"),
         F.sum(line_tax()).alias("items_tax"),
         # Which fields of the first line are filled, as bits: a number keeps the aggregation hashed.
-        F.min_by(sum((has_value(F.col(c)).cast("int") * (1 << i) for i, c in enumerate(_ITEM_FIELDS)), F.lit(0)),
-                 "item_id").alias("first_item"),
+        F.min_by(F.expr(" + ".join(f"CAST({_filled_sql(c)} AS INT) * {1 << i}" for i, c in enumerate(_ITEM_FIELDS))), "item_id").alias("first_item"),
     ]
     for rule in rules:
         run = rule.evaluable()
@@ -134,9 +142,7 @@ def _headers(invoices: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def _can(rule: Rule) -> Column:
-    if rule.level == "invoice":
-        return F.col("n_items") > 0
-    return F.coalesce(F.col(f"can_{rule.test_id}"), F.lit(False))
+    return F.expr("n_items > 0" if rule.level == "invoice" else f"coalesce(can_{rule.test_id}, false)")
 
 
 def _missing(rule: Rule) -> Column:
@@ -144,11 +150,10 @@ def _missing(rule: Rule) -> Column:
     tests = []
     for name in rule.needs:
         if name in _HEADER_FIELDS:
-            tests.append(F.when(~has_value(F.col(name)), F.lit(name)))
+            tests.append(f"CASE WHEN NOT {_filled_sql(name)} THEN '{name}' END")
         else:
-            bit = F.col("first_item").bitwiseAND(F.lit(1 << _ITEM_FIELDS.index(name)))
-            tests.append(F.when((F.col("n_items") > 0) & (bit == 0), F.lit(name)))
-    return F.array_compact(F.array(*tests))
+            tests.append(f"CASE WHEN n_items > 0 AND first_item & {1 << _ITEM_FIELDS.index(name)} = 0 THEN '{name}' END")
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
 def discover_tests(invoices: DataFrame, items: DataFrame) -> DataFrame:
