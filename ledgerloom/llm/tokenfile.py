@@ -32,14 +32,16 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)))
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all texts, append end_id to each, and write them to the folder `path`."""
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text",
+              remembered: int = 500_000) -> None:
+    """Encode all texts, append end_id to each, and write them to the folder `path`. remembered: distinct words whose
+    ids a Python worker keeps."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = given.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        part, start, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer_path).encode
+        part, start, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, remembered).encode
         for batch in batches:
             end = np.array([end_id], np.int64)
             ids = [np.concatenate([x, end]) for x in encode(batch.column("text").to_pylist())]
@@ -78,11 +80,12 @@ def read_ids(spark: SparkSession, path: str, first: int | None = None, last: int
 
 
 def _placed(rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    # One row for each part: as many as the file has, whatever it holds.
+    # One row for each part, so at most as many as the shuffle that wrote the file had partitions: with
+    # this bound it is sent to the rows, which hold all the ids, and not the other way round.
     parts = (rows if index is None else index).groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "part").withColumn("start", F.col("base") + F.col("part_start")).drop("part", "part_start", "base")
+    return rows.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("part_start")).drop("part", "part_start", "base")
 
 
 def checksums(rows: DataFrame) -> DataFrame:

@@ -74,28 +74,26 @@ class Encoder:
         return lambda text: [p for part in apart(text) for p in cut(part)] if any(s in text for s in special) else cut(text)
 
     def _part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            written = text.replace(" ", self.letters[32]) if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            found = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            self.parts[text] = found
+        written = text.replace(" ", self.letters[32]) if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+        found = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        if len(self.parts) >= self.most:
+            self.parts.clear()
+        self.parts[text] = found
         return found
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        odd, plain = [], self.plain
+        odd, plain, parts = [], self.plain, self.parts.get
         for word in new:
             match = plain(word)
             if match:
                 letters, marks = match.groups()
                 if self.fold:
                     letters = letters.lower()
-                found = self.parts.get(letters) or self._part(letters)
-                self.known[word] = found + self._part(marks) if marks else found
+                found = parts(letters) or self._part(letters)
+                self.known[word] = found + (parts(marks) or self._part(marks)) if marks else found
             else:
                 odd.append(word)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
