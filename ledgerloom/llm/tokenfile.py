@@ -33,7 +33,7 @@ def id_lists(ids: list[np.ndarray]) -> pa.Array:
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text",
-              remembered: int = 500_000) -> None:
+              remembered: int = 1_000_000) -> None:
     """Encode all texts, append end_id to each, and write them to the folder `path`. remembered: distinct words whose
     ids a Python worker keeps."""
     spark = docs.sparkSession
@@ -43,8 +43,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_c
     def run(batches):
         part, start, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, remembered).encode
         for batch in batches:
-            end = np.array([end_id], np.int64)
-            ids = [np.concatenate([x, end]) for x in encode(batch.column("text").to_pylist())]
+            ids = [np.append(x, x.dtype.type(end_id)) for x in encode(batch.column("text").to_pylist())]
             # A few documents at a time go back, so that a batch of long ones stays small.
             for i in range(0, len(ids), 200):
                 some = ids[i:i + 200]
@@ -57,7 +56,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_c
 
     kind = given.schema["doc_id"].dataType.simpleString()
     coded = map_texts(ordered, run, f"part int, doc_id {kind}, part_start long, n_tokens long, ids array<int>")
-    (coded.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    (coded.write.option("compression", "snappy").option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
      .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")
      .parquet(path))

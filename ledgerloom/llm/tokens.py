@@ -23,6 +23,10 @@ _BYTE_PIECES = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: The pre-tokenizers' steps in texts of Latin-1, whose letters and numbers can be named; the word kind's once lower-cased.
+_ALPHA, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_BYTE_STEPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_ALPHA}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_ALPHA}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+_WORD_STEPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_ALPHA}]+|[{_NUMBER}]|[^{_BLANK}{_ALPHA}{_NUMBER}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,8 +41,8 @@ class Encoder:
 
     The file says which pieces are safe: where its pre-tokenizer keeps white space (byte-level) a
     piece is a word with the one space before it, or white space; where it drops it, a word. A file
-    of another kind has its texts encoded whole. Pieces of Latin letters and closing marks, which are
-    two steps of the pre-tokenizer, go to the library's model directly, letters and marks apart.
+    of another kind has its texts encoded whole. Texts of Latin-1 are cut into the pre-tokenizer's own
+    steps. Words of Latin letters go to the library's model directly, closing marks apart.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, chunk: int | None = None):
@@ -61,39 +65,54 @@ class Encoder:
         first = steps[0] if steps else {}
         if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not change:
             self.plain = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]*)").fullmatch
-            cut = _BYTE_PIECES.findall
+            cut, steps = _BYTE_PIECES.findall, _BYTE_STEPS.findall
         elif first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") \
                 and [s["type"] for s in change.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.plain, self.fold = re.compile(f"([{_LETTERS}]+)([.,;:!?]*)").fullmatch, True
-            cut = lambda text: text.replace("\n", " ").split(" ")
+            cut, steps = lambda text: text.replace("\n", " ").split(" "), lambda text: _WORD_STEPS.findall(text.lower())
         else:
             return lambda text: [text]
         special = [t["content"] for t in spec["added_tokens"]]
         apart = re.compile("(" + "|".join(map(re.escape, special)) + ")").split
-        # A special token's string ends what stands before it.
-        return lambda text: [p for part in apart(text) for p in cut(part)] if any(s in text for s in special) else cut(text)
 
-    def _part(self, text: str) -> bytes:
-        written = text.replace(" ", self.letters[32]) if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        found = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        def pieces(text: str) -> list[str]:
+            if any(s in text for s in special):  # its string ends what stands before it
+                return [p for part in apart(text) for p in cut(part)]
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return cut(text)
+            return steps(text)  # few different ones: words without marks
+
+        return pieces
+
+    def _ids(self, step: str) -> bytes:
+        """Ids of what the pre-tokenizer takes as one step."""
+        written = step.replace(" ", self.letters[32]) if step.isascii() else "".join(map(self.letters.__getitem__, step.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _part(self, step: str) -> bytes:
+        found = self._ids(step)
         if len(self.parts) >= self.most:
             self.parts.clear()
-        self.parts[text] = found
+        self.parts[step] = found
         return found
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        odd, plain, parts = [], self.plain, self.parts.get
+        odd, plain, parts, known, fold = [], self.plain, self.parts.get, self.known, self.fold
         for word in new:
             match = plain(word)
             if match:
                 letters, marks = match.groups()
-                if self.fold:
+                if fold:
                     letters = letters.lower()
-                found = parts(letters) or self._part(letters)
-                self.known[word] = found + (parts(marks) or self._part(marks)) if marks else found
+                if marks:
+                    known[word] = (parts(letters) or self._part(letters)) + (parts(marks) or self._part(marks))
+                else:
+                    known[word] = self._ids(letters)
             else:
                 odd.append(word)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
