@@ -4,8 +4,10 @@ A paragraph is a line. Its features are the words and word pairs that it holds (
 classes the licence families and `unknown`. The multinomial logistic regression learns on the driver
 from the templates below, from parts and noisy copies of them, and from a bounded sample of the
 table's own paragraphs, which are unknown unless they resemble a template; a temperature set on
-what was not learnt from calibrates its probabilities. A paragraph without any anchor (a word of the
-templates that ordinary paragraphs hardly ever hold) is unknown without a look at its weights.
+what was not learnt from calibrates its probabilities. A paragraph without any anchor is unknown
+without a look at its weights: the anchors are words of the templates chosen so that all other n-grams
+together cannot bring a family over `unknown`, so that loses nothing. How often words occur in the sample
+only decides which of them are spared.
 
 A prediction is confirmed where the paragraph's words and those of one of the family's templates are
 alike enough. Scoring is a narrow map over the rows: nothing is shuffled, so no key can be hot.
@@ -109,7 +111,7 @@ def _alike(a: set[str], b: set[str]) -> float:
 class Model:
     vocabulary: list[str]
     weights: np.ndarray  # a row for each n-gram and the constant last, a column for each of FAMILIES
-    anchors: list[str]
+    anchors: list[str] | None  # a paragraph without any of them is unknown; None where the constant alone gives a family
     temperature: float
 
 
@@ -128,6 +130,31 @@ def _variants(words: list[str], rng: np.random.Generator, filler: list[list[str]
     return out
 
 
+def _anchors(vocabulary: list[str], weights: np.ndarray, often: dict[str, int]) -> list[str] | None:
+    """Words without which no paragraph can be of a family, whatever else it holds.
+
+    The words that occur most often are spared first, while for every family the constant and all its gains over
+    `unknown` from n-grams of spared words alone stay below zero. A pair with one anchor has that anchor.
+    """
+    gains = np.maximum(weights[:-1, 1:] - weights[:-1, :1], 0.0)
+    total = weights[-1, 1:] - weights[-1, 0] + 1e-6  # more than sums in another order can differ
+    if (total >= 0).any():
+        return None
+    row, pairs, spared = {g: i for i, g in enumerate(vocabulary)}, {}, set()
+    for g in vocabulary:
+        if " " in g:
+            for w in set(g.split(" ")):
+                pairs.setdefault(w, []).append(g)
+    words = [g for g in vocabulary if " " not in g]
+    for w in sorted(words, key=lambda w: (-often.get(w, 0), w)):
+        own = [w, *(g for g in pairs.get(w, ()) if all(x == w or x in spared for x in g.split(" ")))]
+        after = total + gains[[row[g] for g in own]].sum(axis=0)
+        if (after < 0).all():
+            total = after
+            spared.add(w)
+    return [w for w in words if w not in spared]
+
+
 def fit(paragraphs: list[str], steps: int = 200, rate: float = 4.0, ridge: float = 1e-4, seed: int = 11) -> Model:
     """From ordinary paragraphs of the table and the templates."""
     rng = np.random.default_rng(seed)
@@ -163,8 +190,7 @@ def fit(paragraphs: list[str], steps: int = 200, rate: float = 4.0, ridge: float
     for words in ordinary[:-len(ORDINARY)]:
         for w in set(words):
             often[w] = often.get(w, 0) + 1
-    bound = max(1, len(ordinary) // 1000)
-    anchors = [g for g in vocabulary if " " not in g and often.get(g, 0) <= bound and not g.replace(".", "").isdigit() and len(g) > 2]
+    anchors = _anchors(vocabulary, weights, often)
     return Model(vocabulary, weights, anchors, temperature)
 
 
@@ -195,6 +221,15 @@ def _prefixed(words: list[str]) -> str:
     return f"(?:{inner})?" if ends else f"(?:{inner})"
 
 
+def _holds(anchors: list[str]) -> str:
+    """A pattern that every lower-case text with one of these tokens has. A token that ends in a dot and digits may
+    run into letters, and the token of those letters begins after a digit; no other token touches one."""
+    kinds = {}
+    for w in anchors:
+        kinds.setdefault((w[0].isdigit(), "." in w), []).append(w)
+    return "|".join(f"(?<![a-z{'0-9' if digit else ''}]){_prefixed(some)}(?![0-9{'' if dotted else 'a-z'}])" for (digit, dotted), some in sorted(kinds.items()))
+
+
 def _reals(values) -> list[float]:
     return [float(v) for v in values]
 
@@ -203,10 +238,11 @@ def paragraphs(docs: DataFrame, model: Model, least: float = 0.5, alike: float =
     """doc_id, paragraph (number of the line from 0), family, probability, similarity, confirmed of every paragraph
     that the classifier gives to a licence family with at least that probability."""
     # A text, then a line, without the letters of any anchor has no anchor.
-    hint = f"(?<![a-z0-9]){_prefixed(model.anchors)}(?![a-z0-9])" if model.anchors else "(?!)"
+    gated = model.anchors is not None
+    hint = (_holds(model.anchors) or "(?!)") if gated else ""
     lines = docs.filter(F.lower(text_col).rlike(hint)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
     words = lines.filter(F.lower("line").rlike(hint)).select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(f"({_TOKEN})"), 1).alias("words"))
-    marked = words.filter(F.arrays_overlap("words", _constant(model.anchors, "array<string>")))
+    marked = words.filter(F.arrays_overlap("words", _constant(model.anchors, "array<string>"))) if gated else words
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     known = marked.select("doc_id", "paragraph", "words", F.array_intersect(F.concat("words", pairs), _constant(model.vocabulary, "array<string>")).alias("known"))
     table = _constant({g: _reals(w / model.temperature) for g, w in zip(model.vocabulary, model.weights)}, "map<string,array<double>>")

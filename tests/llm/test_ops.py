@@ -323,3 +323,24 @@ def test_licences(spark, empty):
     found = counted(licences.paragraphs(frame, licences.learn(frame)).filter("confirmed").select("doc_id", "paragraph", "family").collect())
     assert found == Counter({(1, 1, "mit"): 1, (None, 0, "proprietary"): 1, (4, 0, "apache-2.0"): 2})
     assert licences.paragraphs(empty, licences.learn(empty)).count() == 0
+
+
+def test_licence_gate_loses_nothing(spark):
+    """Sampled prose with the notices' own words, and what every paragraph gets with and without the gate."""
+    rng = random.Random(5)
+    common = ["The license of the software was released under new terms.", "MIT and the public domain are licensed topics; copyright is general.",
+              "Permission of the Apache foundation was granted, version 2.0 of the commons.", "Foo is distributed under the MIT License, see LICENSE for more"]
+    model = licences.fit([f"{rng.choice(common)} Remark {i}." for i in range(60)])
+    own = sorted({w for g in model.vocabulary for w in g.split(" ")})
+    lines = [t for texts in licences.TEMPLATES.values() for t in texts] + common + ["", "2.0licensed under the apache license", "v.2.0mit license released under the", "xmit 12.0 x2.0"]
+    lines += [" ".join(rng.choices(own, k=rng.randint(1, 12))) for _ in range(400)]
+    lines += [" ".join(w for w in t.split() if rng.random() < 0.6) for texts in licences.TEMPLATES.values() for t in texts for _ in range(5)]
+    place = {g: i for i, g in enumerate(model.vocabulary)}
+    expected = {}
+    for i, line in enumerate(lines):
+        z = (model.weights[[place[g] for g in licences._grams(licences._words(line)) if g in place]].sum(axis=0) + model.weights[-1]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if p.argmax() and p.max() >= 0.5:
+            expected[i] = licences.FAMILIES[p.argmax()]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.family for r in licences.paragraphs(frame, model).collect()} == expected and len(expected) > 60
