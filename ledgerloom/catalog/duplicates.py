@@ -248,3 +248,26 @@ add("jn13_line_pairs", _line_pairs, oracle(
     ({_SIM(a='a.unit_price', b='b.unit_price')} + {_SIM(a='a.quantity', b='b.quantity')}) / 2 AS similarity
     FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id JOIN items b ON candidate_id = b.invoice_id
     AND a.hsn_code = b.hsn_code""", _PAIRS))
+
+
+def _listed(k):
+    return du.listed_pairs(k.invoices, k.items).select("invoice_id", "candidate_id").distinct()
+
+
+def _all_line_pairs(s, d):
+    k = _lake(s, d)
+    return du.line_pairs(_listed(k), k.items).select("invoice_id", "candidate_id", F.col("a_item_id").alias("a_item"), F.col("b_item_id").alias("b_item"),
+                                                     du.rate_similarity("a_", "b_").alias("similarity"))
+
+
+def _best_by_similarity(s, d):
+    k = _lake(s, d)
+    return du.best_lines(_listed(k), k.items)
+
+
+# The whole of JN13 and WIN3: lines with different or missing codes too, and the best by similarity. Text similarity has no SQL; tests compare the latter.
+add("jn13_all_line_pairs", _all_line_pairs, oracle(
+    f"""SELECT p.invoice_id, candidate_id, a.item_id AS a_item, b.item_id AS b_item,
+    ({_SIM(a='a.unit_price', b='b.unit_price')} + {_SIM(a='a.quantity', b='b.quantity')}) / 2 AS similarity
+    FROM pairs p JOIN items a ON p.invoice_id = a.invoice_id JOIN items b ON candidate_id = b.invoice_id""", _PAIRS))
+add("win03_best_line_by_similarity", _best_by_similarity)

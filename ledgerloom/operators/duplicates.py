@@ -121,6 +121,36 @@ def rate_similarity(a: str, b: str) -> Column:
     return (rate_part(a, b) + fn.numeric_similarity(F.col(f"{a}quantity"), F.col(f"{b}quantity"))) / 2
 
 
+# Lines of given pairs -----------------------------------------------------------------
+
+def line_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every line of the one invoice with every line of the other: a_ and b_ columns. The pairs bound the rows."""
+    own = _lines(items)
+
+    def side(key, name):
+        return own.select(F.col("invoice_id").alias(key), *[F.col(c).alias(f"{name}{c}") for c in own.columns if c != "invoice_id"])
+    return pairs.select("invoice_id", "candidate_id").join(side("invoice_id", "a_"), "invoice_id").join(side("candidate_id", "b_"), "candidate_id")
+
+
+def best_lines(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """For each line of a pair the most similar line of the other invoice by ``item_similarity``, the smallest id
+    of equals: invoice_id, candidate_id, item_id, other_item, similarity. A line without any similarity has no
+    partner (NULL). Text is compared once per distinct pair of texts, and only where it can decide."""
+    linked = line_pairs(pairs, items).withColumns({"t1": F.trim(_text_of("a_description")), "t2": F.trim(_text_of("b_description"))})
+    equal = F.when(F.col("t1") == F.col("t2"), 1.0)
+    bound = F.coalesce(equal, ratio_bound(F.col("t1"), F.col("t2")))
+    line = ("invoice_id", "candidate_id", "a_item_id")
+    sure = linked.withColumns({"least": item_similarity(F.coalesce(equal, F.lit(0.0)), "a_", "b_"), "most": item_similarity(bound, "a_", "b_")})
+    open_ = cut_lineage(sure.withColumn("floor", F.max("least").over(W.partitionBy(*line))).where("most >= floor").drop("floor", "least", "most"))
+    texts = open_.where("t1 <> t2 AND t1 <> '' AND t2 <> ''").select("t1", "t2").distinct()
+    compared = texts.withColumn("text", text_similarity(F.col("t1"), F.col("t2")))
+    scored = open_.join(compared, ["t1", "t2"], "left").withColumn("similarity", item_similarity(F.coalesce(equal, F.col("text"), F.lit(0.0)), "a_", "b_"))
+    # The complement turns the order of ids round.
+    best = scored.groupBy(*line).agg(F.max(F.struct("similarity", F.bitwise_not("b_item_id").alias("turned"))).alias("best"))
+    return best.select("invoice_id", "candidate_id", F.col("a_item_id").alias("item_id"),
+                       F.when(F.col("best.similarity") > 0, F.bitwise_not("best.turned")).alias("other_item"), F.col("best.similarity").alias("similarity"))
+
+
 # Profiles -----------------------------------------------------------------------------
 
 _LINE = ("description", "hsn_code", "quantity", "unit_price", "taxable_value")

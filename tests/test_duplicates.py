@@ -197,3 +197,27 @@ def test_all_copies_of_one_invoice_stay_linear(spark):
     rows = du.duplicate_matches(invoices, items).collect()
     assert len(rows) == 300 and {r["partners"] for r in rows} == {299}
     assert {r["match_type"] for r in rows} == {"SAME_COMPANY_PRODUCT_DUPLICATION"}
+
+
+def test_lines_of_pairs(spark):
+    """All line pairs, codes different or missing, and the best by similarity, first of equals."""
+    rng = random.Random(12)
+    words = ["steel bolt", "Steel  bolts ", "paper", "glue stick", "glue", None, "", "copper wire", "wire copper"]
+    rows = [(i, 10 * i + j, rng.choice(words), rng.choice(["1", "2", "3", "", None]), Decimal(rng.randint(0, 4)), rng.choice([None, Decimal(rng.randint(0, 30))]),
+             Decimal(rng.randint(0, 60))) for i in range(1, 21) for j in range(rng.randint(1, 4))]
+    rows += [(30, 301, "x", "1", Decimal(1), None, None), (31, 312, "y", "2", Decimal(1), None, None), (31, 311, "z", "2", Decimal(1), None, None)]
+    items = spark.createDataFrame(rows, ITEM)
+    pairs = [(a, b) for a in range(1, 21) for b in rng.sample(range(1, 21), 6) if a != b] + [(30, 31), (31, 30)]
+    listed = spark.createDataFrame(pairs, "invoice_id long, candidate_id long")
+    of = {}
+    for r in items.collect():
+        of.setdefault(r.invoice_id, []).append(r)
+    every = Counter((a, b, x.item_id, y.item_id) for a, b in pairs for x in of[a] for y in of[b])
+    assert Counter((r.invoice_id, r.candidate_id, r.a_item_id, r.b_item_id) for r in du.line_pairs(listed, items).collect()) == every
+    expected = {}
+    for a, b in pairs:
+        for x in of[a]:
+            score, other = max((round(weighted(x, y), 12), -y.item_id) for y in of[b])
+            expected[a, b, x.item_id] = (-other if score > 0 else None, pytest.approx(score))
+    assert {(r.invoice_id, r.candidate_id, r.item_id): (r.other_item, r.similarity) for r in du.best_lines(listed, items).collect()} == expected
+    assert expected[30, 31, 301][0] is None and len(expected) > 200
