@@ -188,6 +188,15 @@ def _flagged(s, d):
 add("dup17_flag_write_back", _flagged, oracle(
     """SELECT invoice_id, count(*) OVER (PARTITION BY supplier_company_id, upper(trim(invoice_num))) > 1 AS duplication,
     validation FROM invoices"""))
+def _scored_flags(s, d):
+    k = bridge.lake(s, d)
+    return store.set_flags(k.invoices, _verdicts(s, d).select("invoice_id", F.col("is_duplicate").alias("duplication"))).select(
+        "invoice_id", "duplication", "validation")
+
+
+add("dup17_scored_flag_write_back", _scored_flags, oracle(
+    """SELECT h.invoice_id, coalesce(confidence > 0.7, FALSE) AS duplication, validation FROM invoices h
+    LEFT JOIN best b ON h.invoice_id = b.invoice_id""", *_FOUND))
 add("dup18_number_supplier_total", lambda s, d: du.groups_with_members(
     bridge.lake(s, d).invoices.withColumn("total_value", F.round("total_value", -5).cast("double")),
     ["invoice_num", "supplier_company_id", "total_value"]),

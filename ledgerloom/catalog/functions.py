@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom import bridge, datagen
 from ledgerloom.bridge import oracle
+from ledgerloom.catalog.duplicates import _FOUND as FOUND
 from ledgerloom.catalog.registry import add
 from ledgerloom.functions import scalars as fn
 from ledgerloom.functions.text import text_similarity
 from ledgerloom.catalog.validation import CHECKS, FIRST, GATES, SUMS
 from ledgerloom.operators import duplicates, extract, nested, pages, risk, store, validation
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
 
@@ -460,3 +462,17 @@ add("rsk07_report_rows", _reports, oracle(
     FROM invoices h LEFT JOIN companies ON supplier_company_id = company_id LEFT JOIN (SELECT invoice_id,
       sum(CASE WHEN passed AND NOT is_suggestion THEN 1 ELSE 0 END) AS valid, sum(CASE WHEN is_suggestion THEN 0 ELSE 1 END) AS run
       FROM checks GROUP BY 1) c ON h.invoice_id = c.invoice_id""", FIRST, GATES, SUMS, CHECKS))
+
+
+def _scored_reports(s, d):
+    k = bridge.lake(s, d, describe=True)
+    names = k.companies.select(F.col("company_id").alias("supplier_company_id"), F.col("legal_name").alias("supplier_name"))
+    rows = risk.report_rows(k.invoices, validation.run_all_checks(k.invoices, k.items), cut_lineage(duplicates.duplicate_matches(k.invoices, k.items)), names)
+    partners = F.aggregate(F.coalesce("matches.partners", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda n, p: n + p)
+    return rows.select("invoice_id", F.col("header.supplier_name").alias("supplier"), partners.alias("matches"),
+                       F.round(F.array_max("matches.confidence"), 6).alias("best_confidence"))
+
+
+add("rsk07_scored_report_rows", _scored_reports, oracle(
+    """SELECT h.invoice_id, legal_name AS supplier, coalesce(matches, 0) AS matches, round(confidence, 6) AS best_confidence
+    FROM invoices h LEFT JOIN companies ON supplier_company_id = company_id LEFT JOIN best b ON h.invoice_id = b.invoice_id""", *FOUND))

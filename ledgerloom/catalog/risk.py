@@ -4,13 +4,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom import bridge
 from ledgerloom.bridge import oracle
+from ledgerloom.catalog.duplicates import _FOUND as FOUND
 from ledgerloom.catalog.registry import add
 from ledgerloom.catalog.validation import VERDICT_CTES
 from ledgerloom.operators import batch as ba
+from ledgerloom.operators import duplicates as du
 from ledgerloom.operators import registry as rg
 from ledgerloom.operators import risk as rk
 from ledgerloom.operators import validation as v
 from ledgerloom.plans.returns import returns_summary
+from ledgerloom.session import cut_lineage
 
 LAST = "1::DOUBLE"
 
@@ -99,9 +102,9 @@ EXACT = """exact AS (SELECT invoice_id, count(*) OVER (PARTITION BY supplier_com
 
 def _results(s, d):
     k = bridge.lake(s, d)
-    crowded = k.invoices.groupBy("supplier_company_id", "invoice_num").agg((F.count("*") > 1).alias("is_duplicate"))
+    crowded = k.invoices.groupBy(F.col("supplier_company_id").alias("s"), F.col("invoice_num").alias("n")).agg((F.count("*") > 1).alias("is_duplicate"))
     heads = k.invoices.select("invoice_id", "invoice_num", "supplier_company_id", "total_value").join(
-        crowded, ["supplier_company_id", "invoice_num"]).drop("invoice_num", "supplier_company_id")
+        crowded, F.col("supplier_company_id").eqNullSafe(F.col("s")) & F.col("invoice_num").eqNullSafe(F.col("n"))).select("invoice_id", "total_value", "is_duplicate")
     found = v.verdicts(k.invoices, k.items).join(heads, "invoice_id")
     return found.withColumn("duplicate_confidence", F.when(F.col("is_duplicate"), 0.95).otherwise(0.0))
 
@@ -148,6 +151,42 @@ add("rsk06_approval_status", _assessed("approval_status"), oracle(
     """SELECT invoice_id, CASE WHEN overall_passed AND NOT is_duplicate THEN 'APPROVED' ELSE 'REQUIRES REVIEW' END
     AS approval_status FROM results""", *RISK_CTES))
 
+
+
+def _scored_results(s, d):
+    """Validation verdicts with the scored duplicate verdict, which is written once."""
+    k = bridge.lake(s, d, describe=True)
+    scored = cut_lineage(du.duplicate_verdicts(k.invoices, du.duplicate_matches(k.invoices, k.items)))
+    return v.verdicts(k.invoices, k.items).join(k.invoices.select("invoice_id", "total_value"), "invoice_id").join(
+        scored.select("invoice_id", "is_duplicate", F.col("confidence").alias("duplicate_confidence")), "invoice_id")
+
+
+SCORED_RESULTS = """results AS (SELECT v.*, coalesce(b.confidence > 0.7, FALSE) AS is_duplicate, coalesce(b.confidence, 0::DOUBLE) AS duplicate_confidence,
+  total_value FROM verdicts v JOIN invoices i ON v.invoice_id = i.invoice_id LEFT JOIN best b ON v.invoice_id = b.invoice_id)"""
+add("rsk08_scored_assessment", lambda s, d: rk.assess(_scored_results(s, d)).select(
+    "invoice_id", "is_duplicate", F.round("reasoning_confidence", 6).alias("reasoning_confidence"), "business_impact",
+    F.array_join("recommendations", "; ").alias("recommendations"), "validation_reason", "duplication_reason", "approval_status"), oracle(
+    f"""SELECT invoice_id, is_duplicate, round(greatest(0.1::DOUBLE, least(1::DOUBLE, (CASE WHEN NOT overall_passed THEN
+    1 - CAST(tests_failed AS DOUBLE) / CAST(tests_run AS DOUBLE) * 0.3::DOUBLE ELSE 1::DOUBLE END) *
+    (CASE WHEN is_duplicate THEN 1 - duplicate_confidence * 0.5::DOUBLE ELSE 1::DOUBLE END))), 6) AS reasoning_confidence,
+    concat_ws('. ',
+    CASE WHEN NOT overall_passed THEN 'Financial accuracy concerns due to validation failures' END,
+    CASE WHEN NOT overall_passed AND total_value > 100000 THEN 'High-value transaction requires careful review' END,
+    CASE WHEN is_duplicate THEN 'Potential duplicate payment risk' END,
+    CASE WHEN is_duplicate THEN 'Process efficiency impact due to duplicate detection' END,
+    CASE WHEN overall_passed AND NOT is_duplicate THEN 'Low risk transaction - standard processing recommended' END,
+    CASE WHEN overall_passed AND NOT is_duplicate THEN 'Good data quality and no duplicate concerns' END) || '.' AS business_impact,
+    array_to_string(list_concat(list_concat(CASE WHEN NOT overall_passed THEN {_LISTS['failed']} ELSE [] END,
+    CASE WHEN is_duplicate THEN {_LISTS['duplicate']} ELSE [] END),
+    CASE WHEN overall_passed AND NOT is_duplicate THEN {_LISTS['clean']} ELSE [] END)[1:5], '; ') AS recommendations,
+    CASE WHEN tests_failed = 0 THEN 'All arithmetic validations passed successfully, indicating mathematical consistency.' ELSE
+    CAST(tests_failed AS VARCHAR) || ' out of ' || CAST(tests_run AS VARCHAR) ||
+    ' validation tests failed, indicating potential calculation errors or data extraction issues.' END AS validation_reason,
+    CASE WHEN is_duplicate THEN printf('Potential duplicate detected with %.1f%% confidence based on pattern matching.', duplicate_confidence * 100)
+    ELSE 'No significant duplicate patterns detected across comparison criteria.' END AS duplication_reason,
+    CASE WHEN overall_passed AND NOT is_duplicate THEN 'APPROVED' ELSE 'REQUIRES REVIEW' END AS approval_status FROM results""",
+    *VERDICT_CTES, *FOUND, SCORED_RESULTS))
+
 # Batches ------------------------------------------------------------------------------
 
 

@@ -90,7 +90,7 @@ def report_rows(invoices: DataFrame, checks: DataFrame, matches: DataFrame, name
     valid = first(checks.where("passed AND NOT is_suggestion"), ("test_id", "item_id"), shown_checks, tests, "valid_checks")
     run = first(checks.where("NOT is_suggestion"), ("test_id", "item_id"), shown_tests, tests, "tests")
     best = first(matches, (F.desc("confidence"), "candidate_id"), shown_matches,
-                 ("candidate_id", "match_type", "confidence"), "matches")
+                 ("candidate_id", "partners", "match_type", "confidence"), "matches")
     return (invoices.join(names, "supplier_company_id", "left").join(valid, "invoice_id", "left")
             .join(run, "invoice_id", "left").join(best, "invoice_id", "left")
             .select("invoice_id", F.struct("invoice_num", "invoice_date", "supplier_name", "total_value").alias("header"),

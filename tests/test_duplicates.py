@@ -221,3 +221,26 @@ def test_lines_of_pairs(spark):
             expected[a, b, x.item_id] = (-other if score > 0 else None, pytest.approx(score))
     assert {(r.invoice_id, r.candidate_id, r.item_id): (r.other_item, r.similarity) for r in du.best_lines(listed, items).collect()} == expected
     assert expected[30, 31, 301][0] is None and len(expected) > 200
+
+
+def test_scored_verdicts_reach_risk(spark, monkeypatch):
+    """A copy under another number is a duplicate for risk and flags; rows without supplier or number stay."""
+    from types import SimpleNamespace
+
+    from ledgerloom import bridge
+    from ledgerloom.catalog import duplicates, risk
+
+    lake = bridge.lake(spark, "/root/testdata/sf0.001", describe=True)
+    invoices, items = lake.invoices.where("invoice_id <= 120").localCheckpoint(), lake.items.where("invoice_id <= 120").localCheckpoint()
+    moved = F.col("invoice_id") + 1_000_000
+    invoices = invoices.unionByName(invoices.where("invoice_id = 1").withColumns({"invoice_id": moved, "invoice_num": F.lit("another")}))
+    items = items.unionByName(items.where("invoice_id = 1").withColumn("invoice_id", moved))
+    invoices = invoices.withColumns({"supplier_company_id": F.expr("CASE WHEN invoice_id NOT IN (2, 3) THEN supplier_company_id END"),
+                                     "invoice_num": F.expr("CASE WHEN invoice_id <> 4 THEN invoice_num END")}).localCheckpoint()
+    monkeypatch.setattr(bridge, "lake", lambda *a, **b: SimpleNamespace(invoices=invoices, items=items, companies=lake.companies))
+    ids = {r.invoice_id for r in invoices.collect()}
+    assert {r.invoice_id for r in risk._results(spark, "").collect()} == ids
+    scored = {r.invoice_id: r for r in risk._scored_results(spark, "").collect()}
+    assert set(scored) == ids and scored[1].is_duplicate and scored[1_000_001].is_duplicate and scored[1].duplicate_confidence > 0.7
+    flags = {r.invoice_id: r.duplication for r in duplicates._scored_flags(spark, "").collect()}
+    assert flags == {i: r.is_duplicate for i, r in scored.items()}
