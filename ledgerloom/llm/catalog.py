@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, exact, languages, licences, near, packing, quality, repeats, secrets, sql, tokenfile
+from ledgerloom.llm import decontaminate, exact, languages, licences, merkle, near, packing, quality, repeats, secrets, sql, tokenfile
 from ledgerloom.llm.common import held_out, table
 
 
@@ -66,10 +66,17 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.paragraphs(docs, licences.learn(docs)).select("doc_id", "paragraph", "family", "similarity", "confirmed")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verified(table(spark, sf_dir, "documents"), claimed={"text": F.when(tampered, lowered).otherwise(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_language_id, op3_secret_scan, op4_decontamination, op5_substring_dedup,
-        op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup, op10_licence_scan)
+        op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup, op10_licence_scan,
+        op11_merkle_manifest)
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op5_substring_dedup": sql.REPEATS,
     "op7_minhash_near_dedup": sql.NEAR_DEDUP,
     "op9_exact_dedup": sql.EXACT_DEDUP,
+    "op11_merkle_manifest": sql.MERKLE,
 }

@@ -58,3 +58,48 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(l
 SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, family, CAST(1.0 AS DOUBLE) AS similarity, true AS confirmed
 FROM l JOIN n USING (line)
 """
+
+#: The 256 entries of the crc32 table, and the crc32 of a list of bytes with it.
+_CRC_TABLE = ("(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t "
+              "FROM range(256) r(i))")
+
+
+def _crc32(data: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])))"
+
+
+def _merkle(levels: int = 7, group_levels: int = 4) -> str:
+    """The tree level by level, as many as 8**levels rows of a group and 8**group_levels groups need; n: a level's
+    nodes, with the digests left and right of each."""
+    fields = " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"c AS {_CRC_TABLE}",
+             f"told AS (SELECT *, CASE WHEN {_crc32(digits)} % 3 = 0 THEN {lower} ELSE text END AS text2 FROM documents, c)",
+             f"""leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({fields.format(text="text")}) AS leaf, sha256({fields.format(text="text2")}) AS claimed FROM told)""",
+             "placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS size FROM leaves)"]
+
+    def tree(name: str, given: str, most: int) -> str:
+        parts.append(f"{name}0 AS ({given})")
+        for k in range(most):
+            near = "PARTITION BY g, idx // 8 ORDER BY idx ROWS BETWEEN"
+            parts.append(f"""{name}n{k} AS (SELECT g, idx, coalesce(string_agg(d, '') OVER ({near} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+              coalesce(string_agg(d, '') OVER ({near} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {name}{k} WHERE size > {8 ** k})""")
+            parts.append(f"{name}{k + 1} AS (SELECT g, size, idx // 8 AS idx, sha256(string_agg(d, '' ORDER BY idx)) AS d FROM {name}{k} WHERE size > {8 ** k} GROUP BY ALL)")
+        return " UNION ALL ".join(f"SELECT g, d FROM {name}{k} WHERE size <= {8 ** k}" for k in range(most + 1))
+
+    tops = tree("x", "SELECT g, size, idx, leaf AS d FROM placed", levels)
+    parts.append(f"subroots AS ({tops})")
+    parts.append("ranked AS (SELECT '' AS g, g AS own, d, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS size FROM subroots)")
+    root = tree("y", "SELECT g, size, idx, d FROM ranked", group_levels)
+    parts.append(f"roots AS ({root})")
+    parts.append("""f0 AS (SELECT p.*, s.d AS subroot, k.idx AS gidx, q.d AS root, claimed AS f, '' AS proof
+      FROM placed p JOIN subroots s USING (g) JOIN ranked k ON k.own = p.g CROSS JOIN (SELECT d FROM roots) q)""")
+    steps = [(f"xn{k}", "n.g = f.g", f"f.idx // {8 ** k}") for k in range(levels)] + [(f"yn{k}", "true", f"f.gidx // {8 ** k}") for k in range(group_levels)]
+    for i, (nodes, same, at) in enumerate(steps):
+        parts.append(f"""f{i + 1} AS (SELECT f.* EXCLUDE (f, proof), CASE WHEN n.idx IS NULL THEN f ELSE sha256(a || f || b) END AS f, proof || coalesce(a || b, '') AS proof
+          FROM f{i} f LEFT JOIN {nodes} n ON {same} AND n.idx = {at})""")
+    return (f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(steps)}")
+
+
+MERKLE = _merkle()
