@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decontaminate, exact, languages, licences, merkle, near, packing, quality, repeats, secrets, spelling, sql, tokenfile
+from ledgerloom.llm import decontaminate, exact, languages, licences, merkle, near, packing, quality, repeats, secrets, sitetree, spelling, sql, tokenfile
 from ledgerloom.llm.common import held_out, table
 
 
@@ -76,11 +76,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), least=7, times=2, every=31), factor=10)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_language_id, op3_secret_scan, op4_decontamination, op5_substring_dedup,
         op6_token_files, op7_minhash_near_dedup, op8_packing, op9_exact_dedup, op10_licence_scan,
-        op11_merkle_manifest, op12_spelling_variants)
+        op11_merkle_manifest, op12_spelling_variants, op13_html_extraction)
 }
 
 ORACLE: dict[str, str] = {
@@ -91,4 +95,5 @@ ORACLE: dict[str, str] = {
     "op9_exact_dedup": sql.EXACT_DEDUP,
     "op11_merkle_manifest": sql.MERKLE,
     "op12_spelling_variants": sql.VARIANTS,
+    "op13_html_extraction": sql.ARTICLES,
 }

@@ -132,3 +132,14 @@ f AS (
 r AS (SELECT word, word AS here, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
 SELECT f.word, form, here AS root, n, n_near, form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL
 """
+
+#: The markup that the tables' pages have: one article of headings and paragraphs.
+ARTICLES = r"""
+WITH b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(p|h1)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '\s+', ' ', 'g'))) AS blocks
+  FROM pages),
+t AS (SELECT page_id, url, regexp_replace(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '&amp;?', '&', 'g') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
