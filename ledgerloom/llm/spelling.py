@@ -155,6 +155,19 @@ def rounds(lengths: dict[int, int], most_bytes: int = MOST_BYTES) -> list[list[t
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to a megabyte or so."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= most_bytes:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def _by_length(words: list[str]) -> dict[int, np.ndarray]:
     """Places of the words of each length."""
     size = np.array([len(w) for w in words], np.int64)
@@ -164,8 +177,8 @@ def _by_length(words: list[str]) -> dict[int, np.ndarray]:
 def _built(words: DataFrame, filters: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, np.ndarray]]:
     """The filters' blocks: tasks set bits, segments of a filter are merged, and the merged ones gathered, MOST_BYTES in all."""
     def setting(batches):
-        for batch in batches:
-            given = batch.column(0).to_pylist()
+        for batch in _gathered(batches):
+            given, out = batch.column(0).to_pylist(), []
             for length, at in _by_length(given).items():
                 h = None
                 for k, (own, share, shares, blocks) in enumerate(filters):
@@ -178,9 +191,9 @@ def _built(words: DataFrame, filters: list[tuple[int, int, int, int]]) -> list[t
                     place, bits = place[order], bits[order]
                     cut = np.flatnonzero(np.diff(place // SEGMENT, prepend=-1))
                     for a, b in zip(cut, [*cut[1:], len(place)]):
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(place[a]) // SEGMENT], pa.int64()),
-                                                          pa.array([(place[a:b] % SEGMENT).astype("<u2").tobytes()], pa.binary()),
-                                                          pa.array([bits[a:b].tobytes()], pa.binary())], ["filter", "segment", "place", "bits"])
+                        out.append((k, int(place[a]) // SEGMENT, (place[a:b] % SEGMENT).astype("<u2").tobytes(), bits[a:b].tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["filter", "segment", "place", "bits"])
 
     def merged(batches):
         # Sorted by filter and segment: one segment is held at a time.
@@ -265,7 +278,7 @@ def near_pairs(words: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
             by_length: dict[int, list] = {}
             for length, share, shares, cells in sent.value:
                 by_length.setdefault(length, []).append((share, shares, cells))
-            for batch in batches:
+            for batch in _gathered(batches):
                 given, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 for length, at in _by_length(given).items():
                     for place, edits in probed([given[i] for i in at], alphabet, by_length):
