@@ -165,10 +165,11 @@ add("dup14_recommendation", lambda s, d: _share(s, d).where("confidence > 0.5").
     "recommendation", du.recommendation(F.col("confidence"))), oracle(
     f"""SELECT invoice_id, confidence, {_RECOMMEND} AS recommendation FROM (SELECT invoice_id,
     CAST(invoice_id % 101 AS DOUBLE) / 100 AS confidence FROM invoices) x WHERE confidence > 0.5"""))
-add("dup15_verdicts", lambda s, d: _verdicts(s, d).withColumn("confidence", F.round("confidence", 6)), oracle(
+VERDICTS = oracle(
     """SELECT h.invoice_id, invoice_num, coalesce(confidence > 0.7, FALSE) AS is_duplicate, round(coalesce(confidence, 0::DOUBLE), 6) AS confidence,
     coalesce(matches, 0) AS matches, CASE WHEN confidence > 0.7 THEN 'MARK_AS_DUPLICATE' WHEN confidence IS NOT NULL THEN 'MANUAL_REVIEW_REQUIRED'
-    ELSE 'APPROVE_AS_UNIQUE' END AS recommended_action FROM invoices h LEFT JOIN best b ON h.invoice_id = b.invoice_id""", *_FOUND))
+    ELSE 'APPROVE_AS_UNIQUE' END AS recommended_action FROM invoices h LEFT JOIN best b ON h.invoice_id = b.invoice_id""", *_FOUND)
+add("dup15_verdicts", lambda s, d: _verdicts(s, d).withColumn("confidence", F.round("confidence", 6)), VERDICTS)
 add("dup15_exact_verdicts", lambda s, d: du.duplicate_verdicts(
     bridge.lake(s, d).invoices, du.exact_matches(bridge.lake(s, d).invoices)), oracle(
     """SELECT invoice_id, invoice_num, n > 1 AS is_duplicate, CASE WHEN n > 1 THEN 0.95::DOUBLE ELSE 0::DOUBLE END AS confidence,

@@ -1,5 +1,7 @@
 """Queries of scalar functions, nested data, pages, files, table maintenance and streaming in batch form."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom import bridge, datagen
@@ -10,8 +12,9 @@ from ledgerloom.functions import scalars as fn
 from ledgerloom.functions.text import text_similarity
 from ledgerloom.catalog.validation import CHECKS, FIRST, GATES, SUMS
 from ledgerloom.operators import duplicates, extract, nested, pages, risk, store, validation
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import files
+from ledgerloom.sources.versions import Versions
 from ledgerloom.streaming import jobs
 
 
@@ -216,10 +219,49 @@ add("ext09_load_defaults", lambda s, d: _normalized(s, d).select(
     "invoice_num", F.col("taxable").cast("double").alias("taxable"), "lines"), oracle(
     """SELECT invoice_num, CAST(taxable_value AS DOUBLE) AS taxable, lines FROM invoices JOIN (SELECT invoice_id AS i, count(*) AS lines
     FROM items GROUP BY 1) x ON i = invoice_id"""))
-add("snk01_append_normalized", lambda s, d: _normalized(s, d).select(
-    "invoice_num", F.col("total_value").cast("double").alias("total_value"), "lines", F.col("taxable").cast("double").alias("taxable")), oracle(
-    """SELECT invoice_num, CASE WHEN total_tax <> 0 AND taxable_value <> 0 THEN CAST(taxable_value + total_tax AS DOUBLE) ELSE 0::DOUBLE END AS total_value, lines,
-    CAST(taxable_value AS DOUBLE) AS taxable FROM invoices JOIN (SELECT invoice_id AS i, count(*) AS lines FROM items GROUP BY 1) x ON i = invoice_id"""))
+def _appended(s, d):
+    """The five tables that one load adds to, written in one commit and read back: every row of each, ids followed to what they stand for."""
+    k = bridge.lake(s, d)
+    known = k.products.where("product_id % 3 <> 0")
+    made = store.normalize_extracted(cut_lineage(extract.extract_invoices(_analysis(s, d))), k.companies, known)
+    versions = Versions(s, f"{shared_dir(s).rstrip('/')}/store-{s.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    commit = versions.begin()
+    for name, rows in made.items():
+        commit.create(name, rows.schema, store_key(name), 16).append(name, rows)
+    commit.finish()
+    t = {name: versions.read(name) for name in made}
+
+    def rows(frame, frame_name, *columns):
+        return frame.select(F.lit(frame_name).alias("frame"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("row"))
+    named = t["documents"].select("doc_id", "filename")
+    suppliers = t["companies"].withColumnsRenamed({"company_id": "supplier_company_id"})
+    products = known.select("product_id", F.col("hsn_code").alias("code"), "canonical_name").unionByName(
+        t["products"].select("product_id", F.col("hsn_code").alias("code"), "canonical_name"))
+    heads = t["invoices"].join(named, "doc_id").join(suppliers, "supplier_company_id")
+    lines = t["invoice_item"].join(t["invoices"].join(named, "doc_id").select("invoice_id", "filename"), "invoice_id").join(products, "product_id")
+    return (rows(t["documents"].withColumn("raw", F.col("raw_data").isNotNull()), "documents", "filename", "doc_type", "file_size_bytes", "analysis_confidence", "raw")
+            .unionByName(rows(t["companies"], "companies", "legal_name", "gstin", "state", "city"))
+            .unionByName(rows(t["products"], "products", "hsn_code", "canonical_name"))
+            .unionByName(rows(heads, "invoices", "filename", "invoice_num", "invoice_date", "gstin", "taxable_value", "total_tax", "total_value", "currency",
+                              "status", "validation", "duplication"))
+            .unionByName(rows(lines, "invoice_item", "filename", "hsn_code", "code", "canonical_name", "item_description", "quantity", "unit_price",
+                              "taxable_value", "gst_rate", "gst_amount", "total_amount")))
+
+
+def store_key(name):
+    return {"documents": "doc_id", "companies": "company_id", "products": "product_id"}.get(name, "invoice_id")
+
+
+_GST = "CAST(round(taxable_value * 0.18, 2) AS DECIMAL(15,2))"
+add("snk01_append_normalized", _appended, oracle(
+    f"""SELECT 'documents' AS frame, concat_ws('|', 'f' || invoice_id, 'B2B_INVOICE', invoice_id, '90.00', 'true') AS row FROM invoices
+    UNION ALL SELECT 'companies', '-|-|-|-' FROM invoices
+    UNION ALL SELECT 'products', hsn_code || '|' || canonical_name FROM products WHERE product_id % 3 = 0 AND product_id IN (SELECT product_id FROM items)
+    UNION ALL SELECT 'invoices', concat_ws('|', 'f' || invoice_id, invoice_num, invoice_date, '-', taxable_value, total_tax,
+      CASE WHEN total_tax <> 0 AND taxable_value <> 0 THEN CAST(taxable_value + total_tax AS DECIMAL(15,2)) ELSE CAST(0 AS DECIMAL(15,2)) END,
+      'INR', 'PROCESSED', 'false', 'false') FROM invoices
+    UNION ALL SELECT 'invoice_item', concat_ws('|', 'f' || invoice_id, hsn_code, hsn_code, item_description, item_description, quantity, unit_price,
+      taxable_value, '18.00', {_GST}, CAST(taxable_value + {_GST} AS DECIMAL(15,2))) FROM items"""))
 add("snk10_normalize_analysis", lambda s, d: nested.normalize_analysis(_analysis_docs(s, d))["table_cells"].groupBy("document").agg(
     F.count("*").alias("cells"), F.max("row_index").alias("last_row")), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS document, (count(*) + 2) * 7 AS cells, count(*) + 1 AS last_row FROM items GROUP BY invoice_id"""))
@@ -321,13 +363,28 @@ add("src10_resolve_files", lambda s, d: files.resolve_analysis_files(_listing(s,
   x JOIN stored USING (name) GROUP BY 1""")
 
 
-def _upserted(k):
-    updates = k.registry.where("gst_id % 3 = 0").withColumns({
+def _kept(s, rows, name, key, buckets=32):
+    """The rows as a table of a versioned store in the shared folder."""
+    versions = Versions(s, f"{shared_dir(s).rstrip('/')}/store-{s.sparkContext.applicationId}-{uuid.uuid4().hex}")
+    versions.begin().create(name, rows.schema, key, buckets).append(name, rows).finish()
+    return versions
+
+
+def _upserted(s, d):
+    """A third of the registry is suspended a day later: the buckets of these are written anew."""
+    registry = bridge.lake(s, d).registry
+    updates = registry.where("gst_id % 3 = 0").withColumns({
         "status": F.lit("Suspended"), "last_verified": F.col("last_verified") + F.expr("INTERVAL 1 DAY")})
-    return store.upsert_registry(k.registry, updates).select("gstin", "status")
+    versions = _kept(s, registry, "gst_companies", "gstin")
+    versions.begin().change("gst_companies", updates, lambda rows: store.upsert_registry(rows, updates)).finish()
+    return versions.read("gst_companies")
 
 
-q("snk02_upsert_registry", _upserted, "SELECT gstin, CASE WHEN gst_id % 3 = 0 THEN 'Suspended' ELSE status END AS status FROM gst_companies")
+_REGISTRY = """SELECT gst_id, gstin, legal_name, trade_name, pan, registration_date, 'Private Limited Company' AS constitution, 'Regular' AS taxpayer_type,
+  {status} AS status, state, pin_code, '-' AS cancellation_date, 'State Office' AS state_jurisdiction, 'Central Office' AS centre_jurisdiction,
+  'Trading' AS nature_of_business, 'registry' AS api_source, {verified} AS last_verified, created_at FROM gst_companies""".format
+add("snk02_upsert_registry", _upserted, oracle(_REGISTRY(
+    status="CASE WHEN gst_id % 3 = 0 THEN 'Suspended' ELSE status END", verified="CASE WHEN gst_id % 3 = 0 THEN created_at + INTERVAL 1 DAY ELSE created_at END")))
 
 
 def _companies(k):
@@ -354,14 +411,41 @@ def _products(k):
 
 q("snk05_get_or_insert_products", _products, """SELECT product_id AS row_id, CASE WHEN product_id % 10 = 0 THEN 'none'
   WHEN product_id % 3 <> 0 THEN 'known' ELSE 'new' END AS outcome FROM products""")
-q("snk06_set_flags", lambda k: store.set_flags(k.invoices, k.invoices.where("invoice_id % 5 = 0").select(
-    "invoice_id", F.lit(True).alias("validation"))).select("invoice_id", "validation", "duplication"),
-  "SELECT invoice_id, validation OR invoice_id % 5 = 0 AS validation, duplication FROM invoices")
-q("snk11_update_document_type", lambda k: store.set_document_types(k.documents, k.documents.where("doc_id % 5 = 0").select(
-    "filename", F.lit("QUOTATION").alias("doc_type"))).select("doc_id", "doc_type"),
-  "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'QUOTATION' ELSE doc_type END AS doc_type FROM docs")
-add("reg04_cache_merge", lambda s, d: store.merge_snapshots(
-    bridge.lake(s, d).registry.where("gst_id % 2 = 0"), bridge.lake(s, d).registry).select("gstin"), oracle("SELECT gstin FROM gst_companies"))
+def _flagged_store(s, d):
+    k = bridge.lake(s, d)
+    versions = _kept(s, k.invoices, "invoices", "invoice_id")
+    flags = versions.read("invoices").where("invoice_id % 5 = 0").select("invoice_id", F.lit(True).alias("validation"))
+    versions.begin().change("invoices", flags, lambda rows: store.set_flags(rows, flags)).finish()
+    return versions.read("invoices").withColumns({c: F.col(c).cast("double") for c in ("taxable_value", "total_tax", "total_value")})
+
+
+add("snk06_set_flags", _flagged_store, oracle(f"""SELECT invoice_id, doc_id, invoice_num, invoice_date, supplier_company_id, buyer_company_id,
+  {dbl("taxable_value")} AS taxable_value, {dbl("total_tax")} AS total_tax, {dbl("total_value")} AS total_value, currency, status,
+  validation OR invoice_id % 5 = 0 AS validation, duplication, created_at FROM invoices"""))
+
+
+def _typed_store(s, d):
+    documents = bridge.lake(s, d).documents
+    versions = _kept(s, documents, "documents", "filename")
+    types = versions.read("documents").where("doc_id % 5 = 0").select("filename", F.lit("QUOTATION").alias("doc_type"))
+    versions.begin().change("documents", types, lambda rows: store.set_document_types(rows, types)).finish()
+    return versions.read("documents").withColumn("analysis_confidence", F.col("analysis_confidence").cast("double"))
+
+
+add("snk11_update_document_type", _typed_store, oracle(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'QUOTATION' ELSE doc_type END AS doc_type, created_at, filename,
+  file_size_bytes, {dbl("analysis_confidence")} AS analysis_confidence, raw_data FROM docs"""))
+
+
+def _merged_store(s, d):
+    """The half of the registry that is not stored is added from snapshot files; stored rows stay as they are."""
+    registry = bridge.lake(s, d).registry
+    versions = _kept(s, registry.where("gst_id % 2 = 0"), "gst_companies", "gstin")
+    snapshots = registry.withColumn("status", F.lit("from a file"))
+    versions.begin().insert_new("gst_companies", snapshots).finish()
+    return versions.read("gst_companies")
+
+
+add("reg04_cache_merge", _merged_store, oracle(_REGISTRY(status="CASE WHEN gst_id % 2 = 0 THEN status ELSE 'from a file' END", verified="created_at")))
 add("snk08_registry_records", lambda s, d: _records(s, d))
 
 

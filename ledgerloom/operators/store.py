@@ -38,9 +38,9 @@ def merge_snapshots(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def get_or_insert_companies(batch: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(batch with company_id, companies to add). Known tax ids keep their id; rows without one
-    are always new. ``batch``: row_id, legal_name, gstin, state, city."""
+    are always new. ``batch``: row_id, legal_name, gstin, state, city, and own_id where ids were assigned (see identity.py)."""
     known = companies.where("gstin IS NOT NULL").select("gstin", F.col("company_id").alias("known_id"))
-    own = F.when(F.coalesce(F.col("gstin"), F.lit("")) != "", new_id(F.lit("gstin"), F.col("gstin"))).otherwise(
+    own = F.col("own_id") if "own_id" in batch.columns else F.when(F.coalesce(F.col("gstin"), F.lit("")) != "", new_id(F.lit("gstin"), F.col("gstin"))).otherwise(
         new_id(F.lit("row"), F.col("row_id")))
     linked = batch.join(known, "gstin", "left").withColumn("company_id", F.coalesce("known_id", own))
     fresh = linked.where("known_id IS NULL")
@@ -94,9 +94,10 @@ def normalize_extracted(extracted: DataFrame, companies: DataFrame, products: Da
 
     ``extracted``: document_key, filename, file_size_bytes, raw_data, document_type, confidence, supplier_name, supplier_gstin, supplier_state,
     invoice_num, invoice_date, taxable_value, total_tax, total_value, line_items. Ids are hashes of
-    business keys, so all five frames agree without a lookup and a retried write repeats itself.
+    business keys, so all five frames agree without a lookup and a retried write repeats itself. Columns doc_id and
+    supplier_own_id, if there are any, are ids that were assigned with a check for clashes.
     """
-    doc_id = new_id(F.lit("doc"), F.col("document_key"))
+    doc_id = F.col("doc_id") if "doc_id" in extracted.columns else new_id(F.lit("doc"), F.col("document_key"))
     money = "decimal(15,2)"
 
     def amount(name):
@@ -104,7 +105,8 @@ def normalize_extracted(extracted: DataFrame, companies: DataFrame, products: Da
     docs = extracted.withColumn("doc_id", doc_id)
     parties, new_companies = get_or_insert_companies(docs.select(
         F.col("doc_id").alias("row_id"), F.col("supplier_name").alias("legal_name"), F.col("supplier_gstin").alias("gstin"),
-        F.col("supplier_state").alias("state"), F.lit(None).cast("string").alias("city")), companies)
+        F.col("supplier_state").alias("state"), F.lit(None).cast("string").alias("city"),
+        *[F.col("supplier_own_id").alias("own_id") for _ in [1] if "supplier_own_id" in docs.columns]), companies)
     heads = docs.join(parties.select(F.col("row_id").alias("doc_id"), F.col("company_id").alias("supplier_company_id")), "doc_id")
     invoices = heads.select(
         F.col("doc_id").alias("invoice_id"), "doc_id",
