@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Else every column expression is sent along with the place in the program that made it,
+    # which takes longer than planning where plans have thousands of expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
