@@ -380,6 +380,9 @@ SHARED = """SELECT invoice_id, candidate_id, shared_codes FROM (SELECT *, row_nu
     count(DISTINCT a.hsn_code) AS shared_codes FROM items a JOIN items b ON a.hsn_code = b.hsn_code
     AND a.invoice_id <> b.invoice_id GROUP BY 1, 2) p) x WHERE rn <= 10"""
 q("jn10_shared_hsn", lambda k: neighbours.most_shared_codes(k.items), SHARED)
+# Fifty codes in all, each on a twelfth of the invoices.
+q("jn10_shared_of_fifty", lambda k: neighbours.most_shared_codes(k.items.select("invoice_id", (F.col("product_id") % 50).cast("string").alias("hsn_code"))),
+  SHARED.replace("items", "chapters"), "chapters AS (SELECT invoice_id, CAST(product_id % 50 AS VARCHAR) AS hsn_code FROM items)")
 q("jn11_known_products", lambda k: k.items.join(k.products.where("product_id % 3 <> 0"), "product_id", "left_semi")
   .select("item_id"), "SELECT item_id FROM items WHERE product_id IN (SELECT product_id FROM products WHERE product_id % 3 <> 0)")
 q("jn11_new_products", lambda k: k.items.join(k.products.where("product_id % 3 <> 0"), "product_id", "left_anti")

@@ -7,10 +7,14 @@ are either at most k partners per invoice, or counts; and no step gathers a whol
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut_lineage
+
 
 def smallest_ids(rows: DataFrame, key: str, k: int, by: str = "invoice_id") -> DataFrame:
     """The k smallest ids of each key as an array. The row limit is applied on the map side too."""
@@ -93,57 +97,71 @@ def within_amount(invoices: DataFrame, width: int = 1000) -> DataFrame:
     return totals.join(per_total, "t").select("invoice_id", F.col("t").alias("total_value"), "partners")
 
 
-def _subsets(codes: Column) -> Column:
-    """Every non-empty subset of a short array, as arrays."""
-    size = F.size(codes)
-    masks = F.sequence(F.lit(1).cast("bigint"), (F.pow(F.lit(2), size) - 1).cast("bigint"))
-    return F.transform(masks, lambda m: F.filter(
-        codes, lambda c, i: (F.floor(m / F.pow(F.lit(2), i)).cast("bigint") % 2) == 1))
+def _joined(codes: Column) -> Column:
+    return F.array_join(codes, "\u0001")
+
 
+def most_shared_codes(items: DataFrame, k: int = 10) -> DataFrame:
+    """(invoice_id, candidate_id, shared_codes): up to k invoices with most shared distinct codes, ties to the smaller id.
 
-def most_shared_codes(items: DataFrame, k: int = 10, hot_over: int = 500, widest: int = 10) -> DataFrame:
-    """(invoice_id, candidate_id, shared_codes): up to k invoices with most shared distinct codes.
+    Invoices with the same codes are folded to one set, of which the k + 1 smallest ids can matter. A *list* is the
+    k + 1 smallest ids of invoices that have all codes of a combination. A candidate that is not in the list of what it
+    shares with an invoice has k others before it, so lists are enough; and a list that is not full holds all that any
+    larger combination's list would, so only combinations with full lists are extended by a further code. Level by level
+    there are fewer of them: with rare codes the second level ends it.
 
-    Ties go to the smaller id. Codes on at most ``hot_over`` invoices are joined directly.
-    For more frequent ones pairs are never built: every invoice lists the subsets of its
-    frequent codes, each subset keeps the k + 1 smallest ids that contain it, and an
-    invoice looks its own subsets up. A candidate missing from those lists has k others
-    before it, so the result is the same. Only invoices with more than ``widest`` frequent
-    codes are joined through their frequent codes directly.
+    An invoice whose codes are so many that extending costs more than the posting lists themselves leaves this for the
+    plain way: of h codes with full lists a candidate that shares t + 1 of them has one of the h - t rarest, whose
+    lists are joined, and what is found there finds the invoice too. Both ways give the same rows, and a set takes the one
+    that makes fewer.
     """
     postings = items.where("hsn_code IS NOT NULL").select("invoice_id", "hsn_code").distinct()
-    sizes = postings.groupBy("hsn_code").agg(F.count("*").alias("_n"))
-    rare_codes = sizes.where(F.col("_n") <= hot_over).select("hsn_code")
-    hot_codes = sizes.where(F.col("_n") > hot_over).select("hsn_code")
-    rare = postings.join(rare_codes, "hsn_code", "left_semi")
-    hot = postings.join(hot_codes, "hsn_code", "left_semi")
-
-    sets = hot.groupBy("invoice_id").agg(F.array_sort(F.collect_set("hsn_code")).alias("codes"))
-    wide = sets.where(F.size("codes") > widest).select("invoice_id")
-    wide_hot = hot.join(wide, "invoice_id", "left_semi")
-    narrow_hot = hot.join(wide, "invoice_id", "left_anti")
-
-    def self_join(left, right):
-        b = right.withColumnsRenamed({c: f"candidate_{c}" for c in right.columns if c != "hsn_code"}).withColumnRenamed(
-            "candidate_invoice_id", "candidate_id")
-        return left.join(b, "hsn_code").where("invoice_id <> candidate_id")
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    # Rare codes: a row per shared code. The frequent codes of both sides travel along, so
-    # that these pairs are counted in full without another join.
-    armed = rare.join(sets, "invoice_id", "left")
-    on_hot = F.coalesce(F.size(F.array_intersect("codes", "candidate_codes")), F.lit(0))
-    both = F.when(F.col("codes").isNull() | F.col("candidate_codes").isNull(), 0).otherwise(on_hot)
-    by_rare = self_join(armed, armed).select("invoice_id", "candidate_id", one.alias("r"), both.alias("h"), zero.alias("w"), zero.alias("l"))
-    by_wide = self_join(wide_hot, hot).unionByName(self_join(narrow_hot, wide_hot)).select(
-        "invoice_id", "candidate_id", zero.alias("r"), F.lit(0).alias("h"), one.alias("w"), zero.alias("l"))
-    narrow = sets.where(F.size("codes") <= widest).withColumn("subset", F.explode(_subsets(F.col("codes"))))
-    keyed = narrow.select("invoice_id", F.array_join("subset", "\u0001").alias("subset"), F.size("subset").alias("size"))
-    by_subset = keyed.join(smallest_ids(keyed, "subset", k + 1), "subset").select(
-        "invoice_id", F.explode("ids").alias("candidate_id"), zero.alias("r"), F.lit(0).alias("h"), zero.alias("w"),
-        F.col("size").cast("bigint").alias("l")).where("invoice_id <> candidate_id")
-    # One shuffle on the invoice serves both the counting and the ranking.
-    rows = by_rare.unionByName(by_wide).unionByName(by_subset).repartition("invoice_id")
-    found = rows.groupBy("invoice_id", "candidate_id").agg(
-        F.greatest(F.sum("r") + F.max("h"), F.sum("w"), F.max("l")).alias("shared_codes"))
-    best = W.partitionBy("invoice_id").orderBy(F.desc("shared_codes"), "candidate_id")
-    return found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
+    # Rarest code first, in one order for all sets.
+    sizes = postings.groupBy("hsn_code").agg(F.count("*").alias("size"))
+    own = postings.join(sizes, "hsn_code").groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("size", F.col("hsn_code").alias("code")))).alias("codes"))
+    key = _joined(F.transform("codes", lambda c: c["code"]))
+    own = cut_lineage(own.select("invoice_id", "codes", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")))
+    named = own.groupBy("h1", "h2").agg(F.min("invoice_id").alias("set"), F.count("*").alias("n"))
+    member = own.join(named, ["h1", "h2"]).select("invoice_id", "set", "n", "codes")
+    sets = cut_lineage(member.where(F.col("invoice_id") == F.col("set")).select("set", "n", "codes"))
+    ids = cut_lineage(smallest_ids(member, "set", k + 1))
+
+    plain = sets.select("set", "n", F.transform("codes", lambda c: c["code"]).alias("codes"))
+    level = sets.select("set", "n", F.explode("codes").alias("c")).select(
+        "set", "n", F.lit("").alias("head"), F.array("c").alias("combo"), F.col("c.code").alias("name"))
+    found, t = [], 1
+    while True:
+        support = level.groupBy("name").agg(F.sum("n").alias("support"))
+        shared = cut_lineage(level.join(support.where("support > 1"), "name"))
+        lists = smallest_ids(shared.select("name", "set").join(ids, "set").select("name", F.explode("ids").alias("invoice_id")), "name", k + 1)
+        found.append(cut_lineage(shared.select("name", "set").join(lists, "name").select("set", F.explode("ids").alias("candidate_id")).distinct()))
+        full = shared.where(F.col("support") > k + 1)
+        # What extending makes of each set, and what its posting lists would.
+        width = full.groupBy("set").agg(F.count("*").alias("combinations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("combo")))).alias("open"))
+        h = F.size("open")
+        lists_cost = F.aggregate(F.slice("open", 1, F.greatest(h - t, F.lit(1))), F.lit(0).cast("double"), lambda x, c: x + c["size"])
+        costs = width.withColumns({"extended": F.col("combinations") * (h - 1) / 2.0, "joined": lists_cost}).where(h > t)
+        wide = costs.where("extended > joined").select("set", F.explode(F.slice("open", 1, F.greatest(h - t, F.lit(1)))).alias("c"))
+        by_lists = cut_lineage(wide.select("set", F.col("c.code").alias("hsn_code")).join(postings, "hsn_code").select("set", F.col("invoice_id").alias("candidate_id")).distinct())
+        # Sets that leave are in no later list, so what they find finds them as well.
+        turned = by_lists.join(member.select(F.col("invoice_id").alias("candidate_id"), F.col("set").alias("other")), "candidate_id").select("set", "other").distinct()
+        found += [by_lists, turned.join(ids, "set").select(F.col("other").alias("set"), F.explode("ids").alias("candidate_id"))]
+        rest = cut_lineage(full.join(costs.where("extended <= joined").select("set"), "set", "left_semi").select("set", "n", "head", "combo", "name"))
+        if rest.isEmpty():
+            break
+        last = F.element_at("combo", -1)
+        a = rest.withColumn("first", last)
+        b = rest.select("set", "head", last.alias("next"))
+        level = a.join(b, ["set", "head"]).where("next > first").select(
+            "set", "n", F.col("name").alias("head"), F.concat("combo", F.array("next")).alias("combo"), F.concat_ws("\u0001", "name", "next.code").alias("name"))
+        t += 1
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    theirs = member.select(F.col("invoice_id").alias("candidate_id"), F.transform("codes", lambda c: c["code"]).alias("candidate_codes"))
+    counted = pairs.join(plain.drop("n"), "set").join(theirs, "candidate_id").select(
+        "set", "candidate_id", F.size(F.array_intersect("codes", "candidate_codes")).cast("bigint").alias("shared_codes"))
+    best = W.partitionBy("set").orderBy(F.desc("shared_codes"), "candidate_id")
+    ranked = counted.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
+    # The set's own invoice is one of its k + 1 at most; what is left of them are its k.
+    listed = member.select("invoice_id", "set").join(ranked, "set").where("invoice_id <> candidate_id")
+    place = W.partitionBy("invoice_id").orderBy("_rn")
+    return listed.withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= k).select("invoice_id", "candidate_id", "shared_codes")

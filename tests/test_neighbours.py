@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as fn
@@ -36,18 +37,28 @@ def test_within_amount(spark):
     assert {r["invoice_id"]: r["partners"] for r in nb.within_amount(df, 1000).collect()} == expected
 
 
-def test_most_shared_codes_with_frequent_codes(spark):
+def code_sets(kind):
     rnd = random.Random(3)
-    sets = {i: set(rnd.choices("ABCDEFGHIJKLMNOP", weights=[60, 40, 30] + [3] * 13, k=rnd.choice([1, 2, 3, 5, 8]))) for i in range(120)}
+    if kind == "few hot":
+        return {i: set(rnd.choices("ABCDEFGHIJKLMNOP", weights=[60, 40, 30] + [3] * 13, k=rnd.choice([1, 2, 3, 5, 8]))) for i in range(120)}
+    if kind == "copies":
+        return {i: set("ABCDEF") if i % 3 else {"A", f"x{i % 7}"} for i in range(90)}
+    template = [f"t{j}" for j in range(14)]  # wide and nearly equal: every combination would be frequent
+    made = {i: set(template) - set(rnd.sample(template, rnd.randint(0, 2))) | {f"own{i % 11}"} for i in range(60)}
+    return {**made, **{100 + i: {rnd.choice(template), f"z{i}"} for i in range(20)}}
+
+
+@pytest.mark.parametrize("kind", ["few hot", "copies", "template"])
+def test_most_shared_codes(spark, kind):
+    rnd, sets = random.Random(4), code_sets(kind)
     rows = [(i, c) for i, s in sets.items() for c in s for _ in range(rnd.choice([1, 2]))] + [(500, None)]
     items = spark.createDataFrame(rows, "invoice_id long, hsn_code string")
     expected = {}
     for i, s in sets.items():
         ranked = sorted((-len(s & t), j) for j, t in sets.items() if j != i and s & t)[:5]
         expected |= {(i, j): -n for n, j in ranked}
-    for hot_over, widest in ((1000, 10), (15, 10), (5, 10), (5, 3), (0, 4)):
-        got = nb.most_shared_codes(items, 5, hot_over, widest).collect()
-        assert {(r["invoice_id"], r["candidate_id"]): r["shared_codes"] for r in got} == expected, (hot_over, widest)
+    got = nb.most_shared_codes(items, 5).collect()
+    assert len(got) == len(expected) and {(r["invoice_id"], r["candidate_id"]): r["shared_codes"] for r in got} == expected
 
 
 def test_groups_stand_for_all_pairs(spark):
