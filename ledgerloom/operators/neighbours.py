@@ -97,10 +97,6 @@ def within_amount(invoices: DataFrame, width: int = 1000) -> DataFrame:
     return totals.join(per_total, "t").select("invoice_id", F.col("t").alias("total_value"), "partners")
 
 
-def _joined(codes: Column) -> Column:
-    return F.array_join(codes, "\u0001")
-
-
 def most_shared_codes(items: DataFrame, k: int = 10) -> DataFrame:
     """(invoice_id, candidate_id, shared_codes): up to k invoices with most shared distinct codes, ties to the smaller id.
 
@@ -115,53 +111,66 @@ def most_shared_codes(items: DataFrame, k: int = 10) -> DataFrame:
     lists are joined, and what is found there finds the invoice too. Both ways give the same rows, and a set takes the one
     that makes fewer.
     """
-    postings = items.where("hsn_code IS NOT NULL").select("invoice_id", "hsn_code").distinct()
-    # Rarest code first, in one order for all sets.
-    sizes = postings.groupBy("hsn_code").agg(F.count("*").alias("size"))
-    own = postings.join(sizes, "hsn_code").groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("size", F.col("hsn_code").alias("code")))).alias("codes"))
-    key = _joined(F.transform("codes", lambda c: c["code"]))
-    own = cut_lineage(own.select("invoice_id", "codes", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")))
+    given = items.where("hsn_code IS NOT NULL").select("invoice_id", "hsn_code").distinct()
+    # Codes as numbers, rarest first, in one order for all sets.
+    sizes = cut_lineage(given.groupBy("hsn_code").agg(F.count("*").alias("size")).withColumn("code", F.monotonically_increasing_id()))
+    postings = given.join(sizes, "hsn_code").select("invoice_id", F.struct("size", "code").alias("c"))
+    own = postings.groupBy("invoice_id").agg(F.array_sort(F.collect_list("c")).alias("codes"))
+    own = cut_lineage(own.select("invoice_id", "codes", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit("second"), "codes").alias("h2")))
     named = own.groupBy("h1", "h2").agg(F.min("invoice_id").alias("set"), F.count("*").alias("n"))
-    member = own.join(named, ["h1", "h2"]).select("invoice_id", "set", "n", "codes")
-    sets = cut_lineage(member.where(F.col("invoice_id") == F.col("set")).select("set", "n", "codes"))
+    member = cut_lineage(own.join(named, ["h1", "h2"]).select("invoice_id", "set", "n", "codes"))
+    sets = member.where(F.col("invoice_id") == F.col("set")).select("set", "n", "codes")
     ids = cut_lineage(smallest_ids(member, "set", k + 1))
 
-    plain = sets.select("set", "n", F.transform("codes", lambda c: c["code"]).alias("codes"))
     level = sets.select("set", "n", F.explode("codes").alias("c")).select(
-        "set", "n", F.lit("").alias("head"), F.array("c").alias("combo"), F.col("c.code").alias("name"))
-    found, t = [], 1
+        "set", "n", F.lit("").alias("head"), F.array("c").alias("combo"), F.col("c.code").cast("string").alias("name"))
+    listed, unsure, t = [], [], 1
     while True:
         support = level.groupBy("name").agg(F.sum("n").alias("support"))
         shared = cut_lineage(level.join(support.where("support > 1"), "name"))
         lists = smallest_ids(shared.select("name", "set").join(ids, "set").select("name", F.explode("ids").alias("invoice_id")), "name", k + 1)
-        found.append(cut_lineage(shared.select("name", "set").join(lists, "name").select("set", F.explode("ids").alias("candidate_id")).distinct()))
+        with_lists = cut_lineage(shared.select("set", "name", "support").join(lists, "name").select("set", "support", "ids"))
+        # In full lists the k + 1 smallest of all of a set's are enough, and share t codes or are found with more.
+        merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
+        listed.append(with_lists.where(F.col("support") > k + 1).groupBy("set").agg(merged.alias("ids")).select(
+            "set", F.explode("ids").alias("candidate_id"), F.lit(t).cast("bigint").alias("shared_codes")))
+        unsure.append(with_lists.where(F.col("support") <= k + 1).select("set", F.explode("ids").alias("candidate_id")))
         full = shared.where(F.col("support") > k + 1)
         # What extending makes of each set, and what its posting lists would.
-        width = full.groupBy("set").agg(F.count("*").alias("combinations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("combo")))).alias("open"))
+        width = full.groupBy("set").agg(F.first("n").alias("n"), F.count("*").alias("combinations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("combo")))).alias("open"))
         h = F.size("open")
-        lists_cost = F.aggregate(F.slice("open", 1, F.greatest(h - t, F.lit(1))), F.lit(0).cast("double"), lambda x, c: x + c["size"])
-        costs = width.withColumns({"extended": F.col("combinations") * (h - 1) / 2.0, "joined": lists_cost}).where(h > t)
-        wide = costs.where("extended > joined").select("set", F.explode(F.slice("open", 1, F.greatest(h - t, F.lit(1)))).alias("c"))
-        by_lists = cut_lineage(wide.select("set", F.col("c.code").alias("hsn_code")).join(postings, "hsn_code").select("set", F.col("invoice_id").alias("candidate_id")).distinct())
-        # Sets that leave are in no later list, so what they find finds them as well.
-        turned = by_lists.join(member.select(F.col("invoice_id").alias("candidate_id"), F.col("set").alias("other")), "candidate_id").select("set", "other").distinct()
-        found += [by_lists, turned.join(ids, "set").select(F.col("other").alias("set"), F.explode("ids").alias("candidate_id"))]
-        rest = cut_lineage(full.join(costs.where("extended <= joined").select("set"), "set", "left_semi").select("set", "n", "head", "combo", "name"))
-        if rest.isEmpty():
+        rarest = F.slice("open", 1, F.greatest(h - t, F.lit(1)))
+        lists_cost = F.aggregate(rarest, F.lit(0).cast("double"), lambda x, c: x + c["size"])
+        costs = cut_lineage(width.withColumns({"extended": F.col("combinations") * (h - 1) / 2.0, "joined": lists_cost}).where(h > t))
+        wide = costs.where("extended > joined")
+        if not wide.isEmpty():
+            by_lists = cut_lineage(wide.select("set", F.explode(rarest).alias("c")).join(postings, "c").select("set", F.col("invoice_id").alias("candidate_id")).distinct())
+            # Sets that leave are in no later list, so what they find finds them as well.
+            turned = by_lists.join(member.select(F.col("invoice_id").alias("candidate_id"), F.col("set").alias("other")), "candidate_id").select("set", "other").distinct()
+            unsure += [by_lists, turned.join(ids, "set").select(F.col("other").alias("set"), F.explode("ids").alias("candidate_id"))]
+        narrow = costs.where("extended <= joined")
+        if narrow.isEmpty():
             break
-        last = F.element_at("combo", -1)
-        a = rest.withColumn("first", last)
-        b = rest.select("set", "head", last.alias("next"))
-        level = a.join(b, ["set", "head"]).where("next > first").select(
-            "set", "n", F.col("name").alias("head"), F.concat("combo", F.array("next")).alias("combo"), F.concat_ws("\u0001", "name", "next.code").alias("name"))
+        if t == 1:  # the pairs of a set's codes need no join
+            every = F.flatten(F.transform("open", lambda x, i: F.transform(F.slice("open", i + 2, F.size("open")), lambda y: F.array(x, y))))
+            level = narrow.select("set", "n", F.explode(every).alias("combo"))
+        else:
+            rest = full.join(narrow.select("set"), "set", "left_semi").select("set", "n", "head", "combo")
+            last = F.element_at("combo", -1)
+            level = rest.join(rest.select("set", "head", last.alias("next")), ["set", "head"]).where(F.col("next") > last).select(
+                "set", "n", F.concat("combo", F.array("next")).alias("combo"))
+        codes = F.transform("combo", lambda c: c["code"].cast("string"))
+        level = level.select("set", "n", F.array_join(F.slice(codes, 1, t), ",").alias("head"), "combo", F.array_join(codes, ",").alias("name"))
         t += 1
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    theirs = member.select(F.col("invoice_id").alias("candidate_id"), F.transform("codes", lambda c: c["code"]).alias("candidate_codes"))
-    counted = pairs.join(plain.drop("n"), "set").join(theirs, "candidate_id").select(
+    pairs = reduce(DataFrame.unionByName, unsure).distinct()
+    theirs = member.select(F.col("invoice_id").alias("candidate_id"), F.col("codes").alias("candidate_codes"))
+    counted = pairs.join(sets.select("set", "codes"), "set").join(theirs, "candidate_id").select(
         "set", "candidate_id", F.size(F.array_intersect("codes", "candidate_codes")).cast("bigint").alias("shared_codes"))
+    # One shuffle by the set serves both the counting and the ranking.
+    found = reduce(DataFrame.unionByName, listed, counted).repartition("set").groupBy("set", "candidate_id").agg(F.max("shared_codes").alias("shared_codes"))
     best = W.partitionBy("set").orderBy(F.desc("shared_codes"), "candidate_id")
-    ranked = counted.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
+    ranked = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k + 1)
     # The set's own invoice is one of its k + 1 at most; what is left of them are its k.
-    listed = member.select("invoice_id", "set").join(ranked, "set").where("invoice_id <> candidate_id")
+    others = member.select("invoice_id", "set").join(ranked, "set").where("invoice_id <> candidate_id")
     place = W.partitionBy("invoice_id").orderBy("_rn")
-    return listed.withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= k).select("invoice_id", "candidate_id", "shared_codes")
+    return others.withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= k).select("invoice_id", "candidate_id", "shared_codes")
