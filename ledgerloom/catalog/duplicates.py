@@ -37,8 +37,21 @@ def _candidates(s, d):
     return du.candidate_pairs(k.invoices, k.items)
 
 
-for _name in ("dup05_candidate_union", "set02_candidate_union", "win05_first_scenario"):
-    add(_name, _candidates, oracle(_CANDIDATES))
+def _union(s, d):
+    k = bridge.lake(s, d)
+    return du.candidate_union(k.invoices, k.items)
+
+
+_UNION = ("groups AS (SELECT *, count(*) OVER s AS n_s, min(invoice_id) OVER s AS f_s, count(*) OVER n AS n_n, min(invoice_id) OVER n AS f_n FROM invoices "
+          "WINDOW s AS (PARTITION BY supplier_company_id), n AS (PARTITION BY invoice_num))", f"""all_of AS (
+  SELECT invoice_id, f_s AS candidate_id, n_s AS group_size, 'same_supplier' AS scenario FROM groups WHERE n_s > 1
+  UNION ALL SELECT invoice_id, f_n, n_n, 'same_number' FROM groups WHERE n_n > 1 AND invoice_num <> ''
+  UNION ALL SELECT invoice_id, candidate_id, NULL, scenario FROM ({_CANDIDATES}) c WHERE scenario NOT IN ('same_supplier', 'same_number'))""")
+add("win05_first_scenario", _candidates, oracle(_CANDIDATES))
+add("dup05_candidate_union", _union, oracle("SELECT * FROM all_of", *_UNION))
+add("set02_candidate_union", lambda s, d: du.candidate_counts(_union(s, d)), oracle("SELECT invoice_id, " + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN scenario = '{n}' THEN coalesce(group_size - 1, 1) END), 0) AS BIGINT) AS {n}"
+    for n in ("same_supplier", "same_number", "similar_amount", "shared_hsn")) + " FROM all_of GROUP BY 1", *_UNION))
 add("win04_nearest_ten", lambda s, d: du.similar_amount(bridge.lake(s, d).invoices).groupBy("invoice_id").agg(
     F.count("*").alias("candidates"), F.max("amount_diff").cast("double").alias("largest_diff")),
     oracle(f"SELECT invoice_id, count(*) AS candidates, max(amount_diff) AS largest_diff FROM ({NEAREST}) n GROUP BY 1"))
@@ -96,7 +109,8 @@ _PAIR_SCORES = ("sizes AS (SELECT invoice_id AS id, count(*) AS n, list(DISTINCT
   SELECT invoice_id, candidate_id, sum(CASE WHEN best > 0.8 THEN best END) AS rates FROM ({_RATE_BEST}) r GROUP BY 1, 2)""", """scores AS (
   SELECT p.invoice_id, p.candidate_id, coalesce(matching, 0) AS matching_products, coalesce(items, 0::DOUBLE) / a.n AS product_score,
     coalesce(lines, 0::DOUBLE) / greatest(a.n, b.n) AS line_score, coalesce(rates, 0::DOUBLE) / greatest(a.n, b.n) AS rate_score,
-    CAST(len(list_intersect(a.codes, b.codes)) AS DOUBLE) / len(list_distinct(list_concat(a.codes, b.codes))) AS hsn_ratio
+    CAST(len(list_intersect(a.codes, b.codes)) AS DOUBLE) / len(list_distinct(list_concat(a.codes, b.codes))) AS hsn_ratio,
+    len(list_intersect(a.codes, b.codes)) AS shared_codes
   FROM pairs p JOIN sizes a ON p.invoice_id = a.id JOIN sizes b ON candidate_id = b.id
   LEFT JOIN coded_pairs c ON p.invoice_id = c.invoice_id AND p.candidate_id = c.candidate_id
   LEFT JOIN rated_pairs r ON p.invoice_id = r.invoice_id AND p.candidate_id = r.candidate_id)""")
@@ -120,7 +134,7 @@ _FOUND = (_COMPARED, *_PAIR_SCORES, """step1 AS (SELECT s.*, a.supplier_company_
     ELSE c1 END AS c2 FROM step1)""",
   """step3 AS (SELECT *, hsn_ratio > 0.8 AND c2 < 0.75 AS by_code, CASE WHEN hsn_ratio > 0.8 AND c2 < 0.75 THEN greatest(c2, 0.7::DOUBLE + hsn_ratio * 0.05::DOUBLE)
     ELSE c2 END AS c3 FROM step2)""",
-  """found AS (SELECT * FROM (SELECT invoice_id, candidate_id,
+  """found AS (SELECT * FROM (SELECT invoice_id, candidate_id, matching_products, shared_codes, product_score, line_score, hsn_ratio, rate_score,
     CASE WHEN exact THEN 'EXACT_INVOICE_NUMBER_SAME_COMPANY' WHEN by_line THEN 'PRODUCT_LINE_DUPLICATION' WHEN c1 > 0 THEN 'SAME_COMPANY_PRODUCT_DUPLICATION'
       WHEN by_code THEN 'HSN_PATTERN_MATCH' WHEN rate_score > 0.85 AND c3 < 0.7 THEN 'RATE_PATTERN_MATCH' END AS match_type,
     CASE WHEN exact THEN 0.95::DOUBLE WHEN rate_score > 0.85 AND c3 < 0.7 THEN greatest(c3, 0.65::DOUBLE + rate_score * 0.05::DOUBLE) ELSE c3 END AS confidence
@@ -137,7 +151,19 @@ def _verdicts(s, d):
     return du.duplicate_verdicts(bridge.lake(s, d).invoices, _matches(s, d))
 
 
-add("dup12_matches", _matches)
+_RECOMMEND = """CASE WHEN confidence >= 0.85 THEN 'HIGH_CONFIDENCE_DUPLICATE' WHEN confidence >= 0.7 THEN
+  'LIKELY_DUPLICATE_REVIEW_REQUIRED' WHEN confidence >= 0.5 THEN 'POSSIBLE_DUPLICATE_INVESTIGATE' ELSE 'NOT_A_DUPLICATE' END"""
+_SCORES = ("product_score", "line_score", "hsn_ratio", "rate_score")
+#: The exact ones as the operator gives them, a row an invoice; lines of two invoices are nowhere the same, so all others are pairs.
+_MATCHED = (*_FOUND, f"""matched AS (
+  SELECT invoice_id, min(candidate_id) AS candidate_id, count(*) AS partners, match_type, 0.95::DOUBLE AS confidence, NULL::BIGINT AS matching_products,
+    NULL::BIGINT AS shared_codes, {", ".join(f"NULL::DOUBLE AS {c}" for c in _SCORES)}
+  FROM found WHERE match_type = 'EXACT_INVOICE_NUMBER_SAME_COMPANY' GROUP BY invoice_id, match_type
+  UNION ALL SELECT invoice_id, candidate_id, 1, match_type, confidence, matching_products, shared_codes, {", ".join(_SCORES)}
+  FROM found WHERE match_type <> 'EXACT_INVOICE_NUMBER_SAME_COMPANY')""")
+add("dup12_matches", lambda s, d: _matches(s, d).withColumns({c: F.round(c, 6) for c in ("confidence", *_SCORES)}), oracle(
+    f"""SELECT invoice_id, candidate_id, partners, match_type, round(confidence, 6) AS confidence, matching_products, shared_codes,
+    {", ".join(f"round({c}, 6) AS {c}" for c in _SCORES)}, {_RECOMMEND} AS recommendation FROM matched""", *_MATCHED))
 add("dup12_exact_matches", lambda s, d: du.exact_matches(bridge.lake(s, d).invoices), oracle(
     """SELECT a.invoice_id, min(b.invoice_id) AS candidate_id, count(*) AS partners,
     'EXACT_INVOICE_NUMBER_SAME_COMPANY' AS match_type, 0.95::DOUBLE AS confidence FROM invoices a JOIN invoices b
@@ -146,14 +172,12 @@ add("dup12_exact_matches", lambda s, d: du.exact_matches(bridge.lake(s, d).invoi
 # Totals rounded to 2000 so that equal amounts within a week occur.
 add("dup13_amount_and_date", lambda s, d: du.amount_date_matches(bridge.lake(s, d).invoices.withColumn(
     "total_value", F.round(F.col("total_value") / 2000, 0) * 2000)).withColumn("confidence", F.round("confidence", 6)), oracle(
-    """SELECT invoice_id, CAST(m % 1000000000000 AS BIGINT) AS candidate_id, CAST(m // 1000000000000 AS BIGINT) AS days_apart,
+    """SELECT invoice_id, CAST(m % 1000000000000 AS BIGINT) AS candidate_id, CAST(m // 1000000000000 AS BIGINT) AS days_apart, partners,
     'SAME_SUPPLIER_AMOUNT_DATE' AS match_type, round(0.85::DOUBLE - (m // 1000000000000) * 0.03::DOUBLE, 6) AS confidence FROM (
-      SELECT a.invoice_id, min(abs(a.invoice_date - b.invoice_date) * 1000000000000 + b.invoice_id) AS m
+      SELECT a.invoice_id, min(abs(a.invoice_date - b.invoice_date) * 1000000000000 + b.invoice_id) AS m, count(*) AS partners
       FROM r a JOIN r b ON a.supplier_company_id = b.supplier_company_id AND a.v = b.v AND a.invoice_id <> b.invoice_id
       AND abs(a.invoice_date - b.invoice_date) <= 7 GROUP BY 1) x""",
     "r AS (SELECT *, round(CAST(total_value AS DECIMAL(20,6)) / 2000.0, 0) * 2000 AS v FROM invoices)"))
-_RECOMMEND = """CASE WHEN confidence >= 0.85 THEN 'HIGH_CONFIDENCE_DUPLICATE' WHEN confidence >= 0.7 THEN
-  'LIKELY_DUPLICATE_REVIEW_REQUIRED' WHEN confidence >= 0.5 THEN 'POSSIBLE_DUPLICATE_INVESTIGATE' ELSE 'NOT_A_DUPLICATE' END"""
 
 
 def _share(s, d):
@@ -175,8 +199,17 @@ add("dup15_exact_verdicts", lambda s, d: du.duplicate_verdicts(
     """SELECT invoice_id, invoice_num, n > 1 AS is_duplicate, CASE WHEN n > 1 THEN 0.95::DOUBLE ELSE 0::DOUBLE END AS confidence,
     n - 1 AS matches, CASE WHEN n > 1 THEN 'MARK_AS_DUPLICATE' ELSE 'APPROVE_AS_UNIQUE' END AS recommended_action
     FROM (SELECT *, count(*) OVER (PARTITION BY supplier_company_id, upper(trim(invoice_num))) AS n FROM invoices) x"""))
-add("dup16_evidence", lambda s, d: du.evidence(_matches(s, d)).select(
-    "invoice_id", "candidate_id", "match_type", F.array_join("evidence", "; ").alias("evidence")))
+def _evidence(s, d):
+    fields = ("matching_products", "shared_codes", *_SCORES)
+    return du.evidence(_matches(s, d)).select("invoice_id", "candidate_id", "match_type", F.round("confidence", 6).alias("confidence"), F.array_join(
+        "evidence", "; ").alias("evidence"), *[F.round(F.try_element_at("matching_fields", F.lit(c)).cast("double"), 6).alias(c) for c in fields])
+
+
+add("dup16_evidence", _evidence, oracle(f"""SELECT invoice_id, candidate_id, match_type, round(confidence, 6) AS confidence, concat_ws('; ',
+  CASE WHEN match_type = 'EXACT_INVOICE_NUMBER_SAME_COMPANY' THEN 'Same invoice number and supplier' END, {", ".join(
+    f"CASE WHEN {c} {op} THEN '{name} similarity: ' || printf('%.1f%%', round({c} * 100, 1)) END" for c, op, name in (
+        ("product_score", ">= 0.85", "Product"), ("line_score", "> 0.8", "Line"), ("hsn_ratio", "> 0.8", "Tariff code"), ("rate_score", "> 0.85", "Rate")))}) AS evidence,
+  {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("matching_products", "shared_codes", *_SCORES))} FROM matched""", *_MATCHED))
 
 
 def _flagged(s, d):

@@ -79,6 +79,28 @@ def candidate_pairs(invoices: DataFrame, items: DataFrame, k: int = 10) -> DataF
         "invoice_id", "candidate_id", F.element_at(names, first).alias("scenario"))
 
 
+def candidate_union(invoices: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """All four scenarios in one relation: invoice_id, candidate_id, group_size, scenario.
+
+    A listed pair (amount, codes) is a row with group_size NULL, and comes once, with the first of its
+    scenarios. What an invoice shares its supplier or number with is a row a group: candidate_id is the
+    group's smallest invoice and group_size its members, the invoice itself among them. All pairs of the
+    group follow from these, and an invoice that shares nothing but its supplier has a row too.
+    """
+    def members(groups, scenario):
+        return groups.select("invoice_id", F.col("first_id").alias("candidate_id"), "group_size", F.lit(scenario).alias("scenario"))
+    pairs = candidate_pairs(invoices, items, k).where(~F.col("scenario").isin("same_supplier", "same_number")).select(
+        "invoice_id", "candidate_id", F.lit(None).cast("bigint").alias("group_size"), "scenario")
+    return members(same_supplier(invoices), "same_supplier").unionByName(members(same_number(invoices), "same_number")).unionByName(pairs)
+
+
+def candidate_counts(union: DataFrame) -> DataFrame:
+    """Per invoice, how many candidates each scenario gives."""
+    def partners(name):
+        return F.coalesce(F.sum(F.when(F.col("scenario") == name, F.coalesce(F.col("group_size") - 1, F.lit(1)))), F.lit(0)).alias(name)
+    return union.groupBy("invoice_id").agg(*[partners(n) for n in ("same_supplier", "same_number", "similar_amount", "shared_hsn")])
+
+
 # Similarity of two lines --------------------------------------------------------------
 
 def _text_of(column: str) -> Column:
@@ -498,10 +520,12 @@ def duplicate_matches(invoices: DataFrame, items: DataFrame, k: int = 10) -> Dat
 
 
 def amount_date_matches(invoices: DataFrame, days: int = 7) -> DataFrame:
-    """Opt-in rule: same supplier and equal total within some days, confidence falling with the gap.
+    """Opt-in rule: same supplier and equal total within some days, confidence falling with the gap: the nearest
+    partner, and how many there are.
 
-    Each invoice is compared with the one before it in its group, sorted by date. Groups are
-    (supplier, total, period of twice the days) with overlap, so none is a whole supplier.
+    Invoices of one supplier, total and day are folded to one row. A sweep over the days of (supplier, total,
+    period of some days and the ones next to it) finds the days before and after and sums the days within reach, so
+    one supplier with one total costs a row a day, and no window is a whole supplier.
     """
     span = days + 1
     day = F.date_diff("invoice_date", F.lit("1970-01-01").cast("date"))
@@ -512,7 +536,8 @@ def amount_date_matches(invoices: DataFrame, days: int = 7) -> DataFrame:
     spread = folded.withColumn("period", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
     order = W.partitionBy("supplier_company_id", "total_value", "period").orderBy("day")
     near = spread.select("*", F.lag(F.struct("day", "least")).over(order).alias("before"),
-                         F.lead(F.struct("day", "least")).over(order).alias("after")).where("period = home")
+                         F.lead(F.struct("day", "least")).over(order).alias("after"),
+                         F.sum("n").over(order.rangeBetween(-days, days)).alias("within")).where("period = home")
     gap_before, gap_after = F.col("day") - F.col("before.day"), F.col("after.day") - F.col("day")
     joined = rows.drop("home").join(near.drop("home", "period"), ["supplier_company_id", "total_value", "day"])
     same_day = F.when(F.col("n") > 1, F.struct(F.lit(0).alias("gap"), F.when(
@@ -522,7 +547,7 @@ def amount_date_matches(invoices: DataFrame, days: int = 7) -> DataFrame:
         F.when(gap_after <= days, F.struct(gap_after.alias("gap"), F.col("after.least").alias("id"))))))
     return joined.withColumn("best", best).where("best IS NOT NULL").select(
         "invoice_id", F.col("best.id").alias("candidate_id"), F.col("best.gap").cast("bigint").alias("days_apart"),
-        F.lit("SAME_SUPPLIER_AMOUNT_DATE").alias("match_type"), (0.85 - F.col("best.gap") * 0.03).alias("confidence"))
+        (F.col("within") - 1).alias("partners"), F.lit("SAME_SUPPLIER_AMOUNT_DATE").alias("match_type"), (0.85 - F.col("best.gap") * 0.03).alias("confidence"))
 
 
 def duplicate_verdicts(invoices: DataFrame, matches: DataFrame) -> DataFrame:
