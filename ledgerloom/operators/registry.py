@@ -33,36 +33,61 @@ def search_by_name(registry: DataFrame, name: str, threshold: float = 0.7) -> Da
             .orderBy(F.desc("similarity_score"), "gstin"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """All (left_name, right_name, similarity) of distinct lower-case names at or above a threshold.
+def candidate_names(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(left_name, right_name): pairs of distinct lower-case names that can reach the threshold; none that does is missing.
+
+    Words count 0.7 and letters 0.3, so a pair at the threshold t shares a part of its words of (t - 0.3) / 0.7 at
+    least. Names of the same words are joined by these. Other pairs are joined by (word, both word counts, letter):
 
-    Both inputs have one column ``name``. Words count 0.7 and letters 0.3, so a pair at the
-    threshold t has a word overlap of at least (t - 0.3) / 0.7. Two word sets with that
-    overlap must share one of the first words of each when all words are ordered from rare
-    to frequent, so only those few rare words are join keys: a word that a third of all
-    names contain is not joined on unless a name has nothing else.
+    * of n words, all but o - 1 are looked up, rarest first, where o is how many names of n and m words must share.
+      For two names of two words that is both, so "A Limited" is never looked up by "limited" for them;
+    * where different words leave less than 0.7 for the word overlap, the letters must make up for it: their least
+      overlap gives how many of a name's letters, rarest first, one has to be common. A word that most names have
+      meets only names that have such a letter as well.
     """
     if threshold <= 0.3:
         raise ValueError("names without a common word can reach 0.3: no word can serve as a key")
-    overlap = (threshold - 0.3) / 0.7
+    overlap, slack = (threshold - 0.3) / 0.7, 1e-9
 
     def distinct(side):
         names = side.select(F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
-        return names.withColumn("words", fn.words(F.col("name")))
+        return names.withColumns({"words": fn.words(F.col("name")), "letters": fn.letters(F.col("name"))})
     a, b = distinct(left), distinct(right)
-    frequency = (a.select(F.explode("words").alias("word")).unionAll(b.select(F.explode("words").alias("word")))
-                 .groupBy("word").agg(F.count("*").alias("n")))
-
-    def rare_words(names, out):
-        exploded = names.select("name", F.size("words").alias("size"), F.explode("words").alias("word"))
-        order = W.partitionBy("name").orderBy("n", "word")
-        keep = F.col("size") - F.ceil(F.col("size") * F.lit(overlap) - F.lit(1e-9)) + 1
-        return (exploded.join(frequency, "word").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep)
-                .select(F.col("name").alias(out), "word", F.col("size").alias(f"{out}_size")))
-    sizes_fit = F.least("left_name_size", "right_name_size") >= F.greatest(
-        "left_name_size", "right_name_size") * F.lit(overlap) - F.lit(1e-9)
-    pairs = (rare_words(a, "left_name").join(rare_words(b, "right_name"), "word").where(sizes_fit)
-             .select("left_name", "right_name").distinct())
+
+    def frequency(part):
+        return a.select(F.explode(part).alias(part)).unionAll(b.select(F.explode(part).alias(part))).groupBy(part).agg(F.count("*").alias("n"))
+    common = {part: frequency(part) for part in ("words", "letters")}
+
+    def rarest_first(names, part):
+        rows = names.select("name", F.explode(part).alias(part)).join(common[part], part)
+        return rows.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", part))), lambda x: x[part]).alias(part))
+
+    def up(value):
+        return F.ceil(value - F.lit(slack)).cast("int")
+
+    def keys(names, own, other, out):
+        rows = rarest_first(names, "words").join(rarest_first(names, "letters"), "name").withColumn(own, F.size("words"))
+        n, m = F.col(own), F.col(other)
+        rows = rows.withColumn(other, F.explode(F.sequence(F.greatest(up(n * overlap), F.lit(1)), F.floor(n / F.lit(overlap) + slack).cast("int"))))
+        shared = F.greatest(up((n + m) * (overlap / (1 + overlap))), F.lit(1))
+        # The largest word overlap of names that do not have the same words.
+        most = F.when(n == m, (n - 1) / (n + 1)).otherwise(F.least(n, m) / F.greatest(n, m))
+        least = (F.lit(threshold) - most * 0.7) / 0.3
+        count = F.size("letters")
+        some = F.when(least > 0, F.slice("letters", 1, F.greatest(count - up(count * least) + 1, F.lit(1)))).otherwise(F.array(F.lit("")))
+        return (rows.where((shared <= n) & (shared <= m) & (least <= 1 + slack))
+                .select(F.col("name").alias(out), own, other, F.explode(F.slice("words", 1, n - shared + 1)).alias("word"), some.alias("some"))
+                .select(out, own, other, "word", F.explode("some").alias("letter")))
+    same = lambda names, out: names.select(F.col("name").alias(out), F.array_sort("words").alias("words"))
+    equal = same(a, "left_name").join(same(b, "right_name"), "words").select("left_name", "right_name")
+    keyed = keys(a, "l", "r", "left_name").join(keys(b, "r", "l", "right_name"), ["word", "l", "r", "letter"]).select("left_name", "right_name")
+    return equal.unionByName(keyed).distinct()
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """All (left_name, right_name, similarity_score) of distinct lower-case names at or above a threshold. Both inputs have
+    one column ``name``."""
+    pairs = candidate_names(left, right, threshold)
     scored = pairs.withColumn("similarity_score", fn.name_similarity(F.col("left_name"), F.col("right_name")))
     return scored.where(F.col("similarity_score") >= threshold)
 

@@ -93,3 +93,14 @@ def test_name_similarity_values(spark):
     rows = spark.createDataFrame([("a b", "a b"), ("ab cd", "ab ef"), ("", "x")], "a string, b string")
     got = [r[0] for r in rows.select(fn.name_similarity(F.col("a"), F.col("b"))).collect()]
     assert [round(x, 4) for x in got] == [1.0, 0.3333, 0.0]
+
+
+def test_a_word_that_all_names_have_is_no_key(spark):
+    """20,000 names of a word and "limited", and as many of a word and "private limited": candidates stay linear."""
+    rnd = random.Random(8)
+    made = sorted({"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(5, 12))) for _ in range(20_500)})[:20_000]
+    two = spark.createDataFrame([(f"{w} limited",) for w in made], "name string")
+    assert rg.candidate_names(two, two, 0.6).count() == 20_000
+    three = spark.createDataFrame([(f"{w} private limited",) for w in made[:4000]], "name string")
+    pairs = rg.candidate_names(three, three, 0.7)
+    assert pairs.count() < 40 * 4000 and rg.similar_names(three, three, 0.7).count() >= 4000
