@@ -135,39 +135,84 @@ q("nst08_json_recovery", lambda k: k.documents.select("doc_id", nested.recover_j
 
 
 def _blocks(s, d):
-    """Every document as OCR blocks: a line per text line, words below it, and two key/value pairs."""
-    docs = bridge.raw(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang",
-                                                F.split("text", "\n").alias("lines"))
-    none = "cast(NULL AS array<string>)"
-
-    def block(i, kind, text="cast(NULL AS string)", conf="90.0D", ent=none, row="cast(NULL AS int)", col="cast(NULL AS int)", rel="array()"):
+    """Every document as OCR blocks. Each line of its text is a LINE, a LAYOUT, a WORD and a table CELL for each word, and a key
+    (its first two words) with two value blocks, of which the second is there only for lines of over three words. One table places
+    the words but every third, then the language in its first cell once more; another has no cells."""
+    docs = bridge.raw(s, d, "documents").selectExpr("doc_id", "lang", "split(text, '\\n') AS lines").selectExpr(
+        "*", "transform(lines, x -> filter(split(x, ' '), w -> w <> '')) AS words")
+
+    def block(i, kind, text="cast(NULL AS string)", conf="90.0D", ent="cast(NULL AS array<string>)", row="cast(NULL AS int)", col="cast(NULL AS int)",
+              layout="cast(NULL AS string)", links=()):
+        rel = ", ".join(f"named_struct('Type', '{k}', 'Ids', {ids})" for k, ids in links)
         return (f"named_struct('Id', {i}, 'BlockType', '{kind}', 'Text', {text}, 'Confidence', {conf}, 'EntityTypes', {ent}, "
-                f"'RowIndex', {row}, 'ColumnIndex', {col}, 'LayoutType', cast(NULL AS string), 'Relationships', "
-                f"cast({rel} AS array<struct<Type:string,Ids:array<string>>>))")
-
-    def rel(kind, *ids):
-        return f"named_struct('Type', '{kind}', 'Ids', array({', '.join(ids)}))"
-    fixed = ", ".join([
-        block("'k1'", "KEY_VALUE_SET", ent="array('KEY')", rel=f"array({rel('VALUE', chr(39)+'v1'+chr(39))}, {rel('CHILD', chr(39)+'w1'+chr(39), chr(39)+'w2'+chr(39))})"),
-        block("'v1'", "KEY_VALUE_SET", ent="array('VALUE')", rel=f"array({rel('CHILD', chr(39)+'w3'+chr(39))})"),
-        block("'w1'", "WORD", "'Invoice'"), block("'w2'", "WORD", "'No.'"), block("'w3'", "WORD", "concat('N', doc_id)"),
-        block("'t1'", "TABLE", rel=f"array({rel('CHILD', chr(39)+'c1'+chr(39), chr(39)+'c2'+chr(39))})"),
-        block("'c1'", "CELL", row="1", col="2", rel=f"array({rel('CHILD', chr(39)+'w4'+chr(39))})"),
-        block("'c2'", "CELL", row="2", col="1", rel=f"array({rel('CHILD', chr(39)+'w5'+chr(39))})"),
-        block("'w4'", "WORD", "source"), block("'w5'", "WORD", "lang")])
-    line = block("concat('l', cast(i AS string))", "LINE", "x", "cast(50 + i % 50 AS double)")
-    return docs.selectExpr("doc_id", f"concat(transform(lines, (x, i) -> {line}), array({fixed})) AS Blocks")
-
-
-add("nst01_lines", lambda s, d: nested.blocks_to_lines(_blocks(s, d)).select("doc_id", "total_lines", F.length("full_text").alias("chars")),
-    r"SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(string_split(text, chr(10))) AS total_lines, length(text) AS chars FROM documents")
-add("nst02_form_fields", lambda s, d: nested.blocks_to_form_fields(_blocks(s, d)).select("doc_id", "key", "value"),
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'Invoice No.' AS key, 'N' || CAST(doc_id AS VARCHAR) AS value FROM documents")
+                f"'RowIndex', {row}, 'ColumnIndex', {col}, 'LayoutType', {layout}, 'Relationships', "
+                f"cast(array({rel}) AS array<struct<Type:string,Ids:array<string>>>))")
+
+    def words(start, length):
+        return f"transform(slice(words[i], {start}, {length}), (w, j) -> concat('w', i, '.', j + {start} - 1))"
+    line = ", ".join([
+        "array(" + block("concat('l', i)", "LINE", "x", "cast(50 + i % 50 AS double)") + ", "
+        + block("concat('y', i)", "LAYOUT", "x", layout="CASE i % 3 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'TEXT' END") + ")",
+        f"transform(words[i], (w, j) -> {block('concat(' + repr('w') + ', i, ' + repr('.') + ', j)', 'WORD', 'w')})",
+        "transform(words[i], (w, j) -> " + block("concat('c', i, '.', j)", "CELL", row="i + 1", col="j + 1", links=[("CHILD", "array(concat('w', i, '.', j))")]) + ")",
+        "array(" + ", ".join([
+            block("concat('k', i)", "KEY_VALUE_SET", conf="cast(60 + i % 40 AS double)", ent="array('KEY')",
+                  links=[("VALUE", "array(concat('v', i), concat('u', i))"), ("CHILD", words(1, 2))]),
+            block("concat('v', i)", "KEY_VALUE_SET", ent="array('VALUE')", links=[("CHILD", words(3, 1))]),
+            block("concat(if(size(words[i]) > 3, 'u', 'x'), i)", "KEY_VALUE_SET", ent="array('VALUE')", links=[("CHILD", words(4, "size(words[i])"))])]) + ")"])
+    kept = "flatten(transform(words, (ws, i) -> filter(transform(ws, (w, j) -> if((i + j) % 3 <> 2, concat('c', i, '.', j), NULL)), c -> c IS NOT NULL)))"
+    tables = ", ".join([block("'t1'", "TABLE", conf="cast(70 + doc_id % 30 AS double)", links=[("CHILD", kept), ("CHILD", "array('d', 'none')")]),
+                        block("'t2'", "TABLE"), block("'d'", "CELL", row="1", col="1", links=[("CHILD", "array('wd')")]), block("'wd'", "WORD", "lang")])
+    return docs.selectExpr("cast(doc_id AS string) AS doc_id", f"concat(flatten(transform(lines, (x, i) -> concat({line}))), array({tables})) AS Blocks")
+
+
+_TEXT_LINES = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id AS BIGINT) AS number, lang, i, list_filter(string_split(line, ' '), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) x)"""
+_KEY_TEXT = "array_to_string(w[1:2], ' ')"
+add("nst01_lines", lambda s, d: nested.blocks_to_lines(_blocks(s, d)).select(
+    "doc_id", "total_lines", F.md5("full_text").alias("text_md5"), "average_confidence", "word_count"),
+    r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(l) AS total_lines, md5(text) AS text_md5,
+    CAST((200 * list_sum(list_transform(l, lambda x, i: 50 + (i - 1) % 50))::BIGINT + len(l)) // (2 * len(l)) AS DOUBLE) / 100 AS average_confidence,
+    len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS word_count
+    FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents) x""")
+add("nst02_form_fields", lambda s, d: nested.blocks_to_form_fields(_blocks(s, d)).select("doc_id", "key", "value", "confidence"),
+    f"""WITH {_TEXT_LINES} SELECT doc_id, {_KEY_TEXT} AS key, CASE WHEN len(w) > 3 THEN array_to_string(w[4:], ' ') ELSE coalesce(w[3], '') END AS value,
+    CAST(60 + i % 40 AS DOUBLE) AS confidence FROM lines WHERE len(w) > 0""")
 add("nst03_tables", lambda s, d: nested.blocks_to_tables(_blocks(s, d)).select(
-    "doc_id", F.to_json("rows").alias("rows"), "row_count", "column_count"),
-    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, '[["","' || source || '"],["' || lang || '"]]' AS rows, 2 AS row_count, 2 AS column_count FROM documents""")
-add("nst06_list_tables", lambda s, d: nested.list_tables(_blocks(s, d)).select("doc_id", "index", "block_id", F.size("references").alias("n")),
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS \"index\", 't1' AS block_id, 2 AS n FROM documents")
+    "doc_id", "table_id", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "\n").alias("body"), "row_count", "column_count", "confidence"),
+    f"""WITH {_TEXT_LINES}, placed AS (SELECT *, list_transform(w, lambda x, j: CASE WHEN (i + j - 1) % 3 = 2 THEN '' ELSE x END) AS c,
+      CASE WHEN len(w) > 0 AND (i + len(w) - 1) % 3 = 2 THEN len(w) - 1 ELSE len(w) END AS n FROM lines),
+    cells AS (SELECT doc_id, number, i, CASE WHEN i = 0 THEN greatest(n, 1) ELSE n END AS n,
+      CASE WHEN i = 0 THEN list_concat([lang], c[2:n]) ELSE c[1:n] END AS c FROM placed),
+    tail AS (SELECT doc_id AS t, max(i) AS last FROM cells WHERE n > 0 GROUP BY 1)
+    SELECT doc_id, 't1' AS table_id, string_agg(array_to_string(c, '|'), chr(10) ORDER BY i) AS body, CAST(max(last) + 1 AS INTEGER) AS row_count,
+      CAST(max(n) AS INTEGER) AS column_count, CAST(70 + max(number) % 30 AS DOUBLE) AS confidence FROM cells JOIN tail ON t = doc_id AND i <= last GROUP BY 1
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 't2', '', 0, 0, 90 FROM documents""")
+add("nst04_layout", lambda s, d: nested.blocks_to_layout(_blocks(s, d)).select(
+    "doc_id", "total_elements", F.array_join("element_types", ",").alias("types"),
+    F.md5(F.array_join(F.transform("layout_elements", lambda e: F.concat_ws("|", e["layout_type"], e["text"])), "\n")).alias("elements_md5")),
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(l) AS total_elements, CASE WHEN len(l) > 1 THEN 'TEXT,TITLE' ELSE 'TITLE' END AS types,
+    md5(array_to_string(list_transform(l, lambda x, i: CASE i % 3 WHEN 1 THEN 'TITLE|' WHEN 2 THEN 'TEXT|' ELSE '' END || x), chr(10))) AS elements_md5
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x""")
+add("nst06_list_tables", lambda s, d: nested.list_tables(_blocks(s, d)).select("doc_id", "index", "block_id", "confidence", F.size("references").alias("n")),
+    f"""WITH {_TEXT_LINES} SELECT doc_id, 1 AS "index", 't1' AS block_id, CAST(70 + max(number) % 30 AS DOUBLE) AS confidence,
+    CAST(2 + sum(len(list_filter(range(len(w)), lambda j: (i + j) % 3 <> 2))) AS INTEGER) AS n FROM lines GROUP BY 1
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 't2', 90, 0 FROM documents""")
+add("nst06_list_forms", lambda s, d: nested.list_forms(_blocks(s, d)).select("doc_id", "index", "block_id", "confidence", F.size("references").alias("n")),
+    f"""WITH {_TEXT_LINES} SELECT doc_id, CAST(3 * i + 1 AS INTEGER) AS "index", 'k' || i AS block_id, CAST(60 + i % 40 AS DOUBLE) AS confidence,
+      CAST(2 + least(len(w), 2) AS INTEGER) AS n FROM lines
+    UNION ALL SELECT doc_id, 3 * i + 2, 'v' || i, 90, CASE WHEN len(w) > 2 THEN 1 ELSE 0 END FROM lines
+    UNION ALL SELECT doc_id, 3 * i + 3, CASE WHEN len(w) > 3 THEN 'u' ELSE 'x' END || i, 90, greatest(len(w) - 3, 0) FROM lines""")
+_TITLES = ("Bill to", "Receipt of", "Agreement between", "Application of", "Name of", "")
+add("nst07_summary_type", lambda s, d: nested.blocks_to_form_fields(_blocks(s, d)).groupBy("doc_id").agg(
+    F.sort_array(F.collect_list(F.struct("position", "key"))).alias("fields")).select("doc_id", nested.summary_type(F.concat(
+        F.array(F.struct(F.lit(-1).alias("position"), F.element_at(F.array(*[F.lit(t) for t in _TITLES]), F.col("doc_id").cast("int") % 6 + 1).alias("key"))),
+        F.col("fields"))).alias("kind")),
+    f"""WITH {_TEXT_LINES}, keys AS (SELECT doc_id, lower([{', '.join(f"'{t}'" for t in _TITLES)}][max(number) % 6 + 1] || ' ' ||
+      string_agg({_KEY_TEXT}, ' ' ORDER BY i)) AS k FROM lines WHERE len(w) > 0 GROUP BY 1)
+    SELECT doc_id, CASE WHEN contains(k, 'invoice') OR contains(k, 'bill') THEN 'Invoice/Bill' WHEN contains(k, 'receipt') THEN 'Receipt'
+      WHEN contains(k, 'contract') OR contains(k, 'agreement') THEN 'Contract/Agreement'
+      WHEN contains(k, 'form') OR contains(k, 'application') THEN 'Form/Application' ELSE 'Unknown' END AS kind FROM keys""")
 
 
 def _analysis(s, d):
@@ -266,9 +311,9 @@ add("snk10_normalize_analysis", lambda s, d: nested.normalize_analysis(_analysis
     F.count("*").alias("cells"), F.max("row_index").alias("last_row")), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS document, (count(*) + 2) * 7 AS cells, count(*) + 1 AS last_row FROM items GROUP BY invoice_id"""))
 add("agg26_analysis_summary", lambda s, d: nested.analysis_summary(_analysis_docs(s, d)).select(
-    "document", "total_fields", "fields_with_values", "total_cells", "document_type"), oracle(
+    "document", "total_fields", "fields_with_values", "total_tables", "total_cells", "confidence_score", "document_type"), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS document, 4 AS total_fields, CASE WHEN invoice_id % 5 = 0 THEN 3 ELSE 4 END AS fields_with_values,
-    (count(*) + 2) * 7 AS total_cells, 'Invoice/Bill' AS document_type FROM items GROUP BY invoice_id"""))
+    1 AS total_tables, (count(*) + 2) * 7 AS total_cells, 95::DOUBLE AS confidence_score, 'Invoice/Bill' AS document_type FROM items GROUP BY invoice_id"""))
 
 
 def _analysis_docs(s, d):

@@ -1,7 +1,7 @@
 """Nested documents to rows: OCR blocks, form fields, tables.
 
-What stays within one document is done on its arrays, without a shuffle. Only references
-between blocks are resolved by joins on (document, block).
+What stays within one document is done on its arrays, without a shuffle. References between
+blocks are looked up in sorted arrays of the same row.
 """
 
 from __future__ import annotations
@@ -32,71 +32,121 @@ def blocks_to_lines(blocks: DataFrame) -> DataFrame:
             .withColumn("word_count", word_count(F.col("full_text"))))
 
 
-def _rows(blocks: DataFrame) -> DataFrame:
-    return blocks.select("doc_id", F.posexplode("Blocks").alias("pos", "b"))
+# References ---------------------------------------------------------------------------
 
+def _by_id(entries: Column) -> Column:
+    """An index for ``_found``: structs that begin with ``id`` and the complement of their position,
+    sorted, so that of equal ids the last block comes first. Blocks without an id are no targets."""
+    return F.sort_array(F.filter(entries, lambda e: e["id"].isNotNull()))
 
-def _edges(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, parent, target, place): references of one type in document order."""
-    linked = rows.select("doc_id", F.col("b.Id").alias("parent"), F.posexplode("b.Relationships").alias("r", "rel")
-                         ).where(F.col("rel.Type") == kind)
-    return linked.select("doc_id", "parent", "r", F.posexplode("rel.Ids").alias("i", "target")).select(
-        "doc_id", "parent", "target", F.struct("r", "i").alias("place"))
 
+def _jumps(index: Column) -> Column:
+    """Powers of two down to one, as many as halve the index to nothing."""
+    bits = F.sequence(F.ceil(F.log2(F.size(index) + 1)).cast("int"), F.lit(0), F.lit(-1))
+    return F.transform(bits, lambda b: F.pow(F.lit(2), b).cast("int"))
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """(doc_id, block, text): the words below a block, in order. A block has few children."""
-    words = rows.where(F.col("b.BlockType") == "WORD").select("doc_id", F.col("b.Id").alias("target"), F.col("b.Text").alias("word"))
-    return (_edges(rows, "CHILD").join(words, ["doc_id", "target"]).groupBy("doc_id", F.col("parent").alias("block"))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ")
-                 .alias("text")))
+
+def _below(index: Column, jumps: Column, key: Column, finish) -> Column:
+    """``finish`` of the place (from 0, or -1) of the last entry that is below the key."""
+    return F.aggregate(jumps, F.lit(-1), lambda at, j: F.when(F.get(index, at + j)["id"] < key, at + j).otherwise(at), finish)
+
+
+def _found(index: Column, jumps: Column, key: Column) -> Column:
+    """The entry with this id, or NULL. A search by halving: n references among n blocks cost n log n."""
+    return _below(index, jumps, key, lambda at: F.get(F.filter(F.array(F.get(index, at + 1)), lambda e: e["id"] == key), F.lit(0)))
+
+
+def _references(block: Column, kind: str) -> Column:
+    no_ids = F.array().cast("array<string>")
+    linked = F.filter(block["Relationships"], lambda r: r["Type"] == kind)
+    return F.coalesce(F.flatten(F.transform(linked, lambda r: F.coalesce(r["Ids"], no_ids))), no_ids)
+
+
+def _with_words(blocks: DataFrame) -> DataFrame:
+    words = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "WORD", F.struct(
+        b["Id"].alias("id"), F.bitwise_not(i).alias("turned"), b["Text"].alias("text")))))
+    return blocks.select("doc_id", "Blocks", _by_id(words).alias("words")).withColumn("word_jumps", _jumps(F.col("words")))
+
+
+def _text_below(block: Column) -> Column:
+    """The words below a block, in order of its references."""
+    return F.trim(F.array_join(F.transform(_references(block, "CHILD"), lambda i: _found(
+        F.col("words"), F.col("word_jumps"), i)["text"]), " "))
 
 
 def blocks_to_form_fields(blocks: DataFrame) -> DataFrame:
-    """(doc_id, position, key, value, confidence): key blocks with the text of their value block."""
-    rows = _rows(blocks)
-    texts = _texts(rows)
-    sets = rows.where(F.col("b.BlockType") == "KEY_VALUE_SET").withColumn(
-        "is_key", F.coalesce(F.array_contains("b.EntityTypes", "KEY"), F.lit(False)))
-    keys = sets.where("is_key").select("doc_id", F.col("pos").alias("position"), F.col("b.Id").alias("block"),
-                                       F.col("b.Confidence").alias("confidence"))
-    values = sets.where("NOT is_key").select("doc_id", F.col("b.Id").alias("target"))
-    valued = (_edges(rows, "VALUE").join(values, ["doc_id", "target"])
-              .join(texts.withColumnsRenamed({"block": "target", "text": "value"}), ["doc_id", "target"], "left")
-              .groupBy("doc_id", F.col("parent").alias("block")).agg(F.max_by(F.coalesce("value", F.lit("")), "place").alias("value")))
-    return (keys.join(texts, ["doc_id", "block"]).join(valued, ["doc_id", "block"], "left")
-            .select("doc_id", "position", F.trim("text").alias("key"), F.coalesce(F.trim("value"), F.lit("")).alias("value"),
-                    F.coalesce("confidence", F.lit(0.0)).alias("confidence")).where("key <> ''"))
+    """(doc_id, position, key, value, confidence): key blocks with the text of their value block.
+
+    Of several value blocks the last one counts, a reference to none or to a key is passed over, and a
+    key without words is no field. References are resolved on the arrays of the row, without a shuffle.
+    """
+    sets = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "KEY_VALUE_SET", F.struct(
+        b["Id"].alias("id"), F.bitwise_not(i).alias("turned"), i.alias("position"),
+        F.coalesce(F.array_contains(b["EntityTypes"], "KEY"), F.lit(False)).alias("is_key"),
+        _text_below(b).alias("text"), b["Confidence"].alias("confidence"), _references(b, "VALUE").alias("values")))))
+    read = _with_words(blocks).select("doc_id", sets.alias("sets"))
+    split = read.select("doc_id", F.filter("sets", lambda s: s["is_key"] & (s["text"] != "")).alias("keys"), _by_id(F.filter(
+        F.transform("sets", lambda s: F.struct(s["id"].alias("id"), s["turned"].alias("turned"), s["is_key"].alias("is_key"), s["text"].alias("text"))),
+        lambda s: ~s["is_key"])).alias("values"))
+
+    def value(k):
+        texts = F.array_compact(F.transform(k["values"], lambda i: _found(F.col("values"), F.col("jumps"), i)["text"]))
+        return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
+    fields = F.transform("keys", lambda k: F.struct(
+        k["position"].alias("position"), k["text"].alias("key"), value(k).alias("value"),
+        F.coalesce(k["confidence"], F.lit(0.0)).alias("confidence")))
+    made = split.withColumn("jumps", _jumps(F.col("values"))).select("doc_id", fields.alias("fields"))
+    # Outer, then filtered: a plain inline would resolve every document twice.
+    return made.select("doc_id", F.inline_outer("fields")).where("key IS NOT NULL")
+
+
+def _grids(blocks: DataFrame) -> DataFrame:
+    """(doc_id, table_id, position, confidence, grid): cells of a table sorted by place, of equal places the last first."""
+    cells = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "CELL", F.struct(
+        b["Id"].alias("id"), F.bitwise_not(i).alias("turned"), (F.coalesce(b["RowIndex"], F.lit(1)) - 1).alias("row"),
+        (F.coalesce(b["ColumnIndex"], F.lit(1)) - 1).alias("col"), _text_below(b).alias("text")))))
+    read = _with_words(blocks).select("doc_id", "Blocks", _by_id(cells).alias("cells")).withColumn("jumps", _jumps(F.col("cells")))
+
+    def grid(table):
+        placed = F.transform(_references(table, "CHILD"), lambda i: _found(F.col("cells"), F.col("jumps"), i))
+        return F.sort_array(F.array_compact(F.transform(placed, lambda c, i: F.when(c.isNotNull(), F.struct(
+            F.struct(c["row"].alias("row"), c["col"].alias("col")).alias("id"), F.bitwise_not(i).alias("turned"), c["text"].alias("text"))))))
+    tables = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "TABLE", F.struct(
+        b["Id"].alias("table_id"), i.alias("position"), F.coalesce(b["Confidence"], F.lit(0.0)).alias("confidence"), grid(b).alias("grid")))))
+    return read.select("doc_id", tables.alias("tables")).select("doc_id", F.inline_outer("tables")).where("grid IS NOT NULL")
 
 
 def blocks_to_cells(blocks: DataFrame) -> DataFrame:
-    """(doc_id, table_id, confidence, row, col, text), 0-based; of two cells in one place the later stays."""
-    rows = _rows(blocks)
-    tables = rows.where(F.col("b.BlockType") == "TABLE").select("doc_id", F.col("pos").alias("position"), F.col("b.Id").alias("parent"),
-                                                               F.col("b.Confidence").alias("confidence"))
-    cells = rows.where(F.col("b.BlockType") == "CELL").select(
-        "doc_id", F.col("b.Id").alias("target"), (F.coalesce("b.RowIndex", F.lit(1)) - 1).alias("row"),
-        (F.coalesce("b.ColumnIndex", F.lit(1)) - 1).alias("col"))
-    texts = _texts(rows).withColumnRenamed("block", "target")
-    placed = tables.join(_edges(rows, "CHILD"), ["doc_id", "parent"]).join(cells, ["doc_id", "target"]).join(
-        texts, ["doc_id", "target"], "left")
-    return placed.groupBy("doc_id", F.col("parent").alias("table_id"), "position", "confidence", "row", "col").agg(
-        F.max_by(F.coalesce("text", F.lit("")), "place").alias("text"))
+    """(doc_id, table_id, position, confidence, row, col, text), 0-based; of two cells in one place the later stays."""
+    first = F.filter("grid", lambda c, i: (i == 0) | (c["id"] != F.get("grid", i - 1)["id"]))
+    cells = F.transform(first, lambda c: F.struct(c["id"]["row"].alias("row"), c["id"]["col"].alias("col"), c["text"].alias("text")))
+    return _grids(blocks).select("doc_id", "table_id", "position", "confidence", cells.alias("cells")).select(
+        "doc_id", "table_id", "position", "confidence", F.inline_outer("cells")).where("row IS NOT NULL")
 
 
 def blocks_to_tables(blocks: DataFrame) -> DataFrame:
-    """One row per table with its matrix: missing columns are empty text, rows keep their own length."""
-    cells = blocks_to_cells(blocks)
-    in_row = cells.groupBy("doc_id", "table_id", "position", "confidence", "row").agg(
-        F.max("col").alias("last"), F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"))
-    filled = in_row.withColumn("cells", F.transform(
-        F.sequence(F.lit(0), F.col("last")), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(""))))
-    table = filled.groupBy("doc_id", "table_id", "position", "confidence").agg(
-        F.max("row").alias("last"), F.map_from_entries(F.collect_list(F.struct("row", "cells"))).alias("m"))
-    nothing = F.array().cast("array<string>")
-    rows = F.transform(F.sequence(F.lit(0), F.col("last")), lambda r: F.coalesce(F.try_element_at("m", r), nothing))
-    return table.select("doc_id", "table_id", "position", rows.alias("rows"), "confidence").withColumns({
-        "row_count": F.size("rows"), "column_count": F.array_max(F.transform("rows", F.size))})
+    """One row per table with its matrix: missing columns are empty text, rows keep their own length.
+
+    A table without cells has no rows. Cells are found by their place in a sorted array, without a shuffle.
+    """
+    read = _grids(blocks).withColumns({
+        "jumps": _jumps(F.col("grid")), "last": F.try_element_at("grid", F.lit(-1))["id"]["row"],
+        "wide": F.greatest(F.array_max(F.transform("grid", lambda c: c["id"]["col"])), F.lit(0))}).withColumn(
+        "columns", F.sequence(F.lit(0), F.coalesce("wide", F.lit(0))))
+    grid, jumps = F.col("grid"), F.col("jumps")
+
+    def place(r, c):
+        return F.struct(r.alias("row"), c.alias("col"))
+
+    def width(r):
+        """Columns up to the last cell of a row."""
+        return _below(grid, jumps, place(r + 1, F.lit(0)), lambda at: F.when(
+            F.get(grid, at)["id"]["row"] == r, F.greatest(F.get(grid, at)["id"]["col"] + 1, F.lit(0))).otherwise(0))
+    rows = F.transform(F.sequence(F.lit(0), "last"), lambda r: F.transform(
+        F.slice("columns", F.lit(1), width(r)), lambda c: F.coalesce(_found(grid, jumps, place(r, c))["text"], F.lit(""))))
+    nothing = F.array().cast("array<array<string>>")
+    return read.select("doc_id", "table_id", "position", F.when(F.col("last") >= 0, rows).otherwise(nothing).alias("rows"), "confidence").withColumns({
+        "row_count": F.size("rows"), "column_count": F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0))})
 
 
 def blocks_to_layout(blocks: DataFrame) -> DataFrame:

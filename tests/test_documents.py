@@ -112,6 +112,39 @@ def test_blocks(spark, tmp_path):
     assert nested.list_tables(df).first()["references"] == ["c1", "c2", "c3"]
 
 
+BLOCKS = ("doc_id string, Blocks array<struct<Id:string,BlockType:string,Text:string,Confidence:double,EntityTypes:array<string>,RowIndex:int,"
+          "ColumnIndex:int,LayoutType:string,Relationships:array<struct<Type:string,Ids:array<string>>>>>")
+
+
+def test_block_references(spark):
+    odd = [block(None, "WORD", "lost"), block("w", "WORD", "old"), block("w", "WORD", "new"), block("n", "WORD"), block("x", "LINE", "no word"),
+           block("k", "KEY_VALUE_SET", entity=["KEY"], child=["w", "none", "x", "n", "w"], value=["v", "k", "none"], conf=None),
+           block("v", "KEY_VALUE_SET", entity=["VALUE"]), block("alone", "KEY_VALUE_SET", entity=["KEY"], child=["w"]),
+           block("t", "TABLE", child=["c", "d", "none", "w"], conf=None), block("c", "CELL", row=2, col=2, child=["w"]), block("d", "CELL", row=2, col=2),
+           block("bare", "TABLE"), block("zero", "TABLE", child=["z"]), block("z", "CELL", row=0, col=0, child=["w"]),
+           block("first", "TABLE", child=["f"]), block("f", "CELL", child=["w"])]
+    df = spark.createDataFrame([("a", odd), ("none", None), ("empty", [])], BLOCKS)
+    fields, tables = nested.blocks_to_form_fields(df), nested.blocks_to_tables(df)
+    assert [(r["key"], r["value"], r["confidence"]) for r in fields.collect()] == [("new new", "", 0.0), ("new", "", 90.0)]
+    assert [(r["table_id"], r["rows"], r["row_count"], r["column_count"]) for r in tables.collect()] == [
+        ("t", [[], ["", ""]], 2, 2), ("bare", [], 0, 0), ("zero", [], 0, 0), ("first", [["new"]], 1, 1)]
+    assert [(r["table_id"], r["row"], r["col"], r["text"]) for r in nested.blocks_to_cells(df).collect()] == [
+        ("t", 1, 1, ""), ("zero", -1, -1, "new"), ("first", 0, 0, "new")]
+    for frame in (fields, tables, nested.blocks_to_cells(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_blocks_of_a_large_document(spark):
+    """20,000 cells of 100 columns: the matrix comes back whole, found by halving."""
+    n = 20_000
+    blocks = [block(f"w{i}", "WORD", str(i)) for i in range(n)] + [
+        block(f"c{i}", "CELL", row=i // 100 + 1, col=i % 100 + 1, child=[f"w{i}"]) for i in range(n)] + [
+        block("t", "TABLE", child=[f"c{i}" for i in reversed(range(n))])]
+    rows = nested.blocks_to_tables(spark.createDataFrame([("a", blocks)], BLOCKS)).first()["rows"]
+    assert rows == [[str(r * 100 + c) for c in range(100)] for r in range(n // 100)]
+
+
 CORPUS = [
     ("TAX INVOICE No SB/25 Invoice Date 20-Aug-25 GSTIN: 24AAXFA5297L1ZN Alpha Pvt Ltd taxable value CGST: 9% SGST: 9% HSN code", "B2B_INVOICE", 0.85),
     ("taxi receipt travel expense reimbursement taxi fare cab hotel bill food lunch", "EXPENSE_SLIP", 0.6),
