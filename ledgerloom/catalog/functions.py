@@ -9,6 +9,7 @@ from ledgerloom.bridge import oracle
 from ledgerloom.catalog.duplicates import _FOUND as FOUND
 from ledgerloom.catalog.registry import add
 from ledgerloom.functions import scalars as fn
+from ledgerloom.functions.arrays import found, jumps_of
 from ledgerloom.functions.text import text_similarity
 from ledgerloom.catalog.validation import CHECKS, FIRST, GATES, SUMS
 from ledgerloom.operators import duplicates, extract, nested, pages, risk, store, validation
@@ -331,33 +332,84 @@ def _analysis_docs(s, d):
 _ID = "concat('24AAAAA', lpad(cast(page_id % 10000 AS string), 4, '0'), 'A1Z5')"
 
 
+_STATES = ("24 - Gujarat (GJ)", "27 - Maharashtra", "Kerala")
+
+
 def _portal(s, d):
-    """Every page with a details table, two filings and a rate added before its own content."""
+    """Every page as a portal page: its own content and a details table lie in cells of a layout table; then come up to three filings
+    in a table and sentences on filings. Name, trades and jurisdictions are taken from the page itself."""
+    title, trade = "regexp_extract(html, '<title>(.*?)</title>', 1)", "regexp_extract(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
+    host = "regexp_extract(url, '//([^/]+)/', 1)"
+
+    def row(label, value, when="true"):
+        return f"if({when}, concat('<tr><td>{label}</td><td> ', {value}, '</td></tr>\\n'), '')"
+
+    def filing(least, *cells):
+        return f"if(page_id % 4 >= {least}, concat('<tr>', " + ", ".join(f"'<td>', {c}, '</td>'" for c in cells) + ", '</tr>'), '')"
+    details = ", ".join([
+        row("Legal Name", f"'<b>', {title}, '</b>'"), row("Company Status", "if(page_id % 2 = 0, 'Active', 'Cancelled')"),
+        row("Trade Name", "'Trade &amp; Co ', page_id"), row("GSTIN", _ID.replace("A1Z5", "A2Z5"), "page_id % 3 = 0"), row("PAN", f"substr({_ID}, 3, 10)"),
+        row("State", f"element_at(array({', '.join(map(repr, _STATES))}), cast(page_id % 3 AS int) + 1)"), row("PIN Code", "380000 + page_id % 1000"),
+        row("TaxPayer Type", "'Regular'"), row("TaxPayer Type", "'Composition'", "page_id % 4 = 0"), row("Constitution of Business", "'Private'"),
+        row("Registration Date", "date_add(DATE'2017-07-01', cast(page_id % 900 AS int))"), row("Cancellation Date", "'31/03/2020'", "page_id % 2 = 1"),
+        row("State Jurisdiction", f"'Ward ', {host}"), row("Centre Jurisdiction", f"'Range ', {host}"),
+        row("Nature of Business Activities", f"'▪ Trade ▪ ', {trade}")])
+    filings = ", ".join([
+        filing(1, "'GSTR-3B'", "'Jan 2019'", "'12-Feb-2019'"), filing(2, "'GSTR-1'", "'Feb 2019'", "'11-Mar-2019'", "'Late'", "'₹', page_id"),
+        filing(3, "'GSTR-9'", "'2018-19'", "'31-Dec-2019'", "'Filed'", "'-'", "'₹7'", "page_id")])
     return bridge.raw(s, d, "pages").selectExpr(
-        "page_id", f"concat('https://portal/taxpayer/', {_ID}, '/') AS url",
-        f"""concat('Alpha ', cast(page_id AS string), ' Pvt Ltd (Active)\\n', {_ID}, '\\n<table><tr><td>Legal Name</td><td> Firm <b>', cast(page_id AS string),
-        '</b></td></tr><tr><td>State</td><td>24 - Gujarat (GJ)</td></tr><tr><td>Nature of Business Activities</td><td>▪ Trade ▪ Repair</td></tr>
-        <tr><td>GSTR-3B</td><td>Jan 2019</td><td>12-Feb-2019</td><td>Filed</td><td>₹5</td></tr></table>
-        GSTR-1 for the Return Period of Mar 2019 was filed on 11-Apr-2019. GST: ', element_at(array('18', '7', '5'), cast(page_id % 3 AS int) + 1), '% \\n', html) AS html""")
+        "page_id", f"concat('https://portal/taxpayer/', {_ID}, '/') AS url", f"""concat('Alpha ', page_id, ' Pvt Ltd (Active)\\n', {_ID}, '\\n<table><tr><td><table>',
+        {details}, '</table></td><td>', html, '</td></tr></table><table>', {filings}, '</table>\\n',
+        if(page_id % 5 = 0, 'recently filed the following GST Returns: ▪ GSTR10 for the Return Period of Q1. 2019 was filed on 1.4.2019\\n',
+        'GSTR-1 for the Return Period of Mar 2019 was filed on 11-Apr-2019. GSTR-1 for the Return Period of Feb 2019 was filed on 1-Mar-2019.'),
+        ' GST: ', element_at(array('18', '7', '5'), cast(page_id % 3 AS int) + 1), '% \\n') AS html""")
 
 
 _PAGE_ID = "'24AAAAA' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') || 'A1Z5'"
 add("src11_portal_pages", lambda s, d: bridge.raw(s, d, "pages").select("url", F.length("html").alias("n")),
     "SELECT url, length(html) AS n FROM pages")
-add("pag01_taxpayer_pages", lambda s, d: pages.parse_taxpayer_pages(_portal(s, d)).select(
-    "gstin", "legal_name", "state", "nature_of_business"),
-    f"""SELECT {_PAGE_ID} AS gstin, 'Firm' || CAST(page_id AS VARCHAR) AS legal_name, 'Gujarat' AS state, 'Trade, Repair' AS nature_of_business FROM pages""")
-add("pag02_field_cleanup", lambda s, d: _portal(s, d).select(
-    "page_id", pages.clean_state(F.concat(F.lit("24 - Area "), F.col("page_id").cast("string"), F.lit(" (XX)"))).alias("state"),
-    pages.clean_activities(F.concat(F.lit("▪ A ▪ B"), F.col("page_id").cast("string"))).alias("work")),
-    "SELECT page_id, 'Area ' || CAST(page_id AS VARCHAR) AS state, 'A, B' || CAST(page_id AS VARCHAR) AS work FROM pages")
-add("pag03_return_filings", lambda s, d: pages.parse_returns(_portal(s, d)).select("gstin", "return_type", "period", "amount"),
-    f"""SELECT {_PAGE_ID} AS gstin, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '₹5' AS amount FROM pages
-    UNION ALL SELECT {_PAGE_ID}, 'GSTR-1', 'Mar 2019', NULL FROM pages""")
-add("pag04_return_filings_from_text", lambda s, d: pages.parse_returns(_portal(s, d)),
-    f"""SELECT {_PAGE_ID} AS gstin, 0 AS position, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '12-Feb-2019' AS filed_date, 'Filed' AS status,
-    '₹5' AS amount, NULL AS liability FROM pages
-    UNION ALL SELECT {_PAGE_ID}, 1, 'GSTR-1', 'Mar 2019', '11-Apr-2019', 'Filed', NULL, NULL FROM pages""")
+_TRADE = """'Trade, ' || regexp_extract(html, '<li><a href="[^"]*">([^<]*)</a>', 1)"""
+_TITLE = "trim(regexp_extract(html, '<title>(.*?)</title>', 1))"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_entity}', '{_char}')"
+_STATE = "CASE page_id % 3 WHEN 0 THEN 'Gujarat' WHEN 1 THEN 'Maharashtra' ELSE 'Kerala' END"
+add("pag01_taxpayer_pages", lambda s, d: pages.parse_taxpayer_pages(_portal(s, d)),
+    f"""SELECT 'https://portal/taxpayer/' || {_PAGE_ID} || '/' AS url, CASE WHEN page_id % 3 = 0 THEN replace({_PAGE_ID}, 'A1Z5', 'A2Z5') ELSE {_PAGE_ID} END AS gstin,
+    {_TITLE} AS legal_name, CASE WHEN page_id % 2 = 0 THEN 'Active' ELSE 'Cancelled' END AS status,
+    'Trade & Co ' || page_id AS trade_name, substr({_PAGE_ID}, 3, 10) AS pan, {_STATE} AS state, CAST(380000 + page_id % 1000 AS VARCHAR) AS pin_code,
+    CASE WHEN page_id % 4 = 0 THEN 'Composition' ELSE 'Regular' END AS taxpayer_type, 'Private' AS constitution,
+    CAST(DATE '2017-07-01' + CAST(page_id % 900 AS INTEGER) AS VARCHAR) AS registration_date, CASE WHEN page_id % 2 = 1 THEN '31/03/2020' END AS cancellation_date,
+    'Ward ' || regexp_extract(url, '//([^/]+)/', 1) AS state_jurisdiction, 'Range ' || regexp_extract(url, '//([^/]+)/', 1) AS centre_jurisdiction,
+    {_TRADE} AS nature_of_business FROM pages""")
+
+
+def _cleaned_fields(s, d):
+    """State and trades as a page's table has them, and cleaned."""
+    read = _portal(s, d).withColumn("pairs", pages.labelled(pages.table_rows(F.col("html")))).withColumn("jumps", jumps_of(F.col("pairs")))
+
+    def raw(label):
+        return found(F.col("pairs"), F.col("jumps"), F.lit(label))["value"]
+    return read.select("page_id", raw("State").alias("written_state"), raw("Nature of Business Activities").alias("written_work")).withColumns({
+        "state": pages.clean_state(F.col("written_state")), "work": pages.clean_activities(F.col("written_work"))})
+
+
+add("pag02_field_cleanup", _cleaned_fields,
+    f"""SELECT page_id, [{', '.join(map(repr, _STATES))}][page_id % 3 + 1] AS written_state, '▪ ' || replace({_TRADE}, 'Trade, ', 'Trade ▪ ') AS written_work,
+    {_STATE} AS state, {_TRADE} AS work FROM pages""")
+_FILINGS = f"""rows_ AS (SELECT page_id, {_PAGE_ID} AS gstin, page_id % 4 AS n FROM pages),
+  filings AS (SELECT gstin, 0 AS position, 'GSTR-3B' AS return_type, 'Jan 2019' AS period, '12-Feb-2019' AS filed_date, 'Filed' AS status,
+      CAST(NULL AS VARCHAR) AS amount, CAST(NULL AS VARCHAR) AS liability FROM rows_ WHERE n >= 1
+    UNION ALL SELECT gstin, 1, 'GSTR-1', 'Feb 2019', '11-Mar-2019', 'Late', '₹' || page_id, NULL FROM rows_ WHERE n >= 2
+    UNION ALL SELECT gstin, 2, 'GSTR-9', '2018-19', '31-Dec-2019', 'Filed', '₹7', CAST(page_id AS VARCHAR) FROM rows_ WHERE n >= 3
+    UNION ALL SELECT gstin, n, 'GSTR-1', 'Mar 2019', '11-Apr-2019', 'Filed', NULL, NULL FROM rows_ WHERE n < 3 AND page_id % 5 <> 0
+    UNION ALL SELECT gstin, n + 1, 'GSTR-1', 'Feb 2019', '1-Mar-2019', 'Filed', NULL, NULL FROM rows_ WHERE n < 2 AND page_id % 5 <> 0
+    UNION ALL SELECT gstin, 0, 'GSTR10', 'Q1. 2019', '1.4.2019', 'Filed', NULL, NULL FROM rows_ WHERE n = 0 AND page_id % 5 = 0)"""
+add("pag03_return_filings", lambda s, d: pages.parse_returns(_portal(s, d)), f"WITH {_FILINGS} SELECT * FROM filings")
+add("pag04_return_filings_from_text", lambda s, d: pages.parse_returns(_portal(s, d).withColumn("html", F.regexp_replace("html", "<td>GSTR", "<td>-"))),
+    f"""WITH {_FILINGS} SELECT gstin, CASE period WHEN 'Feb 2019' THEN 1 ELSE 0 END AS position, return_type, period, filed_date, 'Filed' AS status,
+    CAST(NULL AS VARCHAR) AS amount, CAST(NULL AS VARCHAR) AS liability FROM (SELECT gstin, 'GSTR-1' AS return_type, unnest(['Mar 2019', 'Feb 2019']) AS period,
+      unnest(['11-Apr-2019', '1-Mar-2019']) AS filed_date FROM rows_ WHERE page_id % 5 <> 0
+    UNION ALL SELECT gstin, 'GSTR10', 'Q1. 2019', '1.4.2019' FROM rows_ WHERE page_id % 5 = 0) x""")
 add("pag05_gstin_and_heading", lambda s, d: _portal(s, d).select(
     "page_id", pages.gstin_of_url(F.col("url")).alias("gstin"), pages.name_of_heading(pages.page_text(F.col("html"))).alias("name")),
     f"SELECT page_id, {_PAGE_ID} AS gstin, 'Alpha ' || CAST(page_id AS VARCHAR) || ' Pvt Ltd' AS name FROM pages")

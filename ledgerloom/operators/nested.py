@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.arrays import below, by_id, found, jumps_of
+
 
 def _of_type(kind: str) -> Column:
     return F.filter("Blocks", lambda b: b["BlockType"] == kind)
@@ -34,28 +36,6 @@ def blocks_to_lines(blocks: DataFrame) -> DataFrame:
 
 # References ---------------------------------------------------------------------------
 
-def _by_id(entries: Column) -> Column:
-    """An index for ``_found``: structs that begin with ``id`` and the complement of their position,
-    sorted, so that of equal ids the last block comes first. Blocks without an id are no targets."""
-    return F.sort_array(F.filter(entries, lambda e: e["id"].isNotNull()))
-
-
-def _jumps(index: Column) -> Column:
-    """Powers of two down to one, as many as halve the index to nothing."""
-    bits = F.sequence(F.ceil(F.log2(F.size(index) + 1)).cast("int"), F.lit(0), F.lit(-1))
-    return F.transform(bits, lambda b: F.pow(F.lit(2), b).cast("int"))
-
-
-def _below(index: Column, jumps: Column, key: Column, finish) -> Column:
-    """``finish`` of the place (from 0, or -1) of the last entry that is below the key."""
-    return F.aggregate(jumps, F.lit(-1), lambda at, j: F.when(F.get(index, at + j)["id"] < key, at + j).otherwise(at), finish)
-
-
-def _found(index: Column, jumps: Column, key: Column) -> Column:
-    """The entry with this id, or NULL. A search by halving: n references among n blocks cost n log n."""
-    return _below(index, jumps, key, lambda at: F.get(F.filter(F.array(F.get(index, at + 1)), lambda e: e["id"] == key), F.lit(0)))
-
-
 def _references(block: Column, kind: str) -> Column:
     no_ids = F.array().cast("array<string>")
     linked = F.filter(block["Relationships"], lambda r: r["Type"] == kind)
@@ -65,12 +45,12 @@ def _references(block: Column, kind: str) -> Column:
 def _with_words(blocks: DataFrame) -> DataFrame:
     words = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "WORD", F.struct(
         b["Id"].alias("id"), F.bitwise_not(i).alias("turned"), b["Text"].alias("text")))))
-    return blocks.select("doc_id", "Blocks", _by_id(words).alias("words")).withColumn("word_jumps", _jumps(F.col("words")))
+    return blocks.select("doc_id", "Blocks", by_id(words).alias("words")).withColumn("word_jumps", jumps_of(F.col("words")))
 
 
 def _text_below(block: Column) -> Column:
     """The words below a block, in order of its references."""
-    return F.trim(F.array_join(F.transform(_references(block, "CHILD"), lambda i: _found(
+    return F.trim(F.array_join(F.transform(_references(block, "CHILD"), lambda i: found(
         F.col("words"), F.col("word_jumps"), i)["text"]), " "))
 
 
@@ -85,17 +65,17 @@ def blocks_to_form_fields(blocks: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains(b["EntityTypes"], "KEY"), F.lit(False)).alias("is_key"),
         _text_below(b).alias("text"), b["Confidence"].alias("confidence"), _references(b, "VALUE").alias("values")))))
     read = _with_words(blocks).select("doc_id", sets.alias("sets"))
-    split = read.select("doc_id", F.filter("sets", lambda s: s["is_key"] & (s["text"] != "")).alias("keys"), _by_id(F.filter(
+    split = read.select("doc_id", F.filter("sets", lambda s: s["is_key"] & (s["text"] != "")).alias("keys"), by_id(F.filter(
         F.transform("sets", lambda s: F.struct(s["id"].alias("id"), s["turned"].alias("turned"), s["is_key"].alias("is_key"), s["text"].alias("text"))),
         lambda s: ~s["is_key"])).alias("values"))
 
     def value(k):
-        texts = F.array_compact(F.transform(k["values"], lambda i: _found(F.col("values"), F.col("jumps"), i)["text"]))
+        texts = F.array_compact(F.transform(k["values"], lambda i: found(F.col("values"), F.col("jumps"), i)["text"]))
         return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
     fields = F.transform("keys", lambda k: F.struct(
         k["position"].alias("position"), k["text"].alias("key"), value(k).alias("value"),
         F.coalesce(k["confidence"], F.lit(0.0)).alias("confidence")))
-    made = split.withColumn("jumps", _jumps(F.col("values"))).select("doc_id", fields.alias("fields"))
+    made = split.withColumn("jumps", jumps_of(F.col("values"))).select("doc_id", fields.alias("fields"))
     # Outer, then filtered: a plain inline would resolve every document twice.
     return made.select("doc_id", F.inline_outer("fields")).where("key IS NOT NULL")
 
@@ -105,10 +85,10 @@ def _grids(blocks: DataFrame) -> DataFrame:
     cells = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "CELL", F.struct(
         b["Id"].alias("id"), F.bitwise_not(i).alias("turned"), (F.coalesce(b["RowIndex"], F.lit(1)) - 1).alias("row"),
         (F.coalesce(b["ColumnIndex"], F.lit(1)) - 1).alias("col"), _text_below(b).alias("text")))))
-    read = _with_words(blocks).select("doc_id", "Blocks", _by_id(cells).alias("cells")).withColumn("jumps", _jumps(F.col("cells")))
+    read = _with_words(blocks).select("doc_id", "Blocks", by_id(cells).alias("cells")).withColumn("jumps", jumps_of(F.col("cells")))
 
     def grid(table):
-        placed = F.transform(_references(table, "CHILD"), lambda i: _found(F.col("cells"), F.col("jumps"), i))
+        placed = F.transform(_references(table, "CHILD"), lambda i: found(F.col("cells"), F.col("jumps"), i))
         return F.sort_array(F.array_compact(F.transform(placed, lambda c, i: F.when(c.isNotNull(), F.struct(
             F.struct(c["row"].alias("row"), c["col"].alias("col")).alias("id"), F.bitwise_not(i).alias("turned"), c["text"].alias("text"))))))
     tables = F.array_compact(F.transform("Blocks", lambda b, i: F.when(b["BlockType"] == "TABLE", F.struct(
@@ -130,7 +110,7 @@ def blocks_to_tables(blocks: DataFrame) -> DataFrame:
     A table without cells has no rows. Cells are found by their place in a sorted array, without a shuffle.
     """
     read = _grids(blocks).withColumns({
-        "jumps": _jumps(F.col("grid")), "last": F.try_element_at("grid", F.lit(-1))["id"]["row"],
+        "jumps": jumps_of(F.col("grid")), "last": F.try_element_at("grid", F.lit(-1))["id"]["row"],
         "wide": F.greatest(F.array_max(F.transform("grid", lambda c: c["id"]["col"])), F.lit(0))}).withColumn(
         "columns", F.sequence(F.lit(0), F.coalesce("wide", F.lit(0))))
     grid, jumps = F.col("grid"), F.col("jumps")
@@ -140,10 +120,10 @@ def blocks_to_tables(blocks: DataFrame) -> DataFrame:
 
     def width(r):
         """Columns up to the last cell of a row."""
-        return _below(grid, jumps, place(r + 1, F.lit(0)), lambda at: F.when(
+        return below(grid, jumps, place(r + 1, F.lit(0)), lambda at: F.when(
             F.get(grid, at)["id"]["row"] == r, F.greatest(F.get(grid, at)["id"]["col"] + 1, F.lit(0))).otherwise(0))
     rows = F.transform(F.sequence(F.lit(0), "last"), lambda r: F.transform(
-        F.slice("columns", F.lit(1), width(r)), lambda c: F.coalesce(_found(grid, jumps, place(r, c))["text"], F.lit(""))))
+        F.slice("columns", F.lit(1), width(r)), lambda c: F.coalesce(found(grid, jumps, place(r, c))["text"], F.lit(""))))
     nothing = F.array().cast("array<array<string>>")
     return read.select("doc_id", "table_id", "position", F.when(F.col("last") >= 0, rows).otherwise(nothing).alias("rows"), "confidence").withColumns({
         "row_count": F.size("rows"), "column_count": F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0))})

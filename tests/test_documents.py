@@ -183,6 +183,30 @@ def test_pages(spark):
                      ("GSTR-1", "Mar 2019", "Filed", None, None)]
 
 
+def test_nested_tables(spark):
+    html = """<table><tr><td>menu<td><table><TR class="x"><th>h</th><td>State</td><td> 24 - <b>Gujarat</b> <!-- <td>no</td> -->(GJ)</td></tr>
+    <tr><td>PAN</td><td>A &amp; B<tr><td>one cell</table></td><td>after</td></tr><tr><td>GSTR-1</td><td>p</td><td>d</td></tr></table></table>
+    <td>stray</td><table><tr></tr><tr><td>left <table><tr><td>open"""
+    df = spark.createDataFrame([(html,), ("",), ("<p>a < b</p>",), (None,)], "html string")
+    got = [r["r"] for r in df.select(pages.table_rows(F.col("html")).alias("r")).collect()]
+    inner = [["State", "24 -Gujarat(GJ)"], ["PAN", "A & B"], ["one cell"]]
+    assert got == [[["menu", "hState24 -Gujarat(GJ)PANA & Bone cell", "after"], *inner, ["GSTR-1", "p", "d"], [], ["leftopen"], ["open"]], [], [], None]
+    both = df.limit(1).select(pages.table_rows(F.col("html"), "td|th").alias("r")).first()["r"]
+    assert both[1] == ["h", *inner[0]]
+    plan = df.select(pages.table_rows(F.col("html")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_labels_and_listed_returns(spark):
+    html = """<table><tr><td>GSTIN</td><td>24AAXFA5297L1ZZ</td></tr></table>
+    recently filed the following GST Returns: ▪ GSTR10 for the Return Period of Mar. 2019 was filed on 11.04.2019 ▪ GSTR9C for the Return Period of 2.19 was filed on 1.5.19
+    ▪ GSTR7 for the Return Period of x. was filed on y."""
+    df = spark.createDataFrame([("http://p/24AAXFA5297L1ZN/x", html)], "url string, html string")
+    assert pages.parse_taxpayer_pages(df).first()["gstin"] == "24AAXFA5297L1ZZ"
+    filed = [(r["position"], r["return_type"], r["period"], r["filed_date"], r["status"]) for r in pages.parse_returns(df).collect()]
+    assert filed == [(0, "GSTR10", "Mar. 2019", "11.04.2019", "Filed")]
+
+
 def test_hsn_pages(spark):
     table = "<table><tr><th>HSN/SAC Code Input</th></tr><tr><td>1</td><td>84049000</td><td>PARTS OF BOILERS</td><td>VALID</td></tr></table> GST: 7% Rate: 18%"
     lines = "We use cookies on this website\n84049000\nAuxiliary plant for boilers\n"
