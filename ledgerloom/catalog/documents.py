@@ -131,8 +131,16 @@ add("srt06_best_types", _three_best, oracle(f"""SELECT doc_id, type, score FROM
 _METHOD = "CASE " + " ".join(f"WHEN {_re(p)} THEN '{n}'" for n, p in c.fn.PAYMENT_METHODS) + " ELSE 'UNKNOWN' END"
 _CATEGORY = "CASE " + " ".join(f"WHEN {_re(p)} THEN '{n}'" for n, p in c.fn.EXPENSE_CATEGORIES) + " ELSE 'GENERAL' END"
 _LANGUAGE = r"CASE WHEN regexp_matches(body, '[^\x00-\x7F]') THEN 'multilingual' ELSE 'english' END"
-add("cls09_metadata", lambda s, d: _classified(s, d).select("doc_id", "metadata.*"), oracle(
-    f"""SELECT doc_id, length(body) AS text_length, {_LANGUAGE} AS language,
+def _structured(s, d):
+    """Texts whose lines with a colon are form fields and whose long lines are tables."""
+    given = _texts(s, d).withColumns({"fields": F.filter(F.split("body", "\n"), lambda x: F.contains(x, F.lit(":"))),
+                                      "tables": F.filter(F.split("body", "\n"), lambda x: F.length(x) > 400)})
+    return c.classify(given, "body", "doc_id", "fields", "tables")
+
+
+add("cls09_metadata", lambda s, d: _structured(s, d).select("doc_id", "metadata.*"), oracle(
+    f"""SELECT doc_id, length(body) AS text_length, contains(body, ':') AS has_form_fields,
+    len(list_filter(string_split(body, chr(10)), lambda x: length(x) > 400)) > 0 AS has_tables, {_LANGUAGE} AS language,
     CASE WHEN document_type = 'B2B_INVOICE' THEN regexp_matches(body, '{c.TAX_ID}') END AS has_gstin,
     CASE WHEN document_type = 'B2B_INVOICE' THEN {_re(c.TAX_NAMES)} END AS has_tax_details,
     CASE WHEN document_type = 'B2B_INVOICE' THEN {_re(r"invoice\s*(no|number)")} END AS has_invoice_number,
@@ -141,8 +149,29 @@ add("cls09_metadata", lambda s, d: _classified(s, d).select("doc_id", "metadata.
          WHEN document_type = 'EXPENSE_SLIP' THEN {_re(r"(rs|₹|inr|total).*\d")} END AS has_amount,
     CASE WHEN document_type = 'PAYMENT_PROOF' THEN {_METHOD} END AS payment_method,
     CASE WHEN document_type = 'EXPENSE_SLIP' THEN {_CATEGORY} END AS expense_category FROM decided""", *CHAIN))
+def _of_kind(make):
+    return "CASE document_type " + " ".join(f"WHEN '{k.name}' THEN {make(k)}" for k in c.DOC_TYPES) + " END"
+
+
+def _seen_words(words):
+    return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN {_quoted(w)} END" for w, t in zip(words, _has(words))) + "], lambda w: w IS NOT NULL)"
+
+
+_TOLD = f"""told AS (SELECT *, {_of_kind(lambda k: _seen_words(k.keywords))} AS found, {_of_kind(lambda k: _seen_words(k.negatives))} AS against,
+  {_of_kind(lambda k: "(" + " + ".join(f"CASE WHEN {_re(p)} THEN 1 ELSE 0 END" for p in k.patterns) + ")")} AS matched,
+  {_of_kind(lambda k: f"({_re(c.TAX_ID)} AND {_re(c.COMPANY_FORM)} AND {_re(c.TAX_NAMES)})" if k.strong else "FALSE")} AS certain FROM decided)"""
+_TERMS = f"""terms AS (SELECT *, list_filter(found, lambda w: w IN ({", ".join(map(_quoted, c.KEY_TERMS))})) AS key_terms FROM told)"""
 add("cls10_reasoning", lambda s, d: _classified(s, d).select(
-    "doc_id", F.array_join("reasoning", "; ").alias("reasoning"), F.array_join("keywords", ",").alias("keywords")))
+    "doc_id", F.array_join("reasoning", "; ").alias("reasoning"), F.array_join("keywords", ",").alias("keywords")), oracle(
+    """SELECT doc_id, concat_ws('; ', CASE WHEN forced THEN 'Closest type, score below the threshold of ' || document_type END,
+    CASE WHEN certain THEN 'Tax id, company form and tax names together' END,
+    CASE WHEN len(key_terms) > 0 THEN 'Key business terms: ' || array_to_string(key_terms[1:5], ', ')
+         WHEN len(found) > 0 THEN 'Keywords: ' || array_to_string(found[1:5], ', ') END,
+    CASE WHEN strong > 0 AND document_type = 'B2B_INVOICE' THEN 'Strong indicators: ' || strong END,
+    CASE WHEN matched > 0 THEN 'Structure patterns: ' || matched END,
+    CASE WHEN len(against) > 0 THEN 'Conflicting terms: ' || array_to_string(against, ', ') END,
+    CASE WHEN top > 0.8::DOUBLE THEN 'Very high' WHEN top > 0.65::DOUBLE THEN 'High' WHEN top > 0.5::DOUBLE THEN 'Moderate' ELSE 'Low' END || ' confidence')
+    AS reasoning, array_to_string(found, ',') AS keywords FROM terms""", *CHAIN, _TOLD, _TERMS))
 
 
 def _accuracy(s, d):

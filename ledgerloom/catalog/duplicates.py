@@ -55,12 +55,20 @@ add("set02_candidate_union", lambda s, d: du.candidate_counts(_union(s, d)), ora
 add("win04_nearest_ten", lambda s, d: du.similar_amount(bridge.lake(s, d).invoices).groupBy("invoice_id").agg(
     F.count("*").alias("candidates"), F.max("amount_diff").cast("double").alias("largest_diff")),
     oracle(f"SELECT invoice_id, count(*) AS candidates, max(amount_diff) AS largest_diff FROM ({NEAREST}) n GROUP BY 1"))
-add("dup06_detail_rows", lambda s, d: du.detail_rows(_lake(s, d).invoices, _lake(s, d).items, _lake(s, d).companies).select(
-    "invoice_id", "item_id", "supplier_name", "supplier_gstin", "description", "hsn_code",
-    F.col("unit_price").cast("double").alias("unit_price")), oracle(
-    """SELECT h.invoice_id, item_id, legal_name AS supplier_name, gstin AS supplier_gstin, item_description AS description,
-    hsn_code, CAST(unit_price AS DOUBLE) AS unit_price FROM invoices h LEFT JOIN items i ON h.invoice_id = i.invoice_id
-    LEFT JOIN companies ON supplier_company_id = company_id"""))
+def _details(s, d):
+    k = _lake(s, d)
+    return du.detail_rows(k.invoices, k.items, k.companies, bridge.lake(s, d).products)
+
+
+_PLAIN = {"quantity", "unit_price", "taxable_value", "gst_rate", "total_amount", "invoice_taxable", "invoice_tax", "invoice_total"}
+add("dup06_detail_rows", lambda s, d: _details(s, d).select(*[
+    F.col(c).cast("double").alias(c) if c in _PLAIN else F.col(c) for c in _details(s, d).columns]), oracle(
+    """SELECT h.invoice_id, invoice_num, invoice_date, CAST(h.taxable_value AS DOUBLE) AS invoice_taxable, CAST(total_tax AS DOUBLE) AS invoice_tax,
+    CAST(total_value AS DOUBLE) AS invoice_total, supplier_company_id, legal_name AS supplier_name, gstin AS supplier_gstin, item_id, i.product_id,
+    item_description AS description, i.hsn_code, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+    CAST(i.taxable_value AS DOUBLE) AS taxable_value, CAST(gst_rate AS DOUBLE) AS gst_rate, CAST(total_amount AS DOUBLE) AS total_amount,
+    canonical_name AS product_name FROM invoices h LEFT JOIN items i ON h.invoice_id = i.invoice_id
+    LEFT JOIN companies ON supplier_company_id = company_id LEFT JOIN products p ON i.product_id = p.product_id"""))
 
 
 def _listed_scores(s, d):

@@ -205,10 +205,18 @@ add("val16_required_fields", _required, oracle(
 
 def _rules(spark, d):
     lake = bridge.lake(spark, d)
-    return v.data_rules(lake.invoices, lake.items, lake.payments, lake.companies)
+    # Faults for the rules that nothing in these tables breaks.
+    items = lake.items.withColumns({"gst_rate": F.expr("CASE WHEN item_id % 97 = 0 THEN gst_rate + 1 ELSE gst_rate END"),
+                                    "quantity": F.expr("CASE WHEN item_id % 89 = 0 THEN -quantity ELSE quantity END")})
+    payments = lake.payments.withColumns({"status": F.expr("CASE WHEN payment_id % 83 = 0 THEN 'LOST' ELSE status END"),
+                                          "amount": F.expr("CASE WHEN payment_id % 79 = 0 THEN -amount ELSE amount END")})
+    documents = lake.documents.withColumn("doc_type", F.expr("CASE WHEN doc_id % 71 = 0 THEN 'LETTER' ELSE doc_type END"))
+    registry = lake.registry.withColumn("status", F.expr("CASE WHEN gst_id % 5 = 0 THEN 'Closed' ELSE status END"))
+    return v.data_rules(lake.invoices, items, payments, lake.companies, documents, registry)
 
 
 _SPLIT = f"abs({_z('sgst_amount')} + {_z('cgst_amount')} - {_z('gst_amount')}) <= 0.05"
+_RATED = f"({_z('gst_rate')} + CASE WHEN item_id % 97 = 0 THEN 1 ELSE 0 END)"
 _THROUGH = f"abs({_z('igst_amount')} - {_z('gst_amount')}) <= 0.05"
 add("val18_data_rules", _rules, oracle(
     f"""SELECT 'intra_state_split' AS rule, item_id AS record_id FROM taxed WHERE same AND NOT ({_SPLIT})
@@ -221,7 +229,16 @@ add("val18_data_rules", _rules, oracle(
         count(*) OVER (PARTITION BY payment_method, transaction_ref) AS n FROM payment) q WHERE n > 1
     UNION ALL SELECT 'negative_amount', invoice_id FROM invoices WHERE taxable_value < 0 OR total_tax < 0 OR total_value < 0
     UNION ALL SELECT 'unknown_status', invoice_id FROM invoices
-        WHERE status NOT IN ('PENDING', 'PROCESSED', 'PAID', 'CANCELLED')""",
+        WHERE status NOT IN ('PENDING', 'PROCESSED', 'PAID', 'CANCELLED')
+    UNION ALL SELECT 'intra_state_rates', item_id FROM taxed WHERE same AND abs({_z('sgst_rate')} + {_z('cgst_rate')} - {_RATED}) > 0.01
+    UNION ALL SELECT 'inter_state_rate', item_id FROM taxed WHERE NOT same AND abs({_z('igst_rate')} - {_RATED}) > 0.01
+    UNION ALL SELECT 'negative_item', item_id FROM items WHERE unit_price < 0 OR taxable_value < 0 OR gst_amount < 0 OR total_amount < 0
+        OR CASE WHEN item_id % 89 = 0 THEN -quantity ELSE quantity END < 0
+    UNION ALL SELECT 'negative_payment', payment_id FROM payment WHERE CASE WHEN payment_id % 79 = 0 THEN -amount ELSE amount END < 0
+    UNION ALL SELECT 'unknown_payment_status', payment_id FROM payment WHERE payment_id % 83 = 0
+        OR status NOT IN ('PENDING', 'COMPLETED', 'FAILED', 'CANCELLED')
+    UNION ALL SELECT 'unknown_document_type', doc_id FROM docs WHERE doc_id % 71 = 0
+    UNION ALL SELECT 'unknown_registry_status', gst_id FROM gst_companies WHERE gst_id % 5 = 0""",
     """taxed AS (SELECT i.*, coalesce(s.state = b.state, FALSE) AS same FROM items i
     JOIN invoices h ON i.invoice_id = h.invoice_id LEFT JOIN companies s ON h.supplier_company_id = s.company_id
     LEFT JOIN companies b ON h.buyer_company_id = b.company_id)"""))

@@ -178,8 +178,8 @@ def final_score(seen: Spotted, kind: DocType) -> Column:
     return score
 
 
-def lowered(df: DataFrame, text: str, key: str) -> DataFrame:
-    source = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+def lowered(df: DataFrame, text: str, key: str, *more: Column) -> DataFrame:
+    source = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_raw"), *more)
     return use_all_cores(source, key).withColumn("_text", F.lower("_raw"))
 
 
@@ -189,14 +189,17 @@ def score_types(df: DataFrame, text: str, key: str) -> DataFrame:
     return seen.df.select(key, *[final_score(seen, t).alias(t.name) for t in DOC_TYPES])
 
 
-def classify(df: DataFrame, text: str, key: str) -> DataFrame:
+def classify(df: DataFrame, text: str, key: str, fields: str | None = None, tables: str | None = None) -> DataFrame:
     """The type of every document: always one of the known types, with a confidence.
 
     Result: key, document_type, confidence_score, forced, keywords, alternates, reasoning, metadata.
+    ``fields`` and ``tables`` name arrays of the document; the metadata say whether they hold anything.
     """
-    seen = Spotted(lowered(df, text, key), "_text")
+    def filled(name, alias):
+        return (F.coalesce(F.size(name) > 0, F.lit(False)) if name else F.lit(False)).alias(alias)
+    seen = Spotted(lowered(df, text, key, filled(fields, "_fields"), filled(tables, "_tables")), "_text")
     points = seen.df.select(
-        key, "_raw", "_text", *[F.col(c) for c in seen.df.columns if c.startswith("_w")],
+        key, "_raw", "_text", "_fields", "_tables", *[F.col(c) for c in seen.df.columns if c.startswith(("_w", "_p"))],
         strong_count(seen, DOC_TYPES[0]).alias("_strong"), *[final_score(seen, t).alias(t.name) for t in DOC_TYPES])
     scored = points.withColumn("_scores", F.array(*[
         F.struct(F.col(t.name).alias("score"), F.lit(-i).alias("rank"), F.lit(t.name).alias("type"))
@@ -211,17 +214,22 @@ def classify(df: DataFrame, text: str, key: str) -> DataFrame:
     forced = F.col("_best.score") < threshold
     words = per_type(lambda t: F.expr(
         "array_compact(array(" + ", ".join(f"CASE WHEN {seen.word(w)} THEN {_quoted(w)} END" for w in t.keywords) + "))"))
+    against = per_type(lambda t: F.expr(
+        "array_compact(array(" + ", ".join(f"CASE WHEN {seen.word(w)} THEN {_quoted(w)} END" for w in t.negatives) + "))"))
+    matched = per_type(lambda t: F.expr(" + ".join(f"CAST({seen.pattern(p)} AS INT)" for p in t.patterns)))
+    certain = F.expr(" AND ".join(map(seen.pattern, (TAX_ID, COMPANY_FORM, TAX_NAMES)))) & kind.isin(*[t.name for t in DOC_TYPES if t.strong])
     others = F.filter("_scores", lambda s: (s["type"] != kind) & (s["score"] > 0.2))
     ranked = F.slice(F.reverse(F.array_sort(others)), 1, 3)
     decided = best.select(
         key, "_raw", "_text", "_strong", kind.alias("document_type"),
         F.when(forced, F.greatest(F.col("_best.score"), F.lit(0.6))).otherwise(F.col("_best.score"))
         .alias("confidence_score"), F.col("_best.score").alias("raw_score"), forced.alias("forced"),
-        words.alias("keywords"),
+        words.alias("keywords"), against.alias("_against"), matched.alias("_matched"), certain.alias("_certain"), "_fields", "_tables",
         F.transform(ranked, lambda s: F.struct(s["type"].alias("type"), s["score"].alias("score"))).alias("alternates"))
     return decided.select(
         key, "document_type", "confidence_score", "forced", "keywords", "alternates",
-        _reasoning().alias("reasoning"), document_metadata(F.col("_raw"), F.col("document_type")).alias("metadata"))
+        _reasoning().alias("reasoning"), document_metadata(
+            F.col("_raw"), F.col("document_type"), F.col("_fields"), F.col("_tables")).alias("metadata"))
 
 
 def alternates(classified: DataFrame, key: str) -> DataFrame:
@@ -231,24 +239,29 @@ def alternates(classified: DataFrame, key: str) -> DataFrame:
 
 
 def _reasoning() -> Column:
+    """What spoke for the type: sure signs, words, strong signs, patterns, words that speak against it, confidence."""
     key_words = F.filter("keywords", lambda w: w.isin(*KEY_TERMS))
     score = F.col("raw_score")
     band = (F.when(score > 0.8, "Very high").when(score > 0.65, "High").when(score > 0.5, "Moderate").otherwise("Low"))
     return F.array_compact(F.array(
         F.when(F.col("forced"), F.concat(F.lit("Closest type, score below the threshold of "), F.col("document_type"))),
+        F.when(F.col("_certain"), F.lit("Tax id, company form and tax names together")),
         F.when(F.size(key_words) > 0, F.concat(F.lit("Key business terms: "), F.array_join(F.slice(key_words, 1, 5), ", ")))
         .when(F.size("keywords") > 0, F.concat(F.lit("Keywords: "), F.array_join(F.slice("keywords", 1, 5), ", "))),
         F.when((F.col("_strong") > 0) & (F.col("document_type") == "B2B_INVOICE"),
                F.format_string("Strong indicators: %d", F.col("_strong"))),
+        F.when(F.col("_matched") > 0, F.format_string("Structure patterns: %d", F.col("_matched"))),
+        F.when(F.size("_against") > 0, F.concat(F.lit("Conflicting terms: "), F.array_join("_against", ", "))),
         F.concat(band, F.lit(" confidence"))))
 
 
-def document_metadata(text: Column, kind: Column) -> Column:
-    """What the text shows, as far as it matters for the type; other fields are NULL."""
+def document_metadata(text: Column, kind: Column, has_fields: Column, has_tables: Column) -> Column:
+    """What the document shows, as far as it matters for the type; other parts are NULL."""
     text = F.coalesce(text, F.lit(""))
     invoice, proof, slip = kind == "B2B_INVOICE", kind == "PAYMENT_PROOF", kind == "EXPENSE_SLIP"
     return F.struct(
-        F.length(text).alias("text_length"), fn.detect_language(text).alias("language"),
+        F.length(text).alias("text_length"), has_fields.alias("has_form_fields"), has_tables.alias("has_tables"),
+        fn.detect_language(text).alias("language"),
         F.when(invoice, text.rlike(TAX_ID)).alias("has_gstin"),
         F.when(invoice, _found(text, TAX_NAMES)).alias("has_tax_details"),
         F.when(invoice, _found(text, r"invoice\s*(no|number)")).alias("has_invoice_number"),

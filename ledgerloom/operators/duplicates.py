@@ -600,11 +600,19 @@ def evidence(matches: DataFrame) -> DataFrame:
                           fields.alias("matching_fields"))
 
 
-def detail_rows(invoices: DataFrame, items: DataFrame, companies: DataFrame) -> DataFrame:
-    """Header, supplier and line in one row per line: what a comparison looks at."""
+def detail_rows(invoices: DataFrame, items: DataFrame, companies: DataFrame, products: DataFrame) -> DataFrame:
+    """Header, supplier, line and product in one row per line: what a comparison looks at.
+
+    Sums of the header are invoice_taxable, invoice_tax and invoice_total. An invoice without lines is one row.
+    """
     supplier = companies.select(F.col("company_id").alias("supplier_company_id"),
                                 F.col("legal_name").alias("supplier_name"), F.col("gstin").alias("supplier_gstin"))
-    return invoices.join(supplier, "supplier_company_id", "left").join(_lines(items), "invoice_id", "left")
+    named = products.select("product_id", F.col("canonical_name").alias("product_name"))
+    lines = items.select("invoice_id", "item_id", "product_id", F.col("item_description").alias("description"), "hsn_code", "quantity",
+                         "unit_price", "taxable_value", "gst_rate", "total_amount").join(named, "product_id", "left")
+    heads = invoices.select("invoice_id", "invoice_num", "invoice_date", F.col("taxable_value").alias("invoice_taxable"),
+                            F.col("total_tax").alias("invoice_tax"), F.col("total_value").alias("invoice_total"), "supplier_company_id")
+    return heads.join(supplier, "supplier_company_id", "left").join(lines, "invoice_id", "left")
 
 
 def scenario_labels(spark) -> DataFrame:

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.classify import DOC_TYPES
+
 TOLERANCE = "0.05"
 
 
@@ -313,8 +315,16 @@ def input_sections(documents: DataFrame) -> DataFrame:
     return documents.withColumn("missing_sections", missing).withColumn("complete", F.size("missing_sections") == 0)
 
 
-def data_rules(invoices: DataFrame, items: DataFrame, payments: DataFrame, companies: DataFrame) -> DataFrame:
-    """Violations of the declared data rules: (rule, record_id).
+# What status and type columns may hold.
+INVOICE_STATUSES = ("PENDING", "PROCESSED", "PAID", "CANCELLED")
+PAYMENT_STATUSES = ("PENDING", "COMPLETED", "FAILED", "CANCELLED")
+REGISTRY_STATUSES = ("Active", "Cancelled", "Suspended")
+RATE_TOLERANCE = "0.01"
+
+
+def data_rules(invoices: DataFrame, items: DataFrame, payments: DataFrame, companies: DataFrame,
+               documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """Violations of the declared data rules: (rule, record_id). A missing tax part is zero, a missing status breaks no rule.
 
     Uniqueness rules report every member of a clashing group. Group sizes come from a
     partial aggregation and a join back, so a huge group is never gathered in one place.
@@ -328,6 +338,9 @@ def data_rules(invoices: DataFrame, items: DataFrame, payments: DataFrame, compa
     near = lambda a, b: F.abs(a - b) <= F.lit(TOLERANCE).cast("decimal(10,4)")
     split = near(_amount("sgst_amount") + _amount("cgst_amount"), _amount("gst_amount"))
     through = near(_amount("igst_amount"), _amount("gst_amount"))
+    equal = lambda a, b: F.abs(a - b) <= F.lit(RATE_TOLERANCE).cast("decimal(10,4)")
+    half_rates = equal(_amount("sgst_rate") + _amount("cgst_rate"), _amount("gst_rate"))
+    one_rate = equal(_amount("igst_rate"), _amount("gst_rate"))
     same = F.coalesce(F.col("s_state") == F.col("b_state"), F.lit(False))
 
     def report(rule, frame, record):
@@ -346,8 +359,15 @@ def data_rules(invoices: DataFrame, items: DataFrame, payments: DataFrame, compa
         report("unique_reference_per_method", clashes(payments, ("payment_method", "transaction_ref")), "payment_id"),
         report("negative_amount", invoices.where("taxable_value < 0 OR total_tax < 0 OR total_value < 0"),
                "invoice_id"),
-        report("unknown_status", invoices.where(~F.col("status").isin("PENDING", "PROCESSED", "PAID", "CANCELLED")),
-               "invoice_id"),
+        report("unknown_status", invoices.where(~F.col("status").isin(*INVOICE_STATUSES)), "invoice_id"),
+        report("intra_state_rates", taxed.where(same & ~half_rates), "item_id"),
+        report("inter_state_rate", taxed.where(~same & ~one_rate), "item_id"),
+        report("negative_item", items.where("quantity < 0 OR unit_price < 0 OR taxable_value < 0 OR gst_amount < 0 OR total_amount < 0"),
+               "item_id"),
+        report("negative_payment", payments.where("amount < 0"), "payment_id"),
+        report("unknown_payment_status", payments.where(~F.col("status").isin(*PAYMENT_STATUSES)), "payment_id"),
+        report("unknown_document_type", documents.where(~F.col("doc_type").isin(*[t.name for t in DOC_TYPES])), "doc_id"),
+        report("unknown_registry_status", registry.where(~F.col("status").isin(*REGISTRY_STATUSES)), "gst_id"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

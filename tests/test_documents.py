@@ -162,6 +162,18 @@ def test_classification(spark):
     assert "gstin" in got[0]["keywords"] and got[0]["reasoning"]
 
 
+def test_metadata_and_reasons(spark):
+    df = spark.createDataFrame([(0, CORPUS[0][0] + " payment proof receipt purchase order", ["f"], []), (1, "", None, ["t"])],
+                               "id int, body string, fields array<string>, tables array<string>")
+    got = {r["id"]: r for r in classify.classify(df, "body", "id", "fields", "tables").collect()}
+    assert [(got[i]["metadata"]["has_form_fields"], got[i]["metadata"]["has_tables"]) for i in (0, 1)] == [(True, False), (False, True)]
+    told = "; ".join(got[0]["reasoning"])
+    assert "Tax id, company form and tax names together" in told and "Structure patterns: " in told and "Conflicting terms: " in told
+    assert not any("patterns" in r or "terms" in r for r in got[1]["reasoning"])
+    plain = classify.classify(df, "body", "id").first()["metadata"]
+    assert (plain["has_form_fields"], plain["has_tables"]) == (False, False)
+
+
 def test_analysis_text(docs):
     text = docs.where("file_info.filename = 'a#1.pdf'").select(classify.analysis_text(docs).alias("t")).first()["t"]
     assert "a#1.pdf" in text and "invoice no. sb/1" in text and "basket" in text and "45 days" in text and "invoice/bill" in text

@@ -131,3 +131,22 @@ def test_table_references(spark):
 
     rows = {(r["child_table"], r["child_column"], r["parent_table"]) for r in search.table_groups(spark).collect()}
     assert ("invoice_item", "invoice_id", "invoices") in rows and ("invoices", "supplier_company_id", "companies") in rows
+
+
+def test_data_rules_on_rates_signs_and_types(spark):
+    money = "decimal(15,2)"
+    companies = spark.sql("SELECT * FROM VALUES (1, 'A'), (2, 'B') AS t(company_id, state)")
+    invoices = spark.sql(f"""SELECT id AS invoice_id, 1 AS supplier_company_id, if(id = 3, 2, 1) AS buyer_company_id, concat('n', id) AS invoice_num,
+        CAST(100 AS {money}) AS taxable_value, CAST(18 AS {money}) AS total_tax, CAST(118 AS {money}) AS total_value, if(id = 4, NULL, 'PAID') AS status FROM range(1, 5)""")
+    # 1: rates do not add up; 2: negative quantity; 3: other state with halves instead of one rate; 4: as it should be.
+    items = spark.sql(f"""SELECT id AS item_id, id AS invoice_id, if(id = 2, -1, 1) AS quantity, CAST(100 AS {money}) AS unit_price, CAST(100 AS {money}) AS taxable_value,
+        CAST(18 AS {money}) AS gst_rate, CAST(18 AS {money}) AS gst_amount, CAST(if(id = 1, 8, 9) AS {money}) AS sgst_rate, CAST(9 AS {money}) AS sgst_amount,
+        CAST(9 AS {money}) AS cgst_rate, CAST(9 AS {money}) AS cgst_amount, CAST(NULL AS {money}) AS igst_rate, CAST(if(id = 3, 18, NULL) AS {money}) AS igst_amount,
+        CAST(118 AS {money}) AS total_amount FROM range(1, 5)""")
+    payments = spark.sql(f"""SELECT id AS payment_id, id AS invoice_id, CAST(if(id = 1, -5, 50) AS {money}) AS amount, concat('r', id) AS transaction_ref,
+        'UPI' AS payment_method, if(id = 2, 'LOST', 'COMPLETED') AS status FROM range(1, 4)""")
+    documents = spark.sql("SELECT * FROM VALUES (1, 'B2B_INVOICE'), (2, 'LETTER'), (3, NULL) AS t(doc_id, doc_type)")
+    registry = spark.sql("SELECT * FROM VALUES (1, 'Active'), (2, 'Closed') AS t(gst_id, status)")
+    found = {(r["rule"], r["record_id"]) for r in v.data_rules(invoices, items, payments, companies, documents, registry).collect()}
+    assert found == {("intra_state_rates", 1), ("negative_item", 2), ("inter_state_rate", 3), ("negative_payment", 1),
+                     ("unknown_payment_status", 2), ("unknown_document_type", 2), ("unknown_registry_status", 2)}
