@@ -12,7 +12,7 @@ from ledgerloom.functions import scalars as fn
 from ledgerloom.functions.arrays import found, jumps_of
 from ledgerloom.functions.text import text_similarity
 from ledgerloom.catalog.validation import CHECKS, FIRST, GATES, SUMS
-from ledgerloom.operators import duplicates, extract, nested, pages, risk, store, validation
+from ledgerloom.operators import classify, duplicates, extract, nested, pages, risk, store, validation
 from ledgerloom.session import cut_lineage, shared_dir
 from ledgerloom.sources import files
 from ledgerloom.sources.versions import Versions
@@ -127,6 +127,20 @@ q("set03_jaccard", lambda k: k.products.select("product_id", fn.jaccard(
   """SELECT product_id, CAST(len(list_intersect(string_split(canonical_name, ' '), ['red', 'widget', 'ring'])) AS DOUBLE) /
   len(list_distinct(list_concat(string_split(canonical_name, ' '), ['red', 'widget', 'ring']))) AS j FROM products""")
 
+_OWN = "string_split({}, ' ')"
+_LETTERS = "list_distinct(string_split(replace({}, ' ', ''), ''))"
+
+
+def _overlap_sql(sets, a, b):
+    a, b = sets.format(a), sets.format(b)
+    return f"CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b})))"
+
+
+q("fn13_name_similarity", lambda k: k.products.select("product_id", F.round(fn.name_similarity(
+    F.col("canonical_name"), F.when(F.col("product_id") % 10 > 0, F.lit("red widget ring")).otherwise(" ")), 9).alias("similarity")),
+  f"""SELECT product_id, CASE WHEN product_id % 10 = 0 THEN 0::DOUBLE ELSE round(0.7::DOUBLE * {_overlap_sql(_OWN, "canonical_name", "'red widget ring'")}
+  + 0.3::DOUBLE * {_overlap_sql(_LETTERS, "canonical_name", "'red widget ring'")}, 9) END AS similarity FROM products""")
+
 # Nested data --------------------------------------------------------------------------
 q("nst08_json_recovery", lambda k: k.documents.select("doc_id", nested.recover_json(F.expr(
     "CASE doc_id % 3 WHEN 0 THEN raw_data WHEN 1 THEN concat('Here it is: ', raw_data, ' done') ELSE 'no data' END")).alias("r")).select(
@@ -241,6 +255,20 @@ add("ext01_headers", lambda s, d: extract.extract_headers(_analysis(s, d)).selec
     "filename", "invoice_num", "invoice_date", "taxable_value", "total_tax", "payment_terms"), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS filename, invoice_num, invoice_date, CAST(taxable_value AS DOUBLE) AS taxable_value,
     CAST(total_tax AS DOUBLE) AS total_tax, '30 DAYS' AS payment_terms FROM invoices"""))
+def _with_tax_ids(s, d):
+    """A third of the documents has the supplier's tax id in a field, a third in the text, a third not at all."""
+    own = F.concat(F.lit("24AAAAA"), F.lpad((F.col("file_info.file_size_bytes") % 10000).cast("string"), 4, "0"), F.lit("A1Z5"))
+    turn = F.col("file_info.file_size_bytes") % 3
+    more = F.array(F.struct(F.lit("Supplier GSTIN/UIN").alias("key"), own.alias("value"), F.lit(90.0).alias("confidence")))
+    fields = F.when(turn == 0, F.concat("form_analysis.form_fields", more)).otherwise(F.col("form_analysis.form_fields"))
+    return _analysis(s, d).withColumns({
+        "ocr_text": F.when(turn == 1, F.concat("ocr_text", F.lit(" GSTIN: "), own, F.lit(" State"))).otherwise(F.col("ocr_text")),
+        "form_analysis": F.struct(fields.alias("form_fields"))})
+
+
+add("ext02_supplier_gstin", lambda s, d: extract.extract_headers(_with_tax_ids(s, d)).select("filename", "supplier_gstin"), oracle(
+    """SELECT 'f' || invoice_id AS filename, CASE WHEN invoice_id % 3 < 2 THEN '24AAAAA' || lpad(CAST(invoice_id % 10000 AS VARCHAR), 4, '0') || 'A1Z5' END
+    AS supplier_gstin FROM invoices"""))
 add("ext04_derived_total", lambda s, d: extract.extract_headers(_analysis(s, d)).select("filename", F.round("total_value", 2).alias("total_value")), oracle(
     """SELECT 'f' || CAST(invoice_id AS VARCHAR) AS filename, CASE WHEN total_tax <> 0 THEN
     CAST(taxable_value + total_tax AS DOUBLE) END AS total_value FROM invoices"""))
@@ -328,6 +356,23 @@ def _analysis_docs(s, d):
             null("double").alias("confidence"))).alias("tables"))})
 
 
+def _told(s, d):
+    docs = _analysis_docs(s, d)
+    return docs.select(F.col("file_name").alias("document"), classify.analysis_text(docs).alias("told"))
+
+
+add("cls01_analysis_text", _told, oracle(
+    """SELECT 'f' || h.invoice_id AS document, lower(concat_ws(' ', 'f' || h.invoice_id,
+      'Invoice No. ' || CASE WHEN h.invoice_id % 5 = 0 THEN '' ELSE invoice_num END, 'Dated ' || strftime(invoice_date, '%-d-%b-%Y'),
+      'Taxable Value ' || format('{:,.2f}', CAST(taxable_value AS DOUBLE)), 'Tax Amount ' || format('{:,.2f}', CAST(total_tax AS DOUBLE)),
+      'Sl Description of Goods Mark HSN/SAC Quantity Rate Taxable Amount', lines_, 'Total      1.00',
+      'Tax invoice no: ' || invoice_num || ' pay within 30 days')) AS told
+    FROM invoices h JOIN (SELECT invoice_id, string_agg(concat_ws(' ', item_id, item_description, '', hsn_code, quantity || ' NOS',
+      '₹' || format('{:,.2f}', CAST(unit_price AS DOUBLE)), format('{:,.2f}', CAST(taxable_value AS DOUBLE))), ' ' ORDER BY CAST(item_id AS VARCHAR), item_description, hsn_code,
+      quantity || ' NOS', '₹' || format('{:,.2f}', CAST(unit_price AS DOUBLE))) AS lines_
+      FROM items GROUP BY 1) i ON h.invoice_id = i.invoice_id"""))
+
+
 # Portal pages -------------------------------------------------------------------------
 _ID = "concat('24AAAAA', lpad(cast(page_id % 10000 AS string), 4, '0'), 'A1Z5')"
 
