@@ -247,6 +247,35 @@ def test_secret_network(spark, empty):
     assert secrets.findings(empty, secrets.learn(empty)).count() == 0
 
 
+def test_secret_split_keeps_tokens_together():
+    rng = np.random.default_rng(4)
+    marks = rng.integers(0, 40, 500)
+    held = secrets.held_tokens(marks)
+    assert all(len(set(held[marks == m].tolist())) == 1 for m in set(marks.tolist())) and 0.1 < held.mean() < 0.4
+    text = ("word " * 30 + " ".join(f"item{i:014d}" for i in range(500))).encode()
+    assert len(secrets.examples(text, each=10)) <= 10 * 4 + 4
+
+
+def test_secret_rare_and_touching(spark):
+    """Findings in one of 400 documents teach, rows without an id do not; tokens of a kind that no rule
+    names are recalled, long names with numbers are not taken for them."""
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n)) + str(rng.randrange(10))
+    name = lambda: f"{rng.choice(['chapter', 'section', 'appendix'])}-{rng.choice(['river', 'garden', 'winter'])}-notes-{rng.randrange(100, 2000)}"
+    rows = [(i, f"plain words stand here and {name()} is a title of number {rng.randrange(10**16, 10**17)}") for i in range(16_000)]
+    rows += [(20_000 + i, f'some text then api_key = "{token(39)}" and more') for i in range(40)]
+    rows += [(None, f'secret: "{token(39)}"') for _ in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    finder = secrets.learn(frame, most=300)
+    assert finder.network is not None
+    model = lambda text: [s for s in finder.spans(text.encode()) if s[1] == 3]
+    assert sum(bool(model(f"we saw {token(39)} there")) for _ in range(200)) >= 180
+    assert sum(bool(model(f"we saw {name()} there")) for _ in range(200)) <= 10
+    touching = f'password = "{token(39)}"'  # the value touches what the rule has found, and is scored too
+    assert [s[1] for s in finder.spans(touching.encode())] == [0, 3]
+
+
 def test_quality(spark, empty):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["the", "of", "word", "thing", "line.", "more,"]) + str(rng.randrange(50)) for _ in range(60))
