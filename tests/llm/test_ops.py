@@ -324,7 +324,7 @@ def test_language_counts_by_pieces(monkeypatch):
 def test_decontamination(spark, empty):
     rng = random.Random(12)
     some = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    items = [(i, some(rng.randint(15, 40))) for i in range(30)] + [(100, "too short item"), (101, None), (102, "six words that are enough here")]
+    items = [(i, some(rng.randint(15, 40))) for i in range(30)] + [(100, "too short item"), (101, None), (102, "six words that are enough here"), (103, "")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
 
     def noisy(text, share):
@@ -338,12 +338,72 @@ def test_decontamination(spark, empty):
     pairs = Counter((r.doc_id, r.item_id) for r in found.collect())
     assert {p for p in pairs if p[0] is not None and p[0] < 10} == {(i, i) for i in range(10)} and pairs[(0, 0)] == 2 and pairs[(None, 3)] == 1
     assert {p[0] - 50 for p in pairs if p[0] is not None and 50 <= p[0] < 100} >= set(range(10, 19)) - {None}
-    assert not [p for p in pairs if p[0] is not None and 200 <= p[0] < 303] and pairs[(303, 102)] == 1
+    assert not [p for p in pairs if p[0] is not None and 200 <= p[0] < 302] and pairs[(303, 102)] == 1 and pairs[(302, 100)] == 1
+    assert not any(i == 103 or i == 101 for _, i in pairs)
     kept = decontaminate.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= {*range(200, 210), 300, 301, 302}
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks_lose_nothing():
+    """Every beginning of a stretch with enough equal words has a place for one of its item's masks."""
+    def beginnings(run, score, equal, words, need):
+        if equal == need:
+            yield run
+        elif len(run) < words:
+            yield from beginnings(run + "1", score + 1, equal + 1, words, need)
+            if score > 2:
+                yield from beginnings(run + "0", score - 2, equal, words, need)
+
+    for words in range(1, 41):
+        for need in {decontaminate.needed(words, 13, 0.7), decontaminate.needed(words, 13, 0.5), decontaminate.needed(words, 20, 1.0)}:
+            taken = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.masks_for(words, need)]
+            for run in beginnings("", 0, 0, words, need if need == words else min(need, 13)):
+                assert any(all(run[i + k:i + k + 1] == "1" for k in places) for i in range(len(run)) for places in taken), (words, need, run)
+
+
+def test_decontamination_brute_force(spark):
+    """Items of 1 to 40 words with words replaced, against each item laid on each place of each document."""
+    rng = random.Random(31)
+    some = lambda n, of=4000: [f"w{rng.randrange(of)}" for _ in range(n)]
+    items, docs = [], []
+    for n in range(1, 41):
+        for k in range(6):
+            item = some(n)
+            items.append((len(items), item))
+            planted = list(item)
+            for place in rng.sample(range(n), min(n, rng.randint(0, max(1, n // 4)))):
+                planted[place] = f"x{rng.randrange(100)}"
+            docs.append((len(docs), some(rng.randint(0, 60)) + planted + some(rng.randint(0, 60))))
+    docs += [(len(docs) + i, some(80, 12)) for i in range(20)]  # few words, so many short runs agree
+    items += [(len(items) + i, some(rng.randint(5, 20), 12)) for i in range(20)]
+
+    def best(doc, item):
+        found = 0
+        for offset in range(1 - len(item), len(doc)):
+            total = low = top = start = 0
+            same = [0 <= offset + i < len(doc) and doc[offset + i] == w for i, w in enumerate(item)]
+            inside = [0 <= offset + i < len(doc) for i in range(len(item))]
+            equal = top_equal = 0
+            for s, there in zip(same, inside):
+                if there:
+                    total, equal = (total + 1, equal + 1) if s else (total - 2, equal)
+                    if total <= low:
+                        low, equal = total, 0
+                    if total - low > top:
+                        top, top_equal = total - low, equal
+            found = max(found, top_equal)
+        return found
+
+    want = {(d, i) for d, doc in docs for i, item in items if set(doc) & set(item) and best(doc, item) >= decontaminate.needed(len(item), 13, 0.7)}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = decontaminate.matches(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 200
+    dropped = {d for d, i in want if len(items[i][1]) >= 5}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {d for d, _ in docs} - dropped
+
+
 def test_licences(spark, empty):
     rows = [(1, "Some words.\nReleased under the MIT License.\nMore words here"), (2, None), (3, ""), (None, "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
             (4, "Licensed under the Apache License, Version 2.0."), (4, "Licensed under the Apache License, Version 2.0."), (5, "He lost his driving license on the road."), (6, "x " * 100_000)]
