@@ -10,9 +10,11 @@ together cannot bring a family over `unknown`, so that loses nothing. How often
 only decides which of them are spared.
 
 A prediction is confirmed where the paragraph's words and those of one of the family's templates are
-alike enough. Scoring is a narrow map over the rows: nothing is shuffled, so no key can be hot.
+alike enough, it has all the NAMES that the template has and at least half of the words that
+tell it from those of the other families (a template without any needs all its words), and no template of another family whose telling words it has is more
+alike. So a notice of a licence that the templates do not know is not confirmed as one that is worded like it. Scoring is a narrow map over the rows: nothing is shuffled, so no key can be hot.
 
-Defined cases: null and empty texts have no paragraphs worth a row. Repeated rows give repeated
+Defined cases: rows without an id teach nothing, and equal texts teach once. Null and empty texts have no paragraphs worth a row. Repeated rows give repeated
 answers, null ids stay null. Without ordinary paragraphs to learn from (an empty table) there are no
 rows either. Columns other than id and text are not looked at.
 """
@@ -91,6 +93,9 @@ ORDINARY = (
     "Copyright is explained in the second chapter.", "Version 3 of the library is better than version 2.1.", "Apache helicopters flew over the base.",
     "Mozilla released a new browser.", "The commons are open to the public.", "Warranty claims must be sent in writing.",
 )
+#: Words that name a licence or its owner. A paragraph without those of a template does not confirm it.
+NAMES = {"apache", "mit", "gnu", "lesser", "lgpl", "affero", "agpl", "gpl", "bsd", "mozilla", "mpl", "creative", "cc", "cc0", "by", "nc", "sa",
+         "attribution", "sharealike", "noncommercial"}
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
@@ -195,15 +200,22 @@ def fit(paragraphs: list[str], steps: int = 200, rate: float = 4.0, ridge: float
 
 
 def learn(docs: DataFrame, most: int = 400, each: int = 4, longest: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """The model with about `each` paragraphs of each of about `most` documents, chosen by hashes of the id and of
+    """The model with about `each` paragraphs of each of about `most` documents, chosen by hashes of id and text and of
     the paragraph. One of more than `longest` characters teaches nothing."""
-    count = docs.count()
-    few = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, count))))
-    lines = few.select(F.split(F.col(text_col), "\n").alias("all")).select(F.size("all").alias("of"), F.explode("all").alias("p"))
+    known = docs.filter(F.col(id_col).isNotNull())
+    few = known.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, known.count()))))
+    lines = few.select(text_col).distinct().select(F.split(F.col(text_col), "\n").alias("all")).select(F.size("all").alias("of"), F.explode("all").alias("p"))
     lines = lines.filter((F.pmod(F.xxhash64("p"), F.col("of")) < each) & (F.length("p") <= longest))
     return fit(sorted(r["p"] for r in lines.collect()))
 
 
+def _telling() -> list[tuple[str, set[str], set[str]]]:
+    """Family, words, and words that no other family's templates have, of each template."""
+    own = {f: set().union(*(_words(t) for t in texts)) for f, texts in TEMPLATES.items()}
+    others = {f: set().union(*(w for g, w in own.items() if g != f)) for f in own}
+    return [(f, set(_words(t)), set(_words(t)) - others[f]) for f, texts in TEMPLATES.items() for t in texts]
+
+
 def _constant(value, kind: str) -> Column:
     """One literal for a list or a map, which the optimizer folds."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -252,7 +264,18 @@ def paragraphs(docs: DataFrame, model: Model, least: float = 0.5, alike: float =
     mass = F.aggregate("logits", F.lit(0.0), lambda total, z: total + F.exp(z - F.col("top")))
     best = scored.select("doc_id", "paragraph", "words", F.element_at(_constant(FAMILIES, "array<string>"), F.array_position("logits", F.col("top")).cast("int")).alias("family"), (1 / mass).alias("probability"))
     found = best.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    shapes = _constant([{"family": f, "words": sorted(set(_words(t)))} for f, texts in TEMPLATES.items() for t in texts], "array<struct<family:string,words:array<string>>>")
-    own = F.filter(shapes, lambda t: t["family"] == F.col("family"))
-    likeness = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("words", t["words"])) / F.size(F.array_union("words", t["words"]))))
-    return found.withColumn("similarity", likeness).select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= alike).alias("confirmed"))
+    shapes = _constant([{"family": f, "words": sorted(w), "telling": sorted(t or w), "least": (len(t) + 1) // 2 if t else len(w), "names": sorted(w & NAMES)} for f, w, t in _telling()],
+                       "array<struct<family:string,words:array<string>,telling:array<string>,least:int,names:array<string>>>")
+
+    def likeness(t):
+        return F.size(F.array_intersect("words", t["words"])) / F.size(F.array_union("words", t["words"]))
+
+    def told(t):
+        return (F.size(F.array_except(t["names"], "words")) == 0) & (F.size(F.array_intersect("words", t["telling"])) >= t["least"])
+
+    def most(kept):
+        return F.coalesce(F.array_max(F.transform(F.filter(shapes, kept), likeness)), F.lit(0.0))
+    own, other = (lambda t: t["family"] == F.col("family")), (lambda t: (t["family"] != F.col("family")) & told(t))
+    sure = most(lambda t: own(t) & told(t))
+    return found.withColumn("similarity", most(own)).select("doc_id", "paragraph", "family", "probability", "similarity",
+                                                            ((sure >= alike) & (sure >= most(other))).alias("confirmed"))

@@ -414,6 +414,24 @@ def test_licences(spark, empty):
     assert licences.paragraphs(empty, licences.learn(empty)).count() == 0
 
 
+def test_licences_unlisted(spark):
+    """Notices of licences that no template names are not confirmed; each template is, as its own family."""
+    unlisted = [
+        "Licensed under the Eclipse Public License 2.0", "Licensed under the Boost Software License, Version 1.0.", "Licensed under the Artistic License, Version 2.0.",
+        "This work is licensed under the European Union Public Licence, version 1.2.", "Released under the zlib License.", "Released under the ISC License.",
+        "Licensed under the Microsoft Public License, Version 1.0.", "Licensed under the Academic Free License, version 3.0.",
+        "This Source Code Form is subject to the terms of the Common Development and Distribution License, v. 1.0.", "Released under the PostgreSQL License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the"]
+    listed = [(f, t) for f, texts in licences.TEMPLATES.items() for t in texts]
+    rows = [(i, t) for i, t in enumerate(unlisted)] + [(100 + i, t) for i, (_, t) in enumerate(listed)] + [(None, "same text") for _ in range(500)]
+    rows += [(300 + i, f"plain line {i} of ordinary talk\nand another one") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licences.paragraphs(frame, licences.learn(frame)).filter("confirmed").collect()
+    assert not [(unlisted[r.doc_id], r.family) for r in found if r.doc_id < 100]
+    right = {r.doc_id - 100 for r in found if listed[r.doc_id - 100][0] == r.family}
+    assert len(right) == len(found) >= 0.9 * len(listed)
+
+
 def test_licence_gate_loses_nothing(spark):
     """Sampled prose with the notices' own words, and what every paragraph gets with and without the gate."""
     rng = random.Random(5)
