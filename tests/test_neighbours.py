@@ -104,3 +104,17 @@ def test_a_word_that_all_names_have_is_no_key(spark):
     three = spark.createDataFrame([(f"{w} private limited",) for w in made[:4000]], "name string")
     pairs = rg.candidate_names(three, three, 0.7)
     assert pairs.count() < 40 * 4000 and rg.similar_names(three, three, 0.7).count() >= 4000
+
+
+def test_kept_frames_are_compressed_columns(spark):
+    """What several jobs read is written as Parquet below the shared folder, empty frames and null columns too."""
+    from pathlib import Path
+
+    from ledgerloom.session import cut_lineage, shared_dir
+
+    frame = spark.range(1000).selectExpr("id", "array(id, 1L) AS codes", "cast(NULL AS decimal(10,2)) AS price")
+    kept = cut_lineage(frame)
+    assert sorted(map(tuple, kept.select("id", "price").collect())) == [(i, None) for i in range(1000)] and kept.columns == frame.columns
+    assert cut_lineage(frame.where("id < 0")).count() == 0
+    files = kept.inputFiles()
+    assert files and all(f.endswith(".parquet") and Path(shared_dir(spark)).name in f for f in files)
