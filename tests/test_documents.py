@@ -145,6 +145,15 @@ def test_blocks_of_a_large_document(spark):
     assert rows == [[str(r * 100 + c) for c in range(100)] for r in range(n // 100)]
 
 
+def test_table_rows_with_gaps(spark):
+    """Columns left of the first, equal places and rows without cells; a row is cut out of the sorted cells, not searched cell by cell."""
+    places = {"a": (1, 3), "b": (1, 1), "c": (4, 2), "d": (2, 0), "e": (1, 3), "f": (4, 5), "g": (0, 1)}
+    blocks = [block(f"w{i}", "WORD", i) for i in places] + [block(i, "CELL", row=r, col=c, child=[f"w{i}"]) for i, (r, c) in places.items()]
+    made = nested.blocks_to_tables(spark.createDataFrame([("x", blocks + [block("t", "TABLE", child=list(places))])], BLOCKS))
+    assert made.first()["rows"] == [["b", "", "e"], [], [], ["", "c", "", "", "f"]]
+    assert "array_repeat" in optimized(made) and "sequence(0, coalesce" not in optimized(made)
+
+
 CORPUS = [
     ("TAX INVOICE No SB/25 Invoice Date 20-Aug-25 GSTIN: 24AAXFA5297L1ZN Alpha Pvt Ltd taxable value CGST: 9% SGST: 9% HSN code", "B2B_INVOICE", 0.85),
     ("taxi receipt travel expense reimbursement taxi fare cab hotel bill food lunch", "EXPENSE_SLIP", 0.6),
