@@ -70,6 +70,24 @@ def test_normalized_rows_agree_and_repeat(spark, docs):
     assert log["a#1.pdf"]["confident_keys"] == ["Invoice No.", "Supplier GSTIN/UIN", "Amount"]
 
 
+def optimized(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_invoices_take_their_lines_from_their_own_row(docs):
+    one, two = extract.extract_invoices(docs), extract.extract_invoices(docs.unionByName(docs))
+    assert "Join" not in optimized(one)
+    lines = {r["filename"]: [tuple(x) for x in r["line_items"]] for r in one.collect()}
+    assert lines == {"b.pdf": [], "a#1.pdf": [(0, 1, "BASKET", "84049000", 6.0, 170632.0, 1023792.0), (0, 2, "VALVE", "84818030", 0.0, 10.0, 5.0)]}
+    by = lambda r: r["filename"]
+    assert sorted(two.collect(), key=by) == sorted(one.collect(), key=by)
+
+
+def test_line_items_find_their_columns_once_a_table(docs):
+    plan = optimized(extract.extract_line_items(docs))
+    assert plan.index("posexplode(rows") < plan.index("array_max")
+
+
 def test_normalize_and_summary(docs):
     made = nested.normalize_analysis(docs)
     assert made["form_fields"].count() == 7 and made["tables_meta"].count() == 2
