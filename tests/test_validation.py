@@ -150,3 +150,17 @@ def test_data_rules_on_rates_signs_and_types(spark):
     found = {(r["rule"], r["record_id"]) for r in v.data_rules(invoices, items, payments, companies, documents, registry).collect()}
     assert found == {("intra_state_rates", 1), ("negative_item", 2), ("inter_state_rate", 3), ("negative_payment", 1),
                      ("unknown_payment_status", 2), ("unknown_document_type", 2), ("unknown_registry_status", 2)}
+
+
+def test_messages_are_made_only_for_who_reads_them(spark):
+    bare = (2, 2, 6, 100, 0, 18, 108, 9, 54, 9, 54, None, None, 708)
+    invoices, items = frames(spark, [(1, "A", 601, 108, 709), (2, "B", 600, 108, 708)], [LINE, bare])
+    checks = v.run_all_checks(invoices, items)
+    got = {(r["invoice_id"], r["test_id"]): r for r in checks.collect()}
+    assert got[1, "invoice_taxable_sum"]["message"] == "Invoice Taxable Value Sum: expected 600.000000, found 601.000000"
+    assert got[2, "line_item_total"]["message"] == "Cannot check Line Item Total Calculation: a value is missing or zero"
+    assert got[1, "igst_calculation"]["message"] == "Cannot perform IGST Amount Calculation: missing igst_rate, igst_amount"
+    assert got[1, "line_item_total"]["message"] is None and got[1, "line_item_total"]["title"] == "Line Item Total Calculation"
+    assert got[1, "igst_calculation"]["tax_related"] and not got[1, "line_item_total"]["tax_related"]
+    plan = v.valid_checks(checks).select("invoice_id", "test_id", "expected")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cannot" not in plan and "format_string" not in plan
