@@ -10,6 +10,7 @@ from ledgerloom.functions import scalars as fn
 from ledgerloom.operators import neighbours as nb
 from ledgerloom.operators import registry as rg
 from ledgerloom.operators.ranking import global_rank
+from ledgerloom.session import dealt
 
 
 def amounts(spark, seed=5, n=300):
@@ -61,6 +62,19 @@ def test_most_shared_codes(spark, kind):
     assert len(got) == len(expected) and {(r["invoice_id"], r["candidate_id"]): r["shared_codes"] for r in got} == expected
 
 
+@pytest.mark.parametrize("kind", ["few hot", "copies", "template"])
+def test_lists_are_one_row_an_invoice(spark, kind):
+    items = spark.createDataFrame([(i, c) for i, s in code_sets(kind).items() for c in s], "invoice_id long, hsn_code string")
+    lists = nb.shared_lists(items, 5).collect()
+    assert len({r["invoice_id"] for r in lists}) == len(lists) and all(len(r["candidate_id"]) == len(r["shared_codes"]) <= 5 for r in lists)
+
+
+def test_tasks_follow_the_rows(spark):
+    df, few = spark.range(1000), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(df, "id", 1000, 10).rdd.getNumPartitions() == max(100, few)
+    assert "RepartitionByExpression" not in dealt(df, "id", 1000)._jdf.queryExecution().logical().toString()
+
+
 def test_groups_stand_for_all_pairs(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "invoice_id long, k string")
     got = sorted((r["invoice_id"], r["first_id"], r["pairs_in_group"]) for r in nb.groups_with_members(df, ["k"]).collect())
