@@ -276,6 +276,22 @@ def test_secret_rare_and_touching(spark):
     assert [s[1] for s in finder.spans(touching.encode())] == [0, 3]
 
 
+def test_secret_learns_from_all(spark):
+    """Five findings in 9,000 documents that hold a rule's hint are all learnt from; shards of any size do, in whatever parts the rows come."""
+    rng = random.Random(11)
+    token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) + "7"
+    rows = [(i, f"the token: of ordinary part{i:05d} is here") for i in range(9000)] + [(10_000 + i, f'api_key = "{token(39)}" and more') for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.learn(frame, epochs=1).network is not None
+    rows = [(i, f"plain words stand here, title of number {rng.randrange(10**16, 10**17)}, then api_key = \"{token(39)}\" and more") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (secrets.learn(frame.repartition(n), in_shard=400).network for n in (1, 5))
+    assert one.state() == other.state() and one.threshold == other.threshold
+    model = lambda text: [s for s in secrets.Finder(one).spans(text.encode()) if s[1] == 3]
+    assert sum(bool(model(f"we saw {token(39)} there")) for _ in range(100)) >= 90
+    assert sum(bool(model(f"title of number {rng.randrange(10**16, 10**17)} here")) for _ in range(100)) <= 5
+
+
 def test_quality(spark, empty):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(["the", "of", "word", "thing", "line.", "more,"]) + str(rng.randrange(50)) for _ in range(60))
